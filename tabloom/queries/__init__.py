@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("prepare",)
+MODULES = ("prepare", "resample", "encoding", "evaluation")
 
 
 def registry() -> dict:

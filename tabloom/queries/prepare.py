@@ -137,7 +137,7 @@ def _corr_sql(source: str) -> str:
     rows = []
     for i, a in enumerate(CORR_COLUMNS):
         for b in CORR_COLUMNS[: i + 1]:
-            r = "null::double" if "flat" in (a, b) else f"round(corr({a},{b}),6)"
+            r = "max(null::double)" if "flat" in (a, b) else f"round(corr({a},{b}),6)"
             rows.append(f"select '{a}' as a, '{b}' as b, {r} as r from {source}")
     return " union all ".join(rows)
 
