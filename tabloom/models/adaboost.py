@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import stack
-from ..session import materialize
+from ..session import compact, materialize
 from .base import LABEL, PREDICTION, SCORES, FittedModel, arg_best, as_array, register, width
 from .boosting import CHECKPOINT_ROUNDS, read_trees, write_trees
 from .trees import SplitRule, Tree, bin_edges, bin_rows, binned, grow, importance_of, unpack
@@ -130,7 +130,7 @@ def _setup(train: DataFrame):
     features = width(train)
     edges = bin_edges(train, features)
     rows = binned(train.select("row_key", LABEL, "features"), edges)
-    return features, edges, materialize(rows.withColumn("weight", F.lit(1.0)), "adaboost")
+    return features, edges, compact(materialize(rows.withColumn("weight", F.lit(1.0)), "adaboost"))
 
 
 def _reweighted(rows: DataFrame, features: int, recent: list[tuple[Tree, float]]) -> DataFrame:
@@ -145,7 +145,7 @@ def _reweighted(rows: DataFrame, features: int, recent: list[tuple[Tree, float]]
 
 
 def _scaled(rows: DataFrame) -> DataFrame:
-    held = materialize(rows, "adaboost")
+    held = compact(materialize(rows, "adaboost"))
     mean = held.agg(F.avg("weight")).first()[0] or 1.0
     return held.withColumn("weight", F.col("weight") / F.lit(mean))
 
@@ -170,12 +170,7 @@ def fit_r2(train: DataFrame, params: dict[str, Any]) -> AdaBoostModel:
         for leaf in tree.leaves():
             tree.value[leaf] = rule.leaf(tree.stats[leaf])
 
-        def errors(weight: pd.Series, label: pd.Series, bins: pd.Series, tree=tree, known=known) -> pd.DataFrame:
-            codes, y = unpack(bins, features), label.to_numpy()
-            w = _discounted(weight.to_numpy(), y, codes, known, loss, rate)
-            return pd.DataFrame({"w": w, "e": np.abs(y - tree.output(codes))})
-
-        measured = rows.select(F.pandas_udf(errors, "w double, e double")("weight", LABEL, "bins").alias("m")).select("m.*")
+        measured = rows.select(_errors(tree, known, features, loss, rate)("weight", LABEL, "bins").alias("m")).select("m.*")
         sums = measured.agg(
             F.max(F.when(F.col("w") > 0, F.col("e"))).alias("top"),
             F.sum("w").alias("w"),
@@ -207,6 +202,16 @@ def fit_r2(train: DataFrame, params: dict[str, Any]) -> AdaBoostModel:
     return AdaBoostModel(edges, trees, votes, 0)
 
 
+def _errors(tree: Tree, known, features: int, loss: str, rate: float):
+    @F.pandas_udf("w double, e double")
+    def errors(weight: pd.Series, label: pd.Series, bins: pd.Series) -> pd.DataFrame:
+        codes, y = unpack(bins, features), label.to_numpy()
+        w = _discounted(weight.to_numpy(), y, codes, known, loss, rate)
+        return pd.DataFrame({"w": w, "e": np.abs(y - tree.output(codes))})
+
+    return errors
+
+
 def _discounted(weight, label, bins, known, loss, rate) -> np.ndarray:
     power = np.zeros(len(label))
     for tree, top, beta in known:

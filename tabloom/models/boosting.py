@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import u01
 from ..functions.vectors import stack
-from ..session import materialize
+from ..session import compact, materialize
 from .base import LABEL, PREDICTION, SCORES, FittedModel, arg_best, as_array, register, width
 from .trees import SplitRule, Tree, bin_edges, bin_rows, binned, grow, importance_of, unpack
 
@@ -186,7 +186,7 @@ def fit_boosted(train: DataFrame, params: dict[str, Any], loss: str, classes: in
     start = _start(train, loss, classes, options)
     outputs = len(start)
     first = binned(train.select("row_key", LABEL, "features"), edges)
-    rows = materialize(first.withColumn("margin", F.lit(start).cast("array<double>")), "boosting")
+    rows = compact(materialize(first.withColumn("margin", F.lit(start).cast("array<double>")), "boosting"))
     rounds: list[list[Tree]] = []
     recent: list[list[Tree]] = []
     for number in range(int(params.get("n_estimators", 100))):
@@ -206,7 +206,7 @@ def fit_boosted(train: DataFrame, params: dict[str, Any], loss: str, classes: in
         rounds.append(trees)
         recent.append(trees)
         if len(recent) == CHECKPOINT_ROUNDS:
-            rows = materialize(_advance(rows, features, recent, rate), "boosting")
+            rows = compact(materialize(_advance(rows, features, recent, rate), "boosting"))
             recent = []
     return BoostedModel(edges, rounds, start, rate, loss)
 

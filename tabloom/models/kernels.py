@@ -7,10 +7,12 @@ features inside tasks, and a linear model is fitted on those by Spark ML.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
@@ -21,12 +23,13 @@ from ..functions.hashing import hash32
 from ..functions.vectors import stack
 from ..operators.encode import class_weights
 from ..operators.split import stratified_folds
-from ..session import materialize
+from ..session import compact, materialize
 from .base import FEATURES, KEY, LABEL, PREDICTION, SCORES, FittedModel, arg_best, as_array, register, width
 from .linear import dot
 
 LANDMARKS = 128
 PLATT_FOLDS = 3
+PARALLEL_FITS = 4
 
 
 def kernel(name: str, x: np.ndarray, y: np.ndarray, gamma: float, degree: int) -> np.ndarray:
@@ -106,7 +109,7 @@ def fit_svr(train: DataFrame, params: dict[str, Any], rounds: int = 12) -> Suppo
     """
     penalty, eps = float(params.get("C", 1.0)), float(params.get("epsilon", 0.1))
     mapping = KernelMap.fit(train, params)
-    phi = materialize(train.select(LABEL, array_to_vector(mapping.apply(as_array())).alias(FEATURES)), "svr")
+    phi = compact(materialize(train.select(LABEL, array_to_vector(mapping.apply(as_array())).alias(FEATURES)), "svr"))
     start = phi.agg(F.avg(LABEL)).first()[0]
     size = width(phi)
     weights, intercept = [0.0] * size, float(start)
@@ -179,16 +182,26 @@ def fit_svc(train: DataFrame, params: dict[str, Any], classes: int) -> SupportCl
         phi = phi.withColumn("weight", F.lit(1.0))
     else:
         phi = class_weights(phi, LABEL, "weight")
-    phi = materialize(stratified_folds(phi, LABEL, KEY, PLATT_FOLDS), "svc")
+    phi = compact(materialize(stratified_folds(phi, LABEL, KEY, PLATT_FOLDS), "svc"))
     penalty, rows = float(params.get("C", 1.0)), phi.count()
     targets = [1] if classes == 2 else list(range(classes))
+    # Independent fits: the whole table and one per left-out fold, for every class.
+    owned = {c: phi.withColumn(LABEL, (F.col(LABEL) == c).cast("double")) for c in targets}
+    jobs = [(c, fold) for c in targets for fold in range(-1, PLATT_FOLDS)]
+    with ThreadPool(PARALLEL_FITS) as pool:
+        fitted = pool.map(
+            inheritable_thread_target(train.sparkSession)(
+                lambda job: _margin(owned[job[0]].where(F.col("fold") != job[1]), penalty, rows)
+            ),
+            jobs,
+        )
+    found = dict(zip(jobs, fitted))
     margins = []
     for c in targets:
-        own = phi.withColumn(LABEL, (F.col(LABEL) == c).cast("double"))
-        whole = _margin(own, penalty, rows)
+        own, whole = owned[c], found[c, -1]
         held_out = None
         for fold in range(PLATT_FOLDS):
-            part = _margin(own.where(F.col("fold") != fold), penalty, rows)
+            part = found[c, fold]
             margin = dot(as_array(), part.coefficients.toArray().tolist()) + F.lit(float(part.intercept))
             scored = own.where(F.col("fold") == fold).select(LABEL, array_to_vector(F.array(margin)).alias(FEATURES))
             held_out = scored if held_out is None else held_out.unionByName(scored)

@@ -23,8 +23,18 @@ class NeighborModel(FittedModel):
     classes: int  # 0 for regression
 
     def predict(self, df: DataFrame) -> DataFrame:
-        queries = df.select(KEY, as_array().alias("vector"))
-        near = knn_join(queries, self.rows, self.k, self.p, KEY, "vector", payload=LABEL)
+        # The answer depends on the vector alone, so equal vectors ask once.
+        tagged = df.withColumn("__vector", as_array()).withColumn(
+            "__key", F.md5(F.concat_ws(",", F.col("__vector").cast("array<string>")))
+        )
+        asked = tagged.groupBy("__key").agg(F.first("__vector").alias("vector"))
+        near = knn_join(
+            asked.withColumnRenamed("__key", "id"),
+            self.rows.withColumnRenamed(KEY, "id"),
+            self.k,
+            self.p,
+            payload=LABEL,
+        )
         distance = F.col("distance")
         if self.weights == "distance":
             # An exact match takes all the weight.
@@ -48,7 +58,7 @@ class NeighborModel(FittedModel):
                 F.sum(F.col("payload") * F.col("w")) / F.sum("w")
             )
             found = near.groupBy(F.col("query").alias("__key")).agg(mean.alias(PREDICTION))
-        return df.join(found, F.col(KEY) == F.col("__key")).drop("__key")
+        return tagged.join(found, "__key").drop("__key", "__vector")
 
     def store(self, spark: SparkSession, path: str) -> dict[str, Any]:
         self.rows.write.mode("overwrite").parquet(f"{path}/rows")

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import stack
@@ -83,15 +83,15 @@ class SplitRule:
     min_leaf: int = 1
     min_split: int = 2
 
-    def quality(self, stats: Sequence[Column]) -> Column:
+    def quality(self, stats: Sequence[str]) -> str:
+        """Score of a group of rows as SQL text over its summed stats."""
         if self.kind == "gini":
-            total = sum(stats[1:], stats[0])
-            squares = sum([s * s for s in stats[1:]], stats[0] * stats[0])
-            return F.try_divide(squares, total)
-        g, h = stats
+            squares = " + ".join(f"({s}) * ({s})" for s in stats)
+            return f"coalesce(try_divide({squares}, {' + '.join(f'({s})' for s in stats)}), 0D)"
+        g, h = (f"({s})" for s in stats)
         if self.reg_alpha:
-            g = F.signum(g) * F.greatest(F.abs(g) - F.lit(self.reg_alpha), F.lit(0.0))
-        return F.try_divide(g * g, h + F.lit(self.reg_lambda)) * 0.5
+            g = f"(signum({g}) * greatest(abs({g}) - {float(self.reg_alpha)}D, 0D))"
+        return f"coalesce(try_divide(0.5D * {g} * {g}, {h} + {float(self.reg_lambda)}D), 0D)"
 
     def leaf(self, stats: Sequence[float]) -> float:
         g, h = stats
@@ -102,9 +102,9 @@ class SplitRule:
 
 def bin_edges(df: DataFrame, features: int, max_bins: int = MAX_BINS) -> list[list[float]]:
     """Ascending cut points per feature from mergeable quantile sketches, in one pass."""
-    probs = [i / max_bins for i in range(1, max_bins)]
+    probs = ", ".join(f"{i / max_bins}D" for i in range(1, max_bins))
     x = df.select(as_array().alias("x"))
-    row = x.agg(*[F.percentile_approx(F.col("x")[j], probs, 10_000).alias(f"q{j}") for j in range(features)]).first()
+    row = x.agg(*[F.expr(f"percentile_approx(x[{j}], array({probs}), 10000) as q{j}") for j in range(features)]).first()
     return [sorted(set(row[f"q{j}"] or [])) for j in range(features)]
 
 
@@ -163,7 +163,7 @@ def grow(
                 continue
             left = [row["best"][f"l{i}"] for i in range(n_stats)]
             right = [t - s for t, s in zip(total, left)]
-            children = tree.split(node, row["best"]["feature"], row["best"]["bin"], row["gain"], left, right)
+            children = tree.split(node, row["feature"], row["best"]["bin"], row["gain"], left, right)
             for child in children:
                 following[row["tree"]][child] = len(following[row["tree"]])
         active = following
@@ -173,7 +173,11 @@ def grow(
 
 
 def _best_splits(rows, features, used, stats_of, n_stats, rule, trees, active) -> list:
-    """Best split per open node; a level whose histogram would be large runs in pieces."""
+    """Best split per open node, the smallest feature on a tie.
+
+    The driver sees one row per (node, feature). A level whose histogram would be large
+    runs in pieces.
+    """
     per_feature = max(len(a) for a in active) * BINS
     tree_step = max(1, HISTOGRAM_CELLS // (per_feature * len(used)))
     feature_step = max(1, min(len(used), HISTOGRAM_CELLS // per_feature))
@@ -229,34 +233,36 @@ def _level(rows, features, used, stats_of, n_stats, rule, trees, active) -> list
 
     names = [f"s{i}" for i in range(n_stats)]
     schema = "tree int, node int, feature int, bin int, " + ", ".join(f"{n} double" for n in names) + ", n long"
-    summed = (
+    # Tasks emit combined histograms, so one exchange by (tree, node, feature) serves the
+    # sum, the running totals and the choice of the best cut.
+    keys = ["tree", "node", "feature"]
+    left, whole = [f"l{i}" for i in range(n_stats)], [f"t{i}" for i in range(n_stats)]
+    right = [f"{t} - {s}" for s, t in zip(left, whole)]
+    over = "over (partition by tree, node, feature order by bin rows between unbounded preceding and current row)"
+    around = "over (partition by tree, node, feature)"
+    valid = f"ln >= {rule.min_leaf} and n - ln >= {max(1, rule.min_leaf)}"
+    if rule.min_weight:
+        valid += f" and l1 >= {float(rule.min_weight)}D and t1 - l1 >= {float(rule.min_weight)}D"
+    gain = f"{rule.quality(left)} + {rule.quality(right)} - {rule.quality(whole)}"
+    picked = ", ".join(["bin", "n", *left, *whole])
+    best = (
         rows.mapInPandas(histograms, schema)
-        .groupBy("tree", "node", "feature", "bin")
-        .agg(*[F.sum(n).alias(n) for n in names], F.sum("n").alias("n"))
-    )
-    whole = Window.partitionBy("tree", "node", "feature")
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = summed.select(
-        "tree",
-        "node",
-        "feature",
-        "bin",
-        *[F.sum(n).over(upto).alias(f"l{i}") for i, n in enumerate(names)],
-        *[F.sum(n).over(whole).alias(f"t{i}") for i, n in enumerate(names)],
-        F.sum("n").over(upto).alias("ln"),
-        F.sum("n").over(whole).alias("n"),
+        .repartition(*keys)
+        .groupBy(*keys, "bin")
+        .agg(F.expr(f"struct({', '.join(f'sum({n}) as {n}' for n in [*names, 'n'])}) as h"))
+        .selectExpr(
+            *keys,
+            "bin",
+            *[f"sum(h.{n}) {over} as {a}" for n, a in zip(names, left)],
+            *[f"sum(h.{n}) {around} as {a}" for n, a in zip(names, whole)],
+            f"sum(h.n) {over} as ln",
+            f"sum(h.n) {around} as n",
+        )
+        .selectExpr(*keys, f"struct({picked}) as picked", "bin", f"case when {valid} then {gain} end as gain")
+        .groupBy(*keys)
+        .agg(F.expr("max_by(picked, struct(coalesce(gain, double('-inf')), -bin)) as best"), F.expr("max(gain) as gain"))
     )
-    left = [F.col(f"l{i}") for i in range(n_stats)]
-    all_ = [F.col(f"t{i}") for i in range(n_stats)]
-    right = [a - b for a, b in zip(all_, left)]
-    gain = rule.quality(left) + rule.quality(right) - rule.quality(all_)
-    valid = (F.col("ln") >= rule.min_leaf) & (F.col("n") - F.col("ln") >= max(1, rule.min_leaf))
-    if rule.min_weight:
-        valid = valid & (left[1] >= rule.min_weight) & (right[1] >= rule.min_weight)
-    judged = cuts.withColumn("gain", F.when(valid, gain))
-    picked = F.struct("feature", "bin", "n", *[f"l{i}" for i in range(n_stats)], *[f"t{i}" for i in range(n_stats)])
-    order = F.struct(F.coalesce("gain", F.lit(float("-inf"))).alias("g"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))
-    return judged.groupBy("tree", "node").agg(F.max_by(picked, order).alias("best"), F.max("gain").alias("gain")).collect()
+    return sorted(best.collect(), key=lambda r: r["feature"])
 
 
 def importance_of(trees: Sequence[Tree], features: int) -> np.ndarray:

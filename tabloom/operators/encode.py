@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import quoted
@@ -109,6 +109,44 @@ class Preprocessor:
                 fitted.codes = small_table(dictionary(long))
         return fitted
 
+    def state(self, spark: SparkSession) -> DataFrame:
+        """(position, column, encoder, value, code, mean, std): all of the fitted state as one table."""
+        schema = "position int, column string, encoder string, value string, code bigint, mean double, std double"
+        place = {c: i for i, c in enumerate(self.inputs)}
+        rows = [(place[c], c, ONE_HOT, v, i, None, None) for c, values in self.one_hot.items() for i, v in enumerate(values)]
+        rows += [(place[c], c, SCALED, None, None, float(m), float(s)) for c, (m, s) in self.scale.items()]
+        table = spark.createDataFrame(rows, schema)
+        if self.ordinal:
+            place_of = F.create_map(*[F.lit(v) for c in self.ordinal for v in (c, place[c])])
+            coded = self.codes.select(
+                F.element_at(place_of, F.col("column")).cast("int").alias("position"),
+                "column",
+                F.lit(ORDINAL).alias("encoder"),
+                "value",
+                F.col("code").cast("bigint").alias("code"),
+                F.lit(None).cast("double").alias("mean"),
+                F.lit(None).cast("double").alias("std"),
+            )
+            table = table.unionByName(coded)
+        return table
+
+    @classmethod
+    def from_state(cls, table: DataFrame) -> "Preprocessor":
+        """Rebuild from `state`; long dictionaries stay a table."""
+        fitted = cls()
+        short = table.where(F.col("encoder") != ORDINAL).orderBy("position", "code").collect()
+        for row in short:
+            if row["encoder"] == ONE_HOT:
+                fitted.one_hot.setdefault(row["column"], []).append(row["value"])
+            else:
+                fitted.scale[row["column"]] = (row["mean"], row["std"])
+        long = table.where(F.col("encoder") == ORDINAL)
+        order = long.groupBy("position", "column").agg(F.count(F.lit(1)).alias("n")).orderBy("position").collect()
+        fitted.ordinal = [r["column"] for r in order]
+        if fitted.ordinal:
+            fitted.codes = small_table(long.select("column", "value", "code"))
+        return fitted
+
     @property
     def feature_columns(self) -> list[tuple[str, str, str | None]]:
         """(encoder, column, value) per output feature, in output order."""

@@ -119,12 +119,24 @@ def contiguous_folds(df: DataFrame, key: str, k: int, label: str | None = None,
     return cut_index(ordered, rank_cutoffs(ordered, by, ranks, span=None), by, out)
 
 
-def learning_steps(df: DataFrame, key: str, steps: tuple[float, ...] = CURVE_STEPS, out: str = "step") -> DataFrame:
-    """First learning-curve step (0-based) whose prefix of the key order holds the row."""
+def learning_steps(
+    df: DataFrame, key: str, steps: tuple[float, ...] = CURVE_STEPS, out: str = "step", hashed: bool = False
+) -> DataFrame:
+    """First learning-curve step (0-based) whose prefix holds the row.
+
+    Prefixes follow an integer key, or the hash order for rows without one.
+    """
     total = df.count()
     ends = [(i, int(f * total)) for i, f in enumerate(steps[:-1]) if int(f * total) > 0]
     skipped = len(steps) - 1 - len(ends)
-    ordered = with_key_order(df, key)
+    if not ends:
+        return df.withColumn(out, F.lit(skipped))
     ranks = df.sparkSession.createDataFrame(ends, "cut int, rank long")
-    placed = cut_index(ordered, rank_cutoffs(ordered, [], ranks, span=None), [], out)
+    if hashed:
+        ordered = with_hash_order(df, key, F.lit("curve"))
+        cuts = rank_cutoffs(ordered, [], ranks)
+    else:
+        ordered = with_key_order(df, key)
+        cuts = rank_cutoffs(ordered, [], ranks, span=None)
+    placed = cut_index(ordered, cuts, [], out)
     return placed.withColumn(out, (F.col(out) + skipped).cast("int"))

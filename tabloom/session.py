@@ -68,6 +68,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame, rows_per_task: int = 25_000) -> DataFrame:
+    """Fewer, fuller partitions for a stored table that iterative fits scan many times."""
+    needed = max(1, -(-df.count() // rows_per_task))
+    return df.coalesce(needed) if needed < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def small_table(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """`df` as a broadcast side if its row count, checked here, is at most `max_rows`.
 
