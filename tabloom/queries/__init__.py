@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("prepare", "resample", "encoding", "evaluation")
+MODULES = ("prepare", "resample", "encoding", "evaluation", "modelling")
 
 
 def registry() -> dict:
