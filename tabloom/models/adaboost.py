@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import stack
-from ..session import compact, materialize
+from ..session import compact, discard, materialize
 from .base import LABEL, PREDICTION, SCORES, FittedModel, arg_best, as_array, register, width
 from .boosting import CHECKPOINT_ROUNDS, read_trees, write_trees
 from .trees import SplitRule, Tree, bin_edges, bin_rows, binned, grow, importance_of, unpack
@@ -115,7 +115,10 @@ def fit_samme(train: DataFrame, params: dict[str, Any], classes: int) -> AdaBoos
         votes.append(vote)
         recent.append((tree, vote))
         if len(recent) == CHECKPOINT_ROUNDS:
+            before = rows
             rows, recent = _reweighted(rows, features, recent), []
+            discard(before)
+    discard(rows)
     return AdaBoostModel(edges, trees, votes, classes)
 
 
@@ -198,7 +201,10 @@ def fit_r2(train: DataFrame, params: dict[str, Any]) -> AdaBoostModel:
         votes.append(rate * float(np.log(1.0 / beta)))
         recent.append((tree, top, beta))
         if len(recent) == CHECKPOINT_ROUNDS:
+            before = rows
             rows, recent = _scaled(_discount_rows(rows, features, recent, loss, rate)), []
+            discard(before)
+    discard(rows)
     return AdaBoostModel(edges, trees, votes, 0)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import u01
 from ..functions.vectors import stack
-from ..session import compact, materialize
+from ..session import compact, discard, materialize
 from .base import LABEL, PREDICTION, SCORES, FittedModel, arg_best, as_array, register, width
 from .trees import SplitRule, Tree, bin_edges, bin_rows, binned, grow, importance_of, unpack
 
@@ -206,8 +206,11 @@ def fit_boosted(train: DataFrame, params: dict[str, Any], loss: str, classes: in
         rounds.append(trees)
         recent.append(trees)
         if len(recent) == CHECKPOINT_ROUNDS:
+            before = rows
             rows = compact(materialize(_advance(rows, features, recent, rate), "boosting"))
+            discard(before)
             recent = []
+    discard(rows)
     return BoostedModel(edges, rounds, start, rate, loss)
 
 

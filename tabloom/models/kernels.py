@@ -23,7 +23,7 @@ from ..functions.hashing import hash32
 from ..functions.vectors import stack
 from ..operators.encode import class_weights
 from ..operators.split import stratified_folds
-from ..session import compact, materialize
+from ..session import compact, discard, materialize
 from .base import FEATURES, KEY, LABEL, PREDICTION, SCORES, FittedModel, arg_best, as_array, register, width
 from .linear import dot
 
@@ -139,6 +139,7 @@ def fit_svr(train: DataFrame, params: dict[str, Any], rounds: int = 12) -> Suppo
             regParam=spread / sums["w"], elasticNetParam=0.0, standardization=False, weightCol="weight", solver="normal"
         ).fit(rows.where(F.col("weight") > 0))
         weights, intercept = model.coefficients.toArray().tolist(), float(model.intercept)
+    discard(phi)
     return SupportRegressor(mapping, best[1], best[2])
 
 
@@ -214,6 +215,7 @@ def fit_svc(train: DataFrame, params: dict[str, Any], classes: int) -> SupportCl
                 "b": float(platt.intercept),
             }
         )
+    discard(phi)
     return SupportClassifier(mapping, margins, classes)
 
 

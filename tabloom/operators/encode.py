@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import quoted
-from ..session import small_table
+from ..session import materialize, small_table
 from .profile import ONE_HOT_LIMIT
 from .running import ordered_codes
 
@@ -95,7 +95,7 @@ class Preprocessor:
         categorical = list(categorical)
         fitted = cls(scale=moments(train, numeric))
         if categorical:
-            values = value_table(train, categorical)
+            values = materialize(value_table(train, categorical), "values")
             sizes = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
             short = [c for c in categorical if sizes.get(c, 0) <= limit]
             fitted.ordinal = [c for c in categorical if c not in short]

@@ -87,18 +87,40 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     if len(columns) > PAIRWISE_COLUMNS:
         rows = _vector_correlation(df, columns, pairs)
     else:
-        x = [F.col(quoted(c)).cast("double") for c in columns]
-        aggs = [_pearson(x[i], x[j]).alias(f"r{i}_{j}") for i, j in pairs]
-        found = df.agg(*aggs).first() if aggs else None
-        rows = [(columns[i], columns[j], i, j, found[f"r{i}_{j}"]) for i, j in pairs]
+        rows = _pairwise(df, columns, pairs)
     return spark.createDataFrame(rows, "a string, b string, pos_a int, pos_b int, r double")
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.try_divide(F.covar_pop(x, y), F.when(spread > 0, spread))
+def _pairwise(df: DataFrame, columns: list[str], pairs) -> list[tuple]:
+    """Deviations once per column and covariances once per pair, in a single pass.
+
+    A pair with missing values is aggregated again over its complete rows.
+    """
+    if not columns:
+        return []
+    x = df.select([F.col(quoted(c)).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    one = x.agg(
+        F.expr("count(1) as n"),
+        *[F.expr(f"struct(count(x{i}) as n, stddev_pop(x{i}) as s) as c{i}") for i in range(len(columns))],
+        *[F.expr(f"covar_pop(x{i}, x{j}) as p{i}_{j}") for i, j in pairs],
+    ).first()
+    part = [(i, j) for i, j in pairs if one["n"] not in (0,) and min(one[f"c{i}"]["n"], one[f"c{j}"]["n"]) < one["n"]]
+    again = None
+    if part:
+        again = x.agg(
+            *[
+                F.expr(
+                    f"stddev_pop(if(x{j} is null, null, x{i})) * stddev_pop(if(x{i} is null, null, x{j})) as s{i}_{j}"
+                )
+                for i, j in part
+            ]
+        ).first()
+    rows = []
+    for i, j in pairs:
+        spread = again[f"s{i}_{j}"] if (i, j) in part else (one[f"c{i}"]["s"] or 0.0) * (one[f"c{j}"]["s"] or 0.0)
+        covariance = one[f"p{i}_{j}"]
+        rows.append((columns[i], columns[j], i, j, covariance / spread if spread and covariance is not None else None))
+    return rows
 
 
 def _vector_correlation(df: DataFrame, columns: list[str], pairs) -> list[tuple]:

@@ -10,13 +10,13 @@ shuffle of the data rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import HASH_SPACE, hash32, quoted
-from ..session import small_table
+from ..session import materialize, rows_if_small
 
 BUCKETS = 1 << 16
 RANKED_ROWS = 4_000_000
@@ -35,13 +35,17 @@ def with_key_order(df: DataFrame, key: str) -> DataFrame:
     return df.withColumns({ORDER: F.col(quoted(key)).cast("bigint"), TIE: F.col(quoted(key))})
 
 
-def rank_cutoffs(ordered: DataFrame, by: Sequence[str], ranks: DataFrame, span=(0, HASH_SPACE)) -> DataFrame:
-    """For each row of `ranks` (by..., cut, rank) the order position of that rank.
+def rank_cutoffs(
+    ordered: DataFrame, by: Sequence[str], ranks_of: Callable[[DataFrame], DataFrame], span=(0, HASH_SPACE)
+) -> DataFrame:
+    """The order position of wanted ranks per group.
 
-    Returns (by..., cut, cut_order, cut_tie): a row is among the first `rank` rows of
-    its group exactly if (order, tie) <= (cut_order, cut_tie). Ranks start at 1; ranks
-    of 0 or beyond the group are absent from the result. `span` is the half-open range
-    of order values; None looks it up.
+    `ranks_of` turns the group sizes (by..., n) into the wanted (by..., cut, rank). The
+    result is (by..., cut, cut_order, cut_tie): a row is among the first `rank` rows of
+    its group exactly if (order, tie) <= (cut_order, cut_tie). Ranks start at 1; ranks of
+    0 or beyond the group are absent from the result. `span` is the half-open range of
+    order values; None looks it up. Two scans of the order columns in all: group sizes
+    come from the same histogram.
     """
     by = list(by)
     slim = ordered.select(*map(quoted, by), ORDER, TIE)
@@ -52,12 +56,14 @@ def rank_cutoffs(ordered: DataFrame, by: Sequence[str], ranks: DataFrame, span=(
     while step * BUCKETS < span[1] - span[0]:
         step *= 2
 
-    wanted = small_table(_locate(_histogram(slim, by, origin, step), by, ranks))
-    while step > 1 and (wanted.agg(F.max("__rows")).first()[0] or 0) > RANKED_ROWS:
+    counts = materialize(_histogram(slim, by, origin, step), "histogram")
+    ranks = ranks_of(counts.groupBy(*map(quoted, by)).agg(F.sum("__n").alias("n")))
+    wanted, largest = _checked(_locate(counts, by, ranks))
+    while step > 1 and largest > RANKED_ROWS:
         inside = _rows_in_bucket(slim, wanted, by, origin, step)
         step = max(1, step // 4096)
         ranks = wanted.select(*map(quoted, by), "cut", "rank")
-        wanted = small_table(_locate(_histogram(inside, [*by, "cut"], origin, step), [*by, "cut"], ranks))
+        wanted, largest = _checked(_locate(_histogram(inside, [*by, "cut"], origin, step), [*by, "cut"], ranks))
 
     place = Window.partitionBy(*map(quoted, by), "cut").orderBy(ORDER, TIE)
     return (
@@ -68,6 +74,16 @@ def rank_cutoffs(ordered: DataFrame, by: Sequence[str], ranks: DataFrame, span=(
     )
 
 
+def _checked(wanted: DataFrame) -> tuple[DataFrame, int]:
+    """The located ranks as a broadcast side if they are few, and their fullest bucket."""
+    rows = rows_if_small(wanted)
+    if rows is None:
+        held = materialize(wanted, "wanted")
+        return held, held.agg(F.max("__rows")).first()[0]
+    local = wanted.sparkSession.createDataFrame(rows, wanted.schema)
+    return F.broadcast(local), max((r["__rows"] for r in rows), default=0)
+
+
 def _bucket(origin: int, step: int) -> Column:
     return F.expr(f"({ORDER} - {origin}L) div {step}L")
 
@@ -88,6 +104,8 @@ def _locate(counts: DataFrame, by: list[str], ranks: DataFrame) -> DataFrame:
         joined = through.join(ranks, by)
     else:
         wants = [F.struct(F.lit(r["cut"]).alias("cut"), F.lit(r["rank"]).alias("rank")) for r in ranks.collect()]
+        if not wants:
+            wants = [F.struct(F.lit(0).alias("cut"), F.lit(0).cast("bigint").alias("rank"))]
         joined = through.withColumn("__want", F.explode(F.array(*wants))).select("*", "__want.*").drop("__want")
     before = F.col("__through") - F.col("__n")
     return joined.where((F.col("rank") <= F.col("__through")) & (F.col("rank") > before)).select(
@@ -111,17 +129,19 @@ def cut_index(ordered: DataFrame, cutoffs: DataFrame, by: Sequence[str], out: st
     k-1 cut-offs it is the block number 0..k-1. A group has a handful of cut-offs.
     """
     by = list(by)
-    edges = cutoffs.groupBy(*map(quoted, by)).agg(
-        F.sort_array(F.collect_list(F.struct("cut_order", "cut_tie"))).alias("__edges")
-    )
     if by:
-        joined = ordered.join(small_table(edges), by, "left")
+        rows = rows_if_small(cutoffs)
+        held = materialize(cutoffs, "cutoffs") if rows is None else cutoffs.sparkSession.createDataFrame(rows, cutoffs.schema)
+        edges = held.groupBy(*map(quoted, by)).agg(
+            F.sort_array(F.collect_list(F.struct("cut_order", "cut_tie"))).alias("__edges")
+        )
+        joined = ordered.join(edges if rows is None else F.broadcast(edges), by, "left")
     else:
-        found = edges.first()["__edges"]
-        pairs = [F.struct(F.lit(e[0]).alias("cut_order"), F.lit(e[1]).alias("cut_tie")) for e in found or []]
-        joined = ordered.withColumn("__edges", F.array(*pairs) if pairs else F.lit(None))
-        if not pairs:
-            return joined.withColumn(out, F.lit(0)).drop("__edges", ORDER, TIE)
+        found = cutoffs.collect()
+        if not found:
+            return ordered.withColumn(out, F.lit(0)).drop(ORDER, TIE)
+        pairs = [F.struct(F.lit(e["cut_order"]).alias("cut_order"), F.lit(e["cut_tie"]).alias("cut_tie")) for e in found]
+        joined = ordered.withColumn("__edges", F.array(*pairs))
     beyond = f"size(filter(__edges, e -> e.cut_order < {ORDER} or (e.cut_order = {ORDER} and e.cut_tie < {TIE})))"
     index = F.when(F.col("__edges").isNull(), F.lit(0)).otherwise(F.expr(beyond))
     return joined.withColumn(out, index.cast("int")).drop("__edges", ORDER, TIE)

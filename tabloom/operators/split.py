@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import quoted, u01
-from .profile import class_counts
+from ..session import small_table
 from .ranking import cut_index, rank_cutoffs, with_hash_order, with_key_order
 
 # Holdout share and learning-curve steps.
@@ -16,16 +16,17 @@ TEST_SHARE = 0.3
 CURVE_STEPS = (0.1, 0.325, 0.55, 0.775, 1.0)
 
 
-def _labelled_counts(df: DataFrame, label: str) -> DataFrame:
-    return class_counts(df, label).withColumnRenamed("class", label)
+def _total(counts: DataFrame) -> int:
+    return counts.agg(F.sum("n")).first()[0] or 0
 
 
-def _one_cut(df: DataFrame, rank: int) -> DataFrame:
-    return df.sparkSession.createDataFrame([(0, rank)], "cut int, rank long")
+def _listed(counts: DataFrame, ends: list[tuple[int, int]]) -> DataFrame:
+    return counts.sparkSession.createDataFrame([e for e in ends if e[1] > 0], "cut int, rank long")
 
 
-def train_quotas(counts: DataFrame, label: str, total: int, test_share: float) -> DataFrame:
+def train_quotas(counts: DataFrame, label: str, test_share: float) -> DataFrame:
     """Train rows per class: proportional shares, left-over rows by largest remainder."""
+    total = _total(counts)
     n_train = total - ceil(test_share * total - 1e-9)
     share = F.col("n") * n_train / F.lit(total)
     split = counts.withColumn("base", F.floor(share)).withColumn("rest", F.round(share - F.col("base"), 9))
@@ -33,7 +34,7 @@ def train_quotas(counts: DataFrame, label: str, total: int, test_share: float) -
     spare = F.lit(n_train) - F.sum("base").over(Window.partitionBy(F.lit(0)))
     placed = split.withColumn("spare", spare).withColumn("place", F.row_number().over(order))
     extra = (F.col("place") <= F.col("spare")).cast("bigint")
-    return placed.select(quoted(label), "n", (F.col("base") + extra).cast("bigint").alias("rank"))
+    return placed.select(quoted(label), F.lit(0).alias("cut"), (F.col("base") + extra).cast("bigint").alias("rank"))
 
 
 def stratified_holdout(df: DataFrame, label: str, key: str, test_share: float = TEST_SHARE, exact: bool = True) -> DataFrame:
@@ -43,11 +44,8 @@ def stratified_holdout(df: DataFrame, label: str, key: str, test_share: float =
     """
     if not exact:
         return df.withColumn("is_test", u01(key) < test_share)
-    counts = _labelled_counts(df, label)
-    total = df.count()
-    ranks = train_quotas(counts, label, total, test_share).select(quoted(label), F.lit(0).alias("cut"), "rank")
     ordered = with_hash_order(df, key)
-    cuts = rank_cutoffs(ordered, [label], ranks)
+    cuts = rank_cutoffs(ordered, [label], lambda counts: train_quotas(counts, label, test_share))
     return cut_index(ordered, cuts, [label], "__block").withColumn("is_test", F.col("__block") > 0).drop("__block")
 
 
@@ -55,21 +53,26 @@ def random_holdout(df: DataFrame, key: str, test_share: float = TEST_SHARE, exac
     """Add `is_test` for a share of all rows."""
     if not exact:
         return df.withColumn("is_test", u01(key) < test_share)
-    total = df.count()
-    n_train = total - ceil(test_share * total - 1e-9)
+
+    def quota(counts: DataFrame) -> DataFrame:
+        total = _total(counts)
+        return _listed(counts, [(0, total - ceil(test_share * total - 1e-9))])
+
     ordered = with_hash_order(df, key)
-    cuts = rank_cutoffs(ordered, [], _one_cut(df, n_train))
-    return cut_index(ordered, cuts, [], "__block").withColumn("is_test", F.col("__block") > 0).drop("__block")
+    placed = cut_index(ordered, rank_cutoffs(ordered, [], quota), [], "__block")
+    return placed.withColumn("is_test", F.col("__block") > 0).drop("__block")
+
+
+def _even_ends(total: int, k: int) -> list[tuple[int, int]]:
+    """Ends of the first k-1 of k blocks; the first total mod k blocks hold one row more."""
+    return [(i, (i + 1) * (total // k) + min(i + 1, total % k)) for i in range(k - 1)]
 
 
 def random_folds(df: DataFrame, key: str, k: int, out: str = "fold") -> DataFrame:
-    """k blocks of the hash order; the first n mod k blocks hold one row more."""
-    total = df.count()
-    sizes = [total // k + (1 if i < total % k else 0) for i in range(k)]
-    ends = [(i, sum(sizes[: i + 1])) for i in range(k - 1)]
+    """k blocks of the hash order."""
     ordered = with_hash_order(df, key)
-    ranks = df.sparkSession.createDataFrame(ends, "cut int, rank long")
-    return cut_index(ordered, rank_cutoffs(ordered, [], ranks), [], out)
+    cuts = rank_cutoffs(ordered, [], lambda counts: _listed(counts, _even_ends(_total(counts), k)))
+    return cut_index(ordered, cuts, [], out)
 
 
 def fold_quotas(counts: DataFrame, label: str, k: int) -> DataFrame:
@@ -91,15 +94,19 @@ def fold_quotas(counts: DataFrame, label: str, k: int) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, out: str = "fold") -> DataFrame:
-    ranks = fold_quotas(_labelled_counts(df, label), label, k)
+    """k folds with the same class shares. A class may skip leading folds if it is small."""
     ordered = with_hash_order(df, key)
-    # A rank of 0 has no row: the rows of that class start in a later fold, so the
-    # empty blocks are counted separately.
-    empty = ranks.where("rank = 0").groupBy(quoted(label)).agg(F.count(F.lit(1)).alias("__skipped"))
-    cuts = rank_cutoffs(ordered, [label], ranks.where("rank > 0"))
-    placed = cut_index(ordered, cuts, [label], out)
-    if empty.limit(1).count():
-        placed = placed.join(empty, label, "left")
+    skipped: list[DataFrame] = []
+
+    def quotas(counts: DataFrame) -> DataFrame:
+        ranks = small_table(fold_quotas(counts, label, k))
+        skipped.append(ranks.where("rank = 0").groupBy(quoted(label)).agg(F.count(F.lit(1)).alias("__skipped")))
+        return ranks.where("rank > 0")
+
+    placed = cut_index(ordered, rank_cutoffs(ordered, [label], quotas), [label], out)
+    # A rank of 0 has no row to cut at, so the empty leading folds are added back.
+    if skipped[0].limit(1).count():
+        placed = placed.join(skipped[0], label, "left")
         placed = placed.withColumn(out, F.col(out) + F.coalesce("__skipped", F.lit(0)).cast("int")).drop("__skipped")
     return placed
 
@@ -107,16 +114,16 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int, out: str = "fo
 def contiguous_folds(df: DataFrame, key: str, k: int, label: str | None = None, out: str = "fold") -> DataFrame:
     """Unshuffled folds in key order, inside each class if a label is given."""
     by = [label] if label else []
-    ordered = with_key_order(df, key)
-    if label:
-        counts = _labelled_counts(df, label).withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(k - 2))))
+
+    def ends(counts: DataFrame) -> DataFrame:
+        if not label:
+            return _listed(counts, _even_ends(_total(counts), k))
         rank = F.expr(f"(cut + 1) * (n div {k}) + least(cut + 1, n % {k})")
-        ranks = counts.select(quoted(label), "cut", rank.cast("bigint").alias("rank")).where("rank > 0")
-    else:
-        total = df.count()
-        ends = [(i, (i + 1) * (total // k) + min(i + 1, total % k)) for i in range(k - 1)]
-        ranks = df.sparkSession.createDataFrame([e for e in ends if e[1] > 0], "cut int, rank long")
-    return cut_index(ordered, rank_cutoffs(ordered, by, ranks, span=None), by, out)
+        every = counts.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(k - 2))))
+        return every.select(quoted(label), "cut", rank.cast("bigint").alias("rank")).where("rank > 0")
+
+    ordered = with_key_order(df, key)
+    return cut_index(ordered, rank_cutoffs(ordered, by, ends, span=None), by, out)
 
 
 def learning_steps(
@@ -126,17 +133,19 @@ def learning_steps(
 
     Prefixes follow an integer key, or the hash order for rows without one.
     """
-    total = df.count()
-    ends = [(i, int(f * total)) for i, f in enumerate(steps[:-1]) if int(f * total) > 0]
-    skipped = len(steps) - 1 - len(ends)
-    if not ends:
-        return df.withColumn(out, F.lit(skipped))
-    ranks = df.sparkSession.createDataFrame(ends, "cut int, rank long")
+    empty: list[int] = []
+
+    def ends(counts: DataFrame) -> DataFrame:
+        total = _total(counts)
+        found = [(i, int(f * total)) for i, f in enumerate(steps[:-1])]
+        empty.append(sum(1 for _, rank in found if rank == 0))
+        return _listed(counts, found)
+
     if hashed:
         ordered = with_hash_order(df, key, F.lit("curve"))
-        cuts = rank_cutoffs(ordered, [], ranks)
+        cuts = rank_cutoffs(ordered, [], ends)
     else:
         ordered = with_key_order(df, key)
-        cuts = rank_cutoffs(ordered, [], ranks, span=None)
+        cuts = rank_cutoffs(ordered, [], ends, span=None)
     placed = cut_index(ordered, cuts, [], out)
-    return placed.withColumn(out, (F.col(out) + skipped).cast("int"))
+    return placed.withColumn(out, (F.col(out) + empty[0]).cast("int"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import encode
 from ..operators.split import stratified_holdout
+from ..session import materialize
 from .fixtures import FX_CLASS_SQL, fx_class, holdout_sql
 
 KEY = "o_orderkey"
@@ -16,7 +17,7 @@ HELD_SQL = f"""{FX_CLASS_SQL}, {holdout_sql('fxc','level',KEY)}, train as (selec
 
 
 def held(spark, sf_dir):
-    return stratified_holdout(fx_class(spark, sf_dir), "level", KEY)
+    return materialize(stratified_holdout(fx_class(spark, sf_dir), "level", KEY), "held")
 
 
 def _fit(rows, categorical=(), numeric=()):

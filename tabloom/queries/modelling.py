@@ -31,7 +31,7 @@ def encoded(spark, sf_dir, task: str, label=None):
     target = label if label is not None else (F.col("y") if task == "regression" else (F.col("level") == "hi"))
     rows = rows.withColumn(LABEL, target.cast("double"))
     held = random_holdout(rows, "o_orderkey") if task == "regression" else stratified_holdout(rows, LABEL, "o_orderkey")
-    held = held.withColumn(KEY, F.col("o_orderkey").cast("string"))
+    held = materialize(held.withColumn(KEY, F.col("o_orderkey").cast("string")), "held")
     fitted = encode.Preprocessor.fit(held.where(~F.col("is_test")), CATEGORICAL, NUMERIC)
     return materialize(fitted.transform(held, [KEY, "is_test", LABEL]), "encoded"), fitted
 
@@ -309,8 +309,9 @@ def flagship_metrics(spark, sf_dir):
     data, _ = encoded(spark, sf_dir, "classification")
     train_rows, test_rows = _parts(data)
     scored = fit_model("LogisticRegression", train_rows).predict(test_rows)
-    scored = materialize(scored.select(LABEL, PREDICTION, F.col("scores")[1].alias("score")), "scored")
-    return metrics.binary_metrics(scored, []).join(metrics.roc_auc(scored))
+    scored = scored.select(F.lit("test").alias("part"), LABEL, PREDICTION, F.col("scores")[1].alias("score"))
+    scored = materialize(scored, "scored")
+    return metrics.binary_metrics(scored, ["part"]).join(metrics.roc_auc(scored, ["part"]), "part")
 
 
 QUERIES = {

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import NULL_TOKENS, READER_NULL_TOKENS, null_tokens
 from ..operators import clean, encode, profile
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import tables
 from .fixtures import DIRTY_SQL, FX_CLASS_SQL, FX_SQL, dirty_customer, fx, fx_class, holdout_sql, table
 from ..operators.split import stratified_holdout
@@ -143,7 +143,7 @@ def _corr_sql(source: str) -> str:
 
 
 def _train_rows(spark, sf_dir):
-    held = stratified_holdout(fx_class(spark, sf_dir), "level", "o_orderkey")
+    held = materialize(stratified_holdout(fx_class(spark, sf_dir), "level", "o_orderkey"), "held")
     return held.where(~F.col("is_test")).withColumn("flat", F.lit(7.0))
 
 
@@ -162,7 +162,7 @@ select distinct a as "column" from pairs join pos x on a=x.name join pos y on b=
 
 def drop_correlated(spark, sf_dir):
     """The columns that survive the filter, for train and test rows alike."""
-    held = stratified_holdout(fx_class(spark, sf_dir), "level", "o_orderkey").withColumn("flat", F.lit(7.0))
+    held = materialize(stratified_holdout(fx_class(spark, sf_dir), "level", "o_orderkey"), "held").withColumn("flat", F.lit(7.0))
     train = held.where(~F.col("is_test"))
     dropped = [r[0] for r in profile.correlated_columns(profile.correlation_pairs(train, CORR_COLUMNS)).collect()]
     kept = [c for c in CORR_COLUMNS if c not in dropped]

@@ -52,8 +52,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[context.applicationId]
 
 
+def scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tabloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tabloom/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Free the stored copy behind `df`, once nothing reads it any more."""
+    spark, marker = df.sparkSession, f"/tabloom/{df.sparkSession.sparkContext.applicationId}/"
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if marker in folder:
+            _delete(spark, folder)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Free every stored copy of this application, when its results have been used."""
+    _delete(spark, scratch_root(spark))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -74,13 +96,19 @@ def compact(df: DataFrame, rows_per_task: int = 25_000) -> DataFrame:
     return df.coalesce(needed) if needed < df.sparkSession.sparkContext.defaultParallelism else df
 
 
+def rows_if_small(df: DataFrame, max_rows: int = 100_000) -> list | None:
+    """The rows of `df` if there are at most `max_rows`, else None."""
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
 def small_table(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """`df` as a broadcast side if its row count, checked here, is at most `max_rows`.
 
     A larger table is written to the shared folder and returned without a hint, so the
     joins that use it fall back to shuffles planned by AQE.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-    return materialize(df, "table")
+    rows = rows_if_small(df, max_rows)
+    if rows is None:
+        return materialize(df, "table")
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
