@@ -10,9 +10,18 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    """Hundreds of tiny jobs: quick compilation matters more than fast code here."""
     from tabloom.session import local_session
 
-    session = local_session("tests", cpus=8)
+    session = local_session(
+        "tests",
+        cpus=4,
+        **{
+            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.shuffle.partitions": "3",
+        },
+    )
     yield session
     session.stop()
 
