@@ -198,7 +198,7 @@ def label_dictionary(df: DataFrame, label: str) -> DataFrame:
     """(value, label): classes in ascending order as 0..k-1; numbers sort as numbers."""
     classes = df.select(F.col(quoted(label)).alias("value")).where("value is not null").distinct()
     coded = ordered_codes(classes, "value", "code")
-    return coded.select("value", F.col("code").cast("double").alias("label"))
+    return small_table(coded.select("value", F.col("code").cast("double").alias("label")))
 
 
 def encode_label(df: DataFrame, labels: DataFrame, column: str, out: str = "label") -> DataFrame:

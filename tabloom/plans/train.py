@@ -98,7 +98,7 @@ def prepare(
     found = profile.profile(cleaned, target)
     labels, classes = None, 0
     if found.task == "classification":
-        labels = materialize(encode.label_dictionary(cleaned, target), "labels")
+        labels = encode.label_dictionary(cleaned, target)
         classes = labels.count()
         smallest = profile.class_counts(cleaned, target).agg(F.min("n")).first()[0]
         if smallest < 2:

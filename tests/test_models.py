@@ -21,7 +21,7 @@ THREE = np.digitize(Y, [-1.0, 1.0]).astype(float)
 
 @pytest.fixture(scope="module")
 def table(spark):
-    rows = [(str(i), x.tolist(), float(y), a, b) for i, (x, y, a, b) in enumerate(zip(X, Y, TWO, THREE))]
+    rows = [(str(i), x.tolist(), float(y), float(a), float(b)) for i, (x, y, a, b) in enumerate(zip(X, Y, TWO, THREE))]
     df = spark.createDataFrame(rows, "row_key string, x array<double>, y double, two double, three double")
     return df.withColumn("features", array_to_vector("x")).drop("x").repartition(3).cache()
 
