@@ -122,11 +122,12 @@ def _rows_in_bucket(slim: DataFrame, wanted: DataFrame, by: list[str], origin: i
     ).drop("__bucket")
 
 
-def cut_index(ordered: DataFrame, cutoffs: DataFrame, by: Sequence[str], out: str) -> DataFrame:
+def cut_index(ordered: DataFrame, cutoffs: DataFrame, by: Sequence[str], out: str, absent: int = 0) -> DataFrame:
     """Number of cut-offs of its group that lie strictly before each row.
 
     With one cut-off the value is 0 inside the first `rank` rows and 1 beyond; with
-    k-1 cut-offs it is the block number 0..k-1. A group has a handful of cut-offs.
+    k-1 cut-offs it is the block number 0..k-1. A group has a handful of cut-offs; the
+    rows of a group without any get `absent`.
     """
     by = list(by)
     if by:
@@ -139,11 +140,11 @@ def cut_index(ordered: DataFrame, cutoffs: DataFrame, by: Sequence[str], out: st
     else:
         found = cutoffs.collect()
         if not found:
-            return ordered.withColumn(out, F.lit(0)).drop(ORDER, TIE)
+            return ordered.withColumn(out, F.lit(absent)).drop(ORDER, TIE)
         pairs = [F.struct(F.lit(e["cut_order"]).alias("cut_order"), F.lit(e["cut_tie"]).alias("cut_tie")) for e in found]
         joined = ordered.withColumn("__edges", F.array(*pairs))
     beyond = f"size(filter(__edges, e -> e.cut_order < {ORDER} or (e.cut_order = {ORDER} and e.cut_tie < {TIE})))"
-    index = F.when(F.col("__edges").isNull(), F.lit(0)).otherwise(F.expr(beyond))
+    index = F.when(F.col("__edges").isNull(), F.lit(absent)).otherwise(F.expr(beyond))
     return joined.withColumn(out, index.cast("int")).drop("__edges", ORDER, TIE)
 
 

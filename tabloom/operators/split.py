@@ -46,7 +46,8 @@ def stratified_holdout(df: DataFrame, label: str, key: str, test_share: float =
         return df.withColumn("is_test", u01(key) < test_share)
     ordered = with_hash_order(df, key)
     cuts = rank_cutoffs(ordered, [label], lambda counts: train_quotas(counts, label, test_share))
-    return cut_index(ordered, cuts, [label], "__block").withColumn("is_test", F.col("__block") > 0).drop("__block")
+    placed = cut_index(ordered, cuts, [label], "__block", absent=1)
+    return placed.withColumn("is_test", F.col("__block") > 0).drop("__block")
 
 
 def random_holdout(df: DataFrame, key: str, test_share: float = TEST_SHARE, exact: bool = True) -> DataFrame:
@@ -59,7 +60,7 @@ def random_holdout(df: DataFrame, key: str, test_share: float = TEST_SHARE, exac
         return _listed(counts, [(0, total - ceil(test_share * total - 1e-9))])
 
     ordered = with_hash_order(df, key)
-    placed = cut_index(ordered, rank_cutoffs(ordered, [], quota), [], "__block")
+    placed = cut_index(ordered, rank_cutoffs(ordered, [], quota), [], "__block", absent=1)
     return placed.withColumn("is_test", F.col("__block") > 0).drop("__block")
 
 

@@ -30,6 +30,14 @@ def test_stratified_holdout_matches_ranking(spark, monkeypatch, tight):
         assert len(chosen) == round(0.7 * len(part))
 
 
+def test_class_without_train_quota_is_test(spark):
+    rows = [(i, "a") for i in range(4)] + [(4, "b")]
+    df = spark.createDataFrame(rows, "id long, label string")
+    held = split.stratified_holdout(df, "label", "id", 0.6).toPandas()
+    assert held.is_test.sum() == 3
+    assert split.random_holdout(df.limit(1), "id").first()["is_test"]
+
+
 def test_folds_cover_all_rows_once(spark):
     df = hot_classes(spark, 1003)
     folds = split.stratified_folds(df, "label", "id", 4).toPandas()
