@@ -134,7 +134,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes: int = MAX_P
     times = draw_slots(sources).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
         pieces_of(laid, block_words)
-        .join(times, ["src", "block"])
+        .join(times.hint("merge"), ["src", "block"])  # exploded: its size is underestimated
         .groupBy("src", "start")
         .agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
         .withColumn("_some", F.lit(True))
@@ -168,7 +168,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes:
     laid, sources = lay_out(docs, block_words, max_passes)
     parts = (
         pieces_of(laid, block_words)
-        .join(draw_slots(sources).select("src", "block", "pass"), ["src", "block"])
+        .join(draw_slots(sources).select("src", "block", "pass").hint("merge"), ["src", "block"])
         .groupBy("src", "start", "pass")
         .agg(F.sum("n").alias("got"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("parts"))
     )
