@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import exact_dedup, mixing
+from tabloom.llm import bpe, exact_dedup, mixing, near_dedup, quality, secrets, sharding, substring_dedup, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.verdicts(documents(spark, sf_dir)).select(*base, "removed_words")
+
+
+def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir))
+
+
+def op5_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -19,6 +36,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(documents(spark, sf_dir))
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir))
+
+
+def op9_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(documents(spark, sf_dir))
+
+
 EXACT_DEDUP_SQL = """
 select doc_id, max(doc_id) over copies as keep_id, count(*) over copies as group_size,
        doc_id = max(doc_id) over copies as kept, sha256(coalesce(text, '')) as text_sha256
@@ -27,6 +56,13 @@ window copies as (partition by coalesce(text, ''))
 """
 
 QUERIES = {
+    "op1_unit_dedup": (op1_unit_dedup, None),
+    "op2_line_frequency": (op2_line_frequency, None),
+    "op3_trigram_secrets": (op3_trigram_secrets, None),
+    "op5_simple8b_tokens": (op5_simple8b_tokens, None),
     "op6_mixing": (op6_mixing, None),
     "op7_exact_dedup": (op7_exact_dedup, EXACT_DEDUP_SQL),
+    "op8_hyperminhash": (op8_hyperminhash, None),
+    "op9_label_sharding": (op9_label_sharding, None),
+    "op10_piece_bpe": (op10_piece_bpe, None),
 }
