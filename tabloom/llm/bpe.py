@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.pretokens import encode_texts, texts_of
+from tabloom.llm.process import once
 from tabloom.llm.shared import text_of
 from tabloom.llm.words import slices
 
@@ -117,10 +117,9 @@ class Codec:
         return b"".join(self.tokens[i] for i in ids)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """One codec in each Python worker."""
-    return Codec(path)
+    return once(("codec", path), lambda: Codec(path))
 
 
 def _pieces(table: pa.Array, ids: np.ndarray, upto: np.ndarray) -> list[memoryview]:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.shared import prefix_sums, small_side, stored, text_of
+from tabloom.llm.shared import one_of_each, prefix_sums, small_side, stored, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -146,18 +146,6 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes: int = MAX_P
     )
 
 
-def _one_of_each(rows: DataFrame, slim: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` without repeats; only the keys that do occur more than once are shuffled for it."""
-    again = stored(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeats")
-    if again.isEmpty():
-        return rows
-    same = F.lit(True)
-    for key in keys:
-        same = same & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
-    left, right = rows.alias("a"), small_side(again).alias("b")
-    return left.join(right, same, "left_anti").unionByName(left.join(right, same, "left_semi").dropDuplicates(keys))
-
-
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes: int = MAX_PASSES) -> DataFrame:
     """The mix itself with the columns of `docs`: a row for each document and pass that takes it.
 
@@ -182,7 +170,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes:
         "_row", F.col("_row.doc_id").alias("_id"), F.xxhash64(F.coalesce("_row.text", F.lit(""))).alias("_digest"),
         F.col("_row.source").alias("_source"),
     )
-    rows = _one_of_each(rows, laid.selectExpr("doc_id as _id", "digest as _digest", "source as _source"), keys)
+    rows = one_of_each(rows, laid.selectExpr("doc_id as _id", "digest as _digest", "source as _source"), keys)
     same = (
         F.col("a._id").eqNullSafe(F.col("b._id"))
         & (F.col("a._digest") == F.col("b._digest"))

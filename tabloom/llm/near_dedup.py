@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.shared import small_side, stored, text_of
+from tabloom.llm.shared import one_of_each, small_side, stored, text_of
 from tabloom.llm.words import Texts, hashes, slices, window_hashes
 from tabloom.session import discard
 
@@ -243,7 +243,7 @@ def settle(pending: DataFrame, links: DataFrame, classes: DataFrame, rows: DataF
 
 
 def near_groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, digest, n_shingles, component_id and members (the digest of its set)."""
+    """doc_id, digest, n_shingles, component_id and comp (null without shingles)."""
     rows = _rows(docs)
     features = stored(rows.mapInArrow(_features(width), FEATURES), "shingles")
     classes = classes_of(features)
@@ -265,11 +265,10 @@ def near_groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     named = classes.join(comps, "node", "left").select("members", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = stored(named.join(least, "comp").select("members", "component_id"), "named")
-    joined = features.join(named, "members", "left")
-    return joined.select(
-        "doc_id", "digest", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "members"
-    )
+    named = stored(named.join(least, "comp").select("members", "component_id", "comp"), "named")
+    joined = features.drop("registers").join(named, "members", "left")
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select("doc_id", "digest", "n_shingles", component.alias("component_id"), "comp")
 
 
 def near_dedup(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -277,3 +276,19 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return near_groups(docs, width).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def drop_near_copies(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """The rows of `docs` without the near copies: of each group the least (doc_id, text) stays."""
+    groups = stored(near_groups(docs, width).select("doc_id", "digest", "comp"), "groups")
+    first = groups.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    marked = groups.join(first, "comp").withColumn("stays", F.struct("doc_id", "digest").eqNullSafe(F.col("first")))
+    dropped = stored(marked.where("not stays").select("doc_id", "digest").distinct(), "dropped")
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of()).alias("_digest")
+    )
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest"))
+    left = rows.join(small_side(dropped), same, "left_anti")
+    # A repeated row is a copy, too; rows without a word are no one's copy.
+    slim = marked.where("stays").selectExpr("doc_id as _id", "digest as _digest")
+    return one_of_each(left, slim, ["_id", "_digest"]).select("_row.*")

@@ -12,12 +12,13 @@ text with characters outside of long-stable ranges is left to the library as a w
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tabloom.llm.process import once
+
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 4
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -25,8 +26,7 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 STABLE = ((0x0, 0x376), (0x384, 0x528), (0x2000, 0x2065), (0x3041, 0x30FF), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4))
 
 
-@cache
-def _classes() -> np.ndarray:
+def _class_table() -> np.ndarray:
     table = np.full(0x110000, OTHER, dtype=np.uint8)
     for code in range(0x110000):
         kind = unicodedata.category(chr(code))[0]
@@ -36,8 +36,7 @@ def _classes() -> np.ndarray:
     return table
 
 
-@cache
-def _stable() -> np.ndarray:
+def _stable_table() -> np.ndarray:
     table = np.zeros(0x110000, dtype=bool)
     for first, stop in STABLE:
         table[first:stop] = True
@@ -70,7 +69,7 @@ def _starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     n = len(points)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    kinds = _classes()[points]
+    kinds = once("classes", _class_table)[points]
     opens = np.zeros(n + 1, dtype=bool)  # starts of texts, and the end
     opens[text_starts] = True
     opens[n] = True
@@ -109,10 +108,10 @@ def _starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 
 def stable_texts(texts: list[str]) -> np.ndarray:
     """Which texts hold characters of the stable ranges only."""
-    out = np.ones(len(texts), dtype=bool)
+    out, stable = np.ones(len(texts), dtype=bool), once("stable", _stable_table)
     for i, text in enumerate(texts):
         if not text.isascii():
-            out[i] = _stable()[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)].all()
+            out[i] = stable[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)].all()
     return out
 
 

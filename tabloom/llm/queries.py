@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import bpe, exact_dedup, mixing, near_dedup, quality, secrets, sharding, substring_dedup, token_files
+from tabloom.llm import (
+    bpe, exact_dedup, kneser_ney, mixing, near_dedup, quality, secrets, sharding, substring_dedup, token_files,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.train_and_score(documents(spark, sf_dir))
+
+
 def op5_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir))
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op1_unit_dedup": (op1_unit_dedup, None),
     "op2_line_frequency": (op2_line_frequency, None),
     "op3_trigram_secrets": (op3_trigram_secrets, None),
+    "op4_kneser_ney": (op4_kneser_ney, None),
     "op5_simple8b_tokens": (op5_simple8b_tokens, None),
     "op6_mixing": (op6_mixing, None),
     "op7_exact_dedup": (op7_exact_dedup, EXACT_DEDUP_SQL),

@@ -57,3 +57,15 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value, name: str) -
         .withColumn(name, F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
         .drop("_value", "_spread", "_bucket", "_before")
     )
+
+
+def one_of_each(rows: DataFrame, slim: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` without repeats; only the keys that do occur more than once are shuffled for it."""
+    again = stored(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeats")
+    if again.isEmpty():
+        return rows
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
+    left, right = rows.alias("a"), small_side(again).alias("b")
+    return left.join(right, same, "left_anti").unionByName(left.join(right, same, "left_semi").dropDuplicates(keys))

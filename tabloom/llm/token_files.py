@@ -16,7 +16,6 @@ rows with equal ids are ordered by their text; an empty table has no files and n
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from tabloom.llm import simple8b
 from tabloom.llm.files import open_folder, own_name
 from tabloom.llm.pretokens import encode_texts, texts_of
+from tabloom.llm.process import once
 from tabloom.llm.shared import stored, text_of
 from tabloom.llm.words import slices
 from tabloom.session import scratch_path
@@ -68,9 +68,8 @@ class Encoder:
         return np.insert(ids, np.cumsum(counts), END_ID), counts + 1
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return once(("encoder", path), lambda: Encoder(path))
 
 
 class Writer:
