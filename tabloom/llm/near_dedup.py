@@ -7,7 +7,7 @@ one. Bands of 6 registers propose pairs. In each band's bucket one class, drawn
 the leader, and the others are paired with it only. Proposed pairs are first judged by the
 registers (equal ones, corrected for expected chance collisions, with a margin of five
 deviations), then confirmed on the full sets. Each class confirms its best pair first; pairs
-whose ends already hang together need no proof. At last, classes of a bucket that are still
+whose ends then hang together need no proof. At last, classes of a bucket that are still
 apart are paired with each other and judged in the same way, so that no proposed link is lost.
 
 A pair at similarity 0.8 misses all 42 bands with a probability of 3e-6, and less above it.
@@ -228,17 +228,26 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def settle(pending: DataFrame, links: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Confirm pending pairs, the best of each class first, until none is open: (links, comps)."""
+    """Confirm the pending pairs whose ends are apart: (links, components).
+
+    The best pair of each class comes first, twice, as it joins most groups; whatever is then
+    still apart is confirmed in full.
+    """
     comps = components(links)
-    pending = stored(_apart(pending, comps), "pending")
-    while not pending.isEmpty():
-        ends = pending.select(F.col("a").alias("end"), "a", "b", "likely").union(pending.select("b", "a", "b", "likely"))
-        best = ends.groupBy("end").agg(F.max(F.struct("likely", "a", "b")).alias("p"))
-        chosen = stored(best.select("p.a", "p.b").distinct(), "chosen")
+    for best_only in (True, True, False):
+        pending = stored(_apart(pending, comps), "pending")
+        if pending.isEmpty():
+            break
+        chosen = pending
+        if best_only:
+            ends = pending.select(F.col("a").alias("end"), "a", "b", "likely")
+            ends = ends.union(pending.select("b", "a", "b", "likely"))
+            chosen = ends.groupBy("end").agg(F.max(F.struct("likely", "a", "b")).alias("p"))
+            chosen = chosen.select("p.a", "p.b").distinct()
+        chosen = stored(chosen.select("a", "b"), "chosen")
         links = stored(links.union(confirmed(chosen, classes, rows, width)), "links")
         comps = components(links)
-        rest = pending.join(chosen, ["a", "b"], "left_anti")
-        pending = stored(_apart(rest, comps), "pending")
+        pending = pending.join(chosen, ["a", "b"], "left_anti")
     return links, comps
 
 
@@ -249,7 +258,7 @@ def near_groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     classes = classes_of(features)
     bands = band_members(classes)
     stars = bands.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    none = docs.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     links, comps = settle(judged(stars.distinct(), classes), none, classes, rows, width)
 
     # Classes that share a bucket and are still apart meet each other, if their sizes allow it.
