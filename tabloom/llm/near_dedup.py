@@ -1,14 +1,21 @@
 """Operator 8, near-duplicate groups by HyperMinHash.
 
 A document is the set of its distinct word shingles. Documents with equal sets are one class.
-The hash of a shingle names one of 256 buckets by its first byte; the bucket keeps the least
-remainder, compressed to 16 bits: the number of leading zeros and the 10 bits after the first
-one. Bands of 6 registers propose pairs. In each band's bucket one class, drawn by a hash, is
-the leader, and the others are paired with it only. Proposed pairs are first judged by the
-registers (equal ones, corrected for expected chance collisions, with a margin of five
-deviations), then confirmed on the full sets. Each class confirms its best pair first; pairs
-whose ends then hang together need no proof. At last, classes of a bucket that are still
-apart are paired with each other and judged in the same way, so that no proposed link is lost.
+A sketch has 256 registers, each the least hash of a bucket compressed to 16 bits: its leading
+zeros and the 10 bits after the first one. So that no bucket stays empty, a set of 2^c to
+2^(c+1) shingles has 2^(c-3) buckets under each of several hash seeds; a set within a fifth of
+the next size class has a sketch of that class as well, so that any two sets that may be linked
+share one. Bands of 6 registers deal the classes to band buckets.
+
+In a band bucket one member, drawn by a hash, leads, and the others are paired with it only.
+Pairs are judged by their registers (equal ones, corrected for expected chance collisions, with
+a margin of five deviations). Members that are far from their leader choose a new one; what is
+left after `LEADERS` rounds, a few members that are all unlike, is paired in full. Near pairs
+are then confirmed on the full sets, the best of each class first; ends that already hang
+together need no proof. Families (what hangs together by near pairs) that are not yet one
+component are at last compared in blocks: every member outside of the largest component with
+all members, on full sets, giving out links only. So no group gives out its pairs, and none
+meets in one task.
 
 A pair at similarity 0.8 misses all 42 bands with a probability of 3e-6, and less above it.
 Components are found by alternating large and small stars, stored after each round.
@@ -29,17 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.shared import one_of_each, small_side, stored, text_of
-from tabloom.llm.words import Texts, hashes, slices, window_hashes
+from tabloom.llm.words import Texts, hashes, scramble, slices, window_hashes
 from tabloom.session import discard
 
 SHINGLE = 4
 THRESHOLD = 80  # percent
-BUCKETS, MANTISSA = 256, 10
+REGISTERS, MANTISSA = 256, 10
 BAND, BANDS = 6, 42
 EMPTY = 0xFFFF
 DEVIATIONS = 5
+LEADERS = 3
+BLOCK = 128
+COLUMNS = 20_000
 
-FEATURES = "doc_id long, digest long, n_shingles long, members binary, registers binary"
+FEATURES = "doc_id long, digest long, n_shingles long, members binary, sketches array<struct<size:int,registers:binary>>"
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
@@ -58,19 +68,44 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def registers(members: np.ndarray) -> np.ndarray:
-    """The compressed least remainder of each bucket, from sorted hashes."""
-    out = np.full(BUCKETS, EMPTY, dtype=np.uint16)
-    if len(members):
-        bucket = (members >> np.uint64(56)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        # Below 2**53 a float has the exact length of the number; the mantissa has the 10 bits.
-        rest = (members[first] & np.uint64((1 << 56) - 1)) >> np.uint64(3)
-        mantissa, exponent = np.frexp(rest.astype(np.float64))
-        zeros = (53 - exponent).astype(np.int64)
-        low = ((mantissa * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
-        out[bucket[first]] = np.where(rest > 0, zeros << MANTISSA | low, 54 << MANTISSA)
-    return out
+def registers(members: np.ndarray, size: int, seeds: np.ndarray) -> np.ndarray:
+    """The sketch of a set for size class `size`: the compressed least hash of every bucket."""
+    buckets = min(max(1, 1 << max(0, size - 3)), REGISTERS)
+    rows, bits = REGISTERS // buckets, buckets.bit_length() - 1
+    h = members[None, :] * seeds[:rows, None]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    out = np.full((rows, buckets), EMPTY, dtype=np.uint16)
+    if bits:
+        h.sort(axis=1)
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+        first = np.ones(bucket.shape, dtype=bool)
+        first[:, 1:] = bucket[:, 1:] != bucket[:, :-1]
+        row, column = np.nonzero(first)
+        place, least = bucket[row, column], h[row, column] << np.uint64(bits)
+    else:
+        row, place, least = np.arange(rows), np.zeros(rows, np.int64), h.min(axis=1)
+    # Below 2**53 a float has the exact length of a number, and its mantissa the bits after it.
+    least = least >> np.uint64(11)
+    mantissa, exponent = np.frexp(least.astype(np.float64))
+    zeros, low = (53 - exponent).astype(np.int64), ((mantissa * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
+    out[row, place] = np.where(least > 0, zeros << MANTISSA | low, 54 << MANTISSA)
+    return out.ravel()
+
+
+def sketches(members: np.ndarray, seeds: np.ndarray) -> list[dict]:
+    """The sketches of a set: of its size class, and of the next one if linked sets may be in it."""
+    n = len(members)
+    if not n:
+        return []
+    size = n.bit_length() - 1
+    sizes = [size, size + 1] if 100 * n >= THRESHOLD << (size + 1) else [size]
+    return [{"size": c, "registers": registers(members, c, seeds).tobytes()} for c in sizes]
+
+
+def hash_seeds() -> np.ndarray:
+    return scramble(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,21 +115,23 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     equal = ((a == b) & used).sum(axis=1)
     ratio = np.maximum(size_a, size_b) / np.minimum(size_a, size_b)
     # Expected chance collisions of registers of unlike sets, for sets well above the buckets.
-    chance = 0.1699194871597391 * 4 * ratio / (1 + ratio) ** 2 * BUCKETS / (1 << MANTISSA)
+    chance = 0.1699194871597391 * 4 * ratio / (1 + ratio) ** 2 * REGISTERS / (1 << MANTISSA)
     return np.clip((equal - chance) / np.maximum(n, 1), 0, 1), n
 
 
 def _features(width: int):
     def run(batches):
-        for batch in slices(batches):
+        seeds = hash_seeds()
+        kind = pa.list_(pa.struct([("size", pa.int32()), ("registers", pa.binary())]))
+        for batch in slices(batches, limit=6 << 20):
             sets = shingle_sets(batch.column("text"), width)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("digest"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(digest, pa.binary()), pa.array([registers(s).tobytes() for s in sets], pa.binary()),
+                    pa.array(digest, pa.binary()), pa.array([sketches(s, seeds) for s in sets], kind),
                 ],
-                names=[part.split(" ")[0] for part in FEATURES.split(", ")],
+                names=["doc_id", "digest", "n_shingles", "members", "sketches"],
             )
 
     return run
@@ -106,27 +143,53 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def classes_of(features: DataFrame) -> DataFrame:
-    """A stored row for each distinct set: node (its number), least document, size, registers."""
+    """A stored row for each distinct set: node (its number), least document, size, sketches."""
     grouped = features.where("n_shingles > 0").groupBy("members").agg(
         F.min(F.struct("doc_id", "digest")).alias("least"), F.min("doc_id").alias("doc_id"),
-        F.first("n_shingles").alias("n"), F.first("registers").alias("registers"),
+        F.first("n_shingles").alias("n"), F.first("sketches").alias("sketches"),
     )
     return stored(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
 def band_members(classes: DataFrame) -> DataFrame:
-    """Stored (key, node, n, leader) of the bands that more than one class shares."""
+    """Stored (key, node, size) of the bands that more than one class shares."""
     width = 2 * BAND
     cut = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda i: F.struct(i.alias("band"), F.expr("registers").substr(i * width + 1, F.lit(width)).alias("part")),
+        lambda i: F.struct(i.alias("band"), F.expr("sketch.registers").substr(i * width + 1, F.lit(width)).alias("part")),
     )
-    bands = classes.select("node", "n", F.explode(cut).alias("b")).where(F.col("b.part") != F.lit(b"\xff" * width))
-    bands = bands.select("node", "n", F.xxhash64("b.band", "b.part").alias("key"))
-    draw = F.struct(F.xxhash64("key", "node").alias("draw"), F.col("node").alias("leader"))
-    leaders = bands.groupBy("key").agg(F.min(draw).alias("first"), F.count(F.lit(1)).alias("size"))
-    leaders = leaders.where("size > 1").select("key", "first.leader")
-    return stored(bands.join(leaders, "key"), "bands")
+    each = classes.select("node", F.explode("sketches").alias("sketch"))
+    bands = each.select("node", "sketch.size", F.explode(cut).alias("b")).where(F.col("b.part") != F.lit(b"\xff" * width))
+    bands = bands.select("node", "size", F.xxhash64("size", "b.band", "b.part").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return stored(bands.join(shared.hint("merge"), "key"), "bands")
+
+
+def _led(members: DataFrame, turn: int) -> DataFrame:
+    """The members of each key with its leader of this round; a lone member has none."""
+    draw = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("draw"), F.col("node").alias("leader"))
+    leaders = members.groupBy("key").agg(F.min(draw).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return members.join(leaders.select("key", "first.leader"), "key").where("node != leader")
+
+
+def near_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Stored (a, b, likely): the pairs of leaders and members that the registers call near."""
+    found = None
+    for turn in range(LEADERS):
+        led = stored(_led(members, turn), "led")
+        ends = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "size")
+        near = judged(ends.groupBy("a", "b").agg(F.min("size").alias("size")), classes)
+        found = near if found is None else found.union(near)
+        both = near.select(F.col("a").alias("node"), F.col("b").alias("leader"))
+        both = both.union(near.select(F.col("b"), F.col("a")))
+        members = stored(led.join(both, ["node", "leader"], "left_anti").select("key", "node", "size"), "far")
+        if members.isEmpty():
+            break
+    x, y = members.alias("x"), members.alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
+    rest = rest.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min("x.size").alias("size"))
+    found = found.union(judged(rest, classes))
+    return stored(found.groupBy("a", "b").agg(F.max("likely").alias("likely")), "near")
 
 
 def _judge(batches):
@@ -135,7 +198,7 @@ def _judge(batches):
         if not batch.num_rows:
             continue
         a, b = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb")
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb")
         )
         sizes = [batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb")]
         value, n = estimate(a, b, *sizes)
@@ -147,10 +210,11 @@ def _judge(batches):
 
 
 def judged(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Stored (a, b, likely): the pairs whose registers do not speak against the threshold."""
-    left = classes.select(F.col("node").alias("a"), F.col("registers").alias("ra"), F.col("n").alias("na"))
-    right = classes.select(F.col("node").alias("b"), F.col("registers").alias("rb"), F.col("n").alias("nb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb")
+    """Stored (a, b, likely): of (a, b, size), those that the registers of that size call near."""
+    each = classes.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.size", "s.registers")
+    left = each.select(F.col("node").alias("a"), "size", F.col("registers").alias("ra"), F.col("n").alias("na"))
+    right = each.select(F.col("node").alias("b"), "size", F.col("registers").alias("rb"), F.col("n").alias("nb"))
+    rows = pairs.join(left, ["a", "size"]).join(right, ["b", "size"]).select("a", "b", "ra", "rb", "na", "nb")
     rows = rows.where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
     return stored(rows.mapInArrow(_judge, "a long, b long, likely double"), "judged")
 
@@ -177,30 +241,95 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """Stored (a, b): the pairs that reach the threshold on their full sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stored(wanted.join(classes, "node").select("node", "least.doc_id", "least.digest"), "wanted")
-    side = small_side(wanted).alias("w")
+def full_sets(nodes: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """Stored (node, set): the sorted shingle hashes of the given classes, from their texts."""
+    wanted = stored(nodes.join(classes, "node").select("node", "least.doc_id", "least.digest"), "wanted")
     same = F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.digest") == F.col("w.digest"))
-    texts = rows.alias("r").join(side, same).select("node", "text")
-    sets = stored(texts.mapInArrow(_sets(width), "node long, set binary"), "sets")
+    texts = rows.alias("r").join(small_side(wanted).alias("w"), same).select("node", "text")
+    return stored(texts.mapInArrow(_sets(width), "node long, set binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored (a, b): the pairs that reach the threshold on their full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     found = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    found = stored(found.mapInArrow(_confirm, "a long, b long").distinct(), "links")
-    discard(sets)
-    return found
+    return stored(found.mapInArrow(_confirm, "a long, b long").distinct(), "links")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of two blocks of sorted sets, some columns at a time."""
+    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)))
+    for at in range(0, len(shared), COLUMNS):
+        columns = shared[at : at + COLUMNS]
+        tables = []
+        for block in (left, right):
+            table = np.zeros((len(block), len(columns)), dtype=np.float32)
+            for k, members in enumerate(block):
+                part = members[np.searchsorted(members, columns[0]) : np.searchsorted(members, columns[-1], side="right")]
+                place = np.minimum(np.searchsorted(columns, part), len(columns) - 1)
+                table[k, place[columns[place] == part]] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between the odd members of a block and the members of another one, where apart."""
+    sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+    node, comp, odd = (np.array(table.column(c).to_pylist()) for c in ("node", "comp", "odd"))
+    left, right = np.flatnonzero(odd), np.flatnonzero(~odd)
+    a, b = [], []
+    if len(left) and len(right):
+        both = _common([sets[i] for i in left], [sets[i] for i in right])
+        sizes = np.array([len(s) for s in sets], dtype=np.float64)
+        union = sizes[left][:, None] + sizes[right][None, :] - both
+        hit = (100 * both >= THRESHOLD * union) & (comp[left][:, None] != comp[right][None, :])
+        i, j = np.nonzero(hit)
+        a, b = node[left[i]].tolist(), node[right[j]].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def family_links(near: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored (a, b): links between components of a family, found on full sets in blocks.
+
+    Each member outside of the family's largest component is odd. Odd members and all members
+    are dealt to blocks, and each block of odd ones meets each block of members once.
+    """
+    families = components(near).select("node", F.col("comp").alias("family"))
+    placed = families.join(comps, "node", "left").select("family", "node", F.coalesce("comp", "node").alias("comp"))
+    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    mixed = top.where(F.col("top.n") < F.col("all"))
+    mixed = mixed.select("family", F.col("top.comp").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("odd"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rows = placed.join(mixed, "family").withColumn("spread", F.xxhash64("node"))
+    mine = lambda n: F.pmod("spread", blocks(n)).cast("int")
+    every = F.sequence(F.lit(0), blocks("odd") - 1)
+    members = rows.select("family", "node", "comp", F.lit(False).alias("odd"), F.explode(every).alias("i"), mine("all").alias("j"))
+    every = F.sequence(F.lit(0), blocks("all") - 1)
+    odd = rows.where("comp != main")
+    odd = odd.select("family", "node", "comp", F.lit(True).alias("odd"), mine("odd").alias("i"), F.explode(every).alias("j"))
+    dealt = members.unionByName(odd).join(sets, "node")
+    dealt = dealt.dropDuplicates(["family", "i", "j", "odd", "node"])
+    return stored(dealt.groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Stored (node, comp): the least node in reach, for every node that has a link.
+    """(node, comp), from a stored table: the least node in reach, for every node that has a link.
 
     Large stars hang the larger neighbours of a node on its least neighbour, small stars the
     smaller ones, until every edge ends in the least node of its component.
     """
-    edges, seen = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = stored(edges, "edges")
     while True:
+        # Done when no end of an edge begins another one, and no node begins two.
+        ends = edges.select("a", F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+        seen = ends.groupBy("a").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+        if seen.where("ups > 1 or ups = 1 and low = 0").isEmpty():
+            break
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -212,11 +341,8 @@ def components(links: DataFrame) -> DataFrame:
         discard(edges)
         discard(large)
         edges = after
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
-            return stored(edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots), "components")
-        seen = state
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots)
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -227,17 +353,16 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return known.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b", "likely")
 
 
-def settle(pending: DataFrame, links: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Confirm the pending pairs whose ends are apart: (links, components).
+def settle(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored (a, b): links that hold the components together, as far as near pairs show them.
 
-    The best pair of each class comes first, twice, as it joins most groups; whatever is then
-    still apart is confirmed in full.
+    The best pair of each class is confirmed first, twice, as it joins most groups; the pairs
+    whose ends are then still apart are confirmed in full.
     """
-    comps = components(links)
+    spark = near.sparkSession
+    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    pending = near
     for best_only in (True, True, False):
-        pending = stored(_apart(pending, comps), "pending")
-        if pending.isEmpty():
-            break
         chosen = pending
         if best_only:
             ends = pending.select(F.col("a").alias("end"), "a", "b", "likely")
@@ -245,10 +370,12 @@ def settle(pending: DataFrame, links: DataFrame, classes: DataFrame, rows: DataF
             chosen = ends.groupBy("end").agg(F.max(F.struct("likely", "a", "b")).alias("p"))
             chosen = chosen.select("p.a", "p.b").distinct()
         chosen = stored(chosen.select("a", "b"), "chosen")
-        links = stored(links.union(confirmed(chosen, classes, rows, width)), "links")
-        comps = components(links)
-        pending = pending.join(chosen, ["a", "b"], "left_anti")
-    return links, comps
+        links = stored(links.union(confirmed(chosen, sets)), "links")
+        rest = pending.join(chosen, ["a", "b"], "left_anti")
+        pending = stored(_apart(rest, components(links)), "pending")
+        if pending.isEmpty():
+            break
+    return links
 
 
 def near_groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -256,26 +383,17 @@ def near_groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     rows = _rows(docs)
     features = stored(rows.mapInArrow(_features(width), FEATURES), "shingles")
     classes = classes_of(features)
-    bands = band_members(classes)
-    stars = bands.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    none = docs.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    links, comps = settle(judged(stars.distinct(), classes), none, classes, rows, width)
-
-    # Classes that share a bucket and are still apart meet each other, if their sizes allow it.
-    placed = bands.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    placed = stored(placed.join(mixed.select("key"), "key"), "mixed")
-    x, y = placed.alias("x"), placed.alias("y")
-    near = 100 * F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    rest = x.join(y, meet & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    links, comps = settle(judged(rest, classes), links, classes, rows, width)
+    near = near_pairs(band_members(classes), classes)
+    nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    sets = full_sets(nodes, classes, rows, width)
+    links = settle(near, sets)
+    links = links.union(family_links(near, components(links), sets))
+    comps = components(links)
 
     named = classes.join(comps, "node", "left").select("members", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = stored(named.join(least, "comp").select("members", "component_id", "comp"), "named")
-    joined = features.drop("registers").join(named, "members", "left")
+    joined = features.drop("sketches").join(named, "members", "left")
     component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "digest", "n_shingles", component.alias("component_id"), "comp")
 

@@ -117,19 +117,54 @@ def test_near_copies_dropped(docs, cases):
 
 
 def test_registers_and_estimate():
-    rng = np.random.default_rng(5)
-    pool = rng.integers(0, 1 << 64, 6000, dtype=np.uint64)
-    a, b = np.unique(pool[:4000]), np.unique(pool[400:4400])
-    ra, rb = near_dedup.registers(a)[None], near_dedup.registers(b)[None]
-    value, used = near_dedup.estimate(ra, rb, np.array([4000.0]), np.array([4000.0]))
-    assert used[0] == 256 and abs(value[0] - 3600 / 4400) < 0.1
-    apart = near_dedup.registers(np.unique(rng.integers(0, 1 << 64, 4000, dtype=np.uint64)))[None]
-    assert near_dedup.estimate(ra, apart, np.array([4000.0]), np.array([4000.0]))[0][0] < 0.05
-    assert (near_dedup.registers(np.zeros(0, np.uint64)) == near_dedup.EMPTY).all()
-    # The register of the least remainder: leading zeros, then the bits after the first one.
-    assert near_dedup.registers(np.array([1 << 55], np.uint64))[0] == 0
-    assert near_dedup.registers(np.array([3 << 54], np.uint64))[0] == 512
-    assert near_dedup.registers(np.array([1 << 40], np.uint64))[0] == 15 << 10
+    rng, seeds = np.random.default_rng(5), near_dedup.hash_seeds()
+    pool = rng.integers(0, 1 << 64, 9000, dtype=np.uint64)
+    for n in (3, 12, 60, 500, 4000):
+        a, b = np.unique(pool[:n]), np.unique(pool[n // 10 : n + n // 10])
+        size = n.bit_length() - 1
+        ra, rb = near_dedup.registers(a, size, seeds)[None], near_dedup.registers(b, size, seeds)[None]
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        value, used = near_dedup.estimate(ra, rb, np.array([n]), np.array([n]))
+        assert used[0] >= 250 and abs(value[0] - true) < 0.13
+        apart = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert near_dedup.estimate(ra, near_dedup.registers(apart, size, seeds)[None], np.array([n]), np.array([n]))[0][0] < 0.05
+    # One bucket and seed 1: leading zeros, then the 10 bits after the first one.
+    least = min(int(h) for h in _hashed(pool[:5], seeds[0]))
+    zeros = 64 - least.bit_length()
+    want = zeros << 10 | (least << zeros & (1 << 63) - 1) >> 53
+    assert near_dedup.registers(np.unique(pool[:5]), 2, seeds)[0] == want
+
+
+def _hashed(members, seed):
+    h = members * seed
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def test_sketch_sizes():
+    seeds = near_dedup.hash_seeds()
+    sizes = lambda n: [s["size"] for s in near_dedup.sketches(np.arange(n, dtype=np.uint64), seeds)]
+    assert sizes(0) == [] and sizes(1) == [0] and sizes(12) == [3] and sizes(13) == [3, 4] and sizes(16) == [4]
+    # Sets that may be linked share a size class.
+    assert all(set(sizes(a)) & set(sizes(b)) for a in range(1, 140) for b in range(a, 5 * a // 4 + 1))
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    blocks = [[np.unique(rng.integers(0, 400, rng.integers(1, 90), dtype=np.uint64)) for _ in range(n)] for n in (7, 9)]
+    want = [[len(np.intersect1d(a, b)) for b in blocks[1]] for a in blocks[0]]
+    assert near_dedup._common(*blocks).tolist() == want
+
+
+def test_large_family_in_blocks(spark, monkeypatch):
+    """A family of several blocks, with members that hang on by one link only."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng, base = random.Random(11), [f"b{k}" for k in range(90)]
+    rows = [(i, mutated(rng, base, rng.randrange(0, 6))) for i in range(70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(frame).collect()}
+    assert got == {i: c for i, _, c in components(rows)}
 
 
 @pytest.mark.parametrize("edges", [[(1, 2), (2, 3), (3, 4), (10, 11)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], []])
