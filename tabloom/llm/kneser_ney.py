@@ -34,7 +34,8 @@ from tabloom.llm.words import Texts, hashes, scramble, slices
 from tabloom.session import scratch_path
 
 ORDER = 2
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
+COUNT_BYTES, SCORE_BYTES = 10 << 20, 5 << 20
 HELD_OUT = (7, 2)
 FALLBACK = (0.5, 1.0, 1.5)
 #: Hashes of marks that hold a separator, which no word does.
@@ -107,7 +108,7 @@ def _dealt(columns, context, adjusted, raw, shards: int) -> pa.RecordBatch:
 
 def _count(order: int, shards: int):
     def run(batches):
-        for batch in slices(batches, limit=24 << 20):
+        for batch in slices(batches, limit=COUNT_BYTES):
             sequence, at, _ = _sequence(batch.column("text"), order)
             columns = [sequence[at - back] for back in range(order - 1, -1, -1)]
             ones = np.ones(len(at), dtype=np.int64)
@@ -299,7 +300,7 @@ RESULT = (
 def _score(model: dict):
     def run(batches):
         tokens, kinds = model["tokens"], model["vocabulary"]
-        for batch in slices(batches, limit=12 << 20):
+        for batch in slices(batches, limit=SCORE_BYTES):
             sequence, at, lengths = _sequence(batch.column("text"), model["order"])
             logs, raw = token_scores(model, sequence, at)
             base = np.log10((raw + 1) / (tokens + kinds + 1))
