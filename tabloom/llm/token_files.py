@@ -35,14 +35,20 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 FILE_BYTES = 32 << 20
 READ_BLOCKS = 1024
-KNOWN_PRETOKENS = 200_000
+KNOWN_PRETOKENS = 150_000
+JOINED_WORDS = 5_000
 MAGIC = b"SIMPLE8B"
 
 MANIFEST = "range int, file string, first_doc long, documents long, ids long"
 
 
 class Encoder:
-    """The library's encoder; the ids of up to `KNOWN_PRETOKENS` pre-tokens are remembered."""
+    """The library's encoder; the ids of up to `KNOWN_PRETOKENS` pre-tokens are remembered.
+
+    New pre-tokens that are a space and letters are given to the library side by side, as one
+    text: it splits them at the spaces, and as only their first piece can begin with a space,
+    the pieces tell where each one starts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,10 +56,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, list[int]] = {}
+        space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
+        size = self.tokenizer.get_vocab_size()
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        if not words:
+            return []
+        ids = self._batch(["".join(words)])[0]
+        starts = np.flatnonzero(self.opens[ids]).tolist()
+        if len(starts) != len(words):
+            return self._batch(words)
+        return [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)])]
 
     def encode_pretokens(self, pretokens: list[str]) -> list[list[int]]:
         new = [p for p in pretokens if p not in self.known]
-        fresh = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))) if new else {}
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        rest = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
+        fresh = dict(zip(rest, self._batch(rest)))
+        for at in range(0, len(words), JOINED_WORDS):
+            part = words[at : at + JOINED_WORDS]
+            fresh.update(zip(part, self._words(part)))
         out = [self.known[p] if p in self.known else fresh[p] for p in pretokens]
         if len(self.known) + len(fresh) <= KNOWN_PRETOKENS:
             self.known.update(fresh)
@@ -135,7 +161,7 @@ class Reader:
 def _write(folder: str, vocabulary: str):
     def run(batches):
         writer, number, name = None, None, None
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=4 << 20):
             if writer is None:
                 system, path = open_folder(folder)
                 number = batch.column("range")[0].as_py()
