@@ -35,7 +35,7 @@ from tabloom.session import scratch_path
 
 ORDER = 2
 SHARD_BYTES = 12 << 20
-COUNT_BYTES, SCORE_BYTES = 10 << 20, 5 << 20
+COUNT_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
 HELD_OUT = (7, 2)
 FALLBACK = (0.5, 1.0, 1.5)
 #: Hashes of marks that hold a separator, which no word does.
