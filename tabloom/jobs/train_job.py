@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--parallelism", type=int, default=4)
     p.add_argument("--n-iter", type=int, default=100)
     p.add_argument("--n-splits", type=int, default=5)
-    p.add_argument("--out", default=".")
+    p.add_argument("--out", required=True)
     p.add_argument("--key")
     p.add_argument("--models", nargs="*")
     p.add_argument("--fast", action="store_true")

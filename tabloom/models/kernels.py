@@ -1,7 +1,9 @@
 """Support vector models on Nystrom kernel features (Williams and Seeger, 2001).
 
-At most LANDMARKS rows are sampled by hash; the kernel against them is mapped to plain
-features inside tasks, and a linear model is fitted on those by Spark ML.
+A sample of `n_landmarks` rows by hash (a parameter, 128 unless given) is the basis: the kernel
+against them is mapped to plain features inside tasks, and a linear model is fitted on those, over
+all rows, by Spark ML. The error against the exact kernel falls as `n_landmarks` grows; with as many
+landmarks as rows the kernel is exact.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from .linear import dot
 LANDMARKS = 128
 PLATT_FOLDS = 3
 PARALLEL_FITS = 4
+MAX_ITER, TOLERANCE = 200, 1e-6
 
 
 def kernel(name: str, x: np.ndarray, y: np.ndarray, gamma: float, degree: int) -> np.ndarray:
@@ -75,7 +78,8 @@ class KernelMap:
             gamma = 1.0 / (size * spread) if spread else 1.0
         elif gamma == "auto":
             gamma = 1.0 / size
-        rows = train.select(as_array().alias("x"), hash32(KEY).alias("h"), KEY).orderBy("h", KEY).limit(LANDMARKS).collect()
+        rows = train.select(as_array().alias("x"), hash32(KEY).alias("h"), KEY).orderBy("h", KEY)
+        rows = rows.limit(int(params.get("n_landmarks", LANDMARKS))).collect()
         points = np.unique(np.array([r["x"] for r in rows]), axis=0)
         values, vectors = np.linalg.eigh(kernel(name, points, points, float(gamma), degree))
         good = values > 1e-9 * max(values.max(), 1e-12)
@@ -101,9 +105,11 @@ class SupportRegressor(FittedModel):
         return cls(KernelMap(**state["mapping"]), state["weights"], state["intercept"])
 
 
-def fit_svr(train: DataFrame, params: dict[str, Any], rounds: int = 12) -> SupportRegressor:
+def fit_svr(train: DataFrame, params: dict[str, Any]) -> SupportRegressor:
     """Epsilon-insensitive fit by iteratively reweighted least squares.
 
+    Rounds end when the cost changes by less than `tol` of itself, or after `max_iter`.
+
     A residual r beyond epsilon costs C(|r| - eps); the quadratic with weight
     C/max(|r| - eps, small) has the same slope there, and rows inside weigh nothing.
     """
@@ -113,8 +119,9 @@ def fit_svr(train: DataFrame, params: dict[str, Any], rounds: int = 12) -> Suppo
     start = phi.agg(F.avg(LABEL)).first()[0]
     size = width(phi)
     weights, intercept = [0.0] * size, float(start)
-    best = (float("inf"), weights, intercept)
-    for _ in range(rounds):
+    best, last = (float("inf"), weights, intercept), float("inf")
+    tolerance = float(params.get("tol", TOLERANCE))
+    for _ in range(int(params.get("max_iter", MAX_ITER))):
         residual = F.col(LABEL) - dot(as_array(), weights) - F.lit(intercept)
         over = F.abs(residual) - F.lit(eps)
         # The smoothed corner keeps weights finite; the target is the point on the tube.
@@ -132,11 +139,14 @@ def fit_svr(train: DataFrame, params: dict[str, Any], rounds: int = 12) -> Suppo
             best = (cost, weights, intercept)
         elif cost > best[0] * 1.05:
             break
+        if abs(last - cost) <= tolerance * cost:
+            break
+        last = cost
         if sums["w"] <= 0:
             break
         spread = max(sums["wyy"] / sums["w"] - (sums["wy"] / sums["w"]) ** 2, 1e-12) ** 0.5
         model = LinearRegression(
-            regParam=spread / sums["w"], elasticNetParam=0.0, standardization=False, weightCol="weight", solver="normal"
+            regParam=spread / sums["w"], elasticNetParam=0.0, standardization=False, weightCol="weight", solver="auto"
         ).fit(rows.where(F.col("weight") > 0))
         weights, intercept = model.coefficients.toArray().tolist(), float(model.intercept)
     discard(phi)
@@ -192,7 +202,7 @@ def fit_svc(train: DataFrame, params: dict[str, Any], classes: int) -> SupportCl
     with ThreadPool(PARALLEL_FITS) as pool:
         fitted = pool.map(
             inheritable_thread_target(train.sparkSession)(
-                lambda job: _margin(owned[job[0]].where(F.col("fold") != job[1]), penalty, rows)
+                lambda job: _margin(owned[job[0]].where(F.col("fold") != job[1]), penalty, rows, params)
             ),
             jobs,
         )
@@ -206,7 +216,7 @@ def fit_svc(train: DataFrame, params: dict[str, Any], classes: int) -> SupportCl
             margin = dot(as_array(), part.coefficients.toArray().tolist()) + F.lit(float(part.intercept))
             scored = own.where(F.col("fold") == fold).select(LABEL, array_to_vector(F.array(margin)).alias(FEATURES))
             held_out = scored if held_out is None else held_out.unionByName(scored)
-        platt = LogisticRegression(maxIter=50).fit(held_out)
+        platt = LogisticRegression(maxIter=MAX_ITER).fit(held_out)
         margins.append(
             {
                 "weights": whole.coefficients.toArray().tolist(),
@@ -219,7 +229,11 @@ def fit_svc(train: DataFrame, params: dict[str, Any], classes: int) -> SupportCl
     return SupportClassifier(mapping, margins, classes)
 
 
-def _margin(rows: DataFrame, penalty: float, total: int):
+def _margin(rows: DataFrame, penalty: float, total: int, params: dict[str, Any]):
     return LinearSVC(
-        regParam=1.0 / (penalty * total), standardization=False, weightCol="weight", maxIter=50, tol=1e-4
+        regParam=1.0 / (penalty * total),
+        standardization=False,
+        weightCol="weight",
+        maxIter=int(params.get("max_iter", MAX_ITER)),
+        tol=float(params.get("tol", TOLERANCE)),
     ).fit(rows)

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ..operators.encode import class_weights
 from .base import FEATURES, LABEL, PREDICTION, SCORES, FittedModel, register
 
+# The deepest tree that Spark ML grows; it stands for "no limit".
 MAX_DEPTH = 30
-# A tree of unlimited depth may have a leaf per row. Leaves of at least rows/LEAF_SHARE
-# rows keep the tree that the driver holds bounded; below LEAF_SHARE rows nothing changes.
-LEAF_SHARE = 50_000
+# Cut points looked at per feature, unless `max_bins` says otherwise.
+MAX_BINS = 128
 
 
 @register("native")
@@ -47,12 +47,13 @@ class NativeModel(FittedModel):
         return cls(getattr(module, state["class"]).load(f"{path}/native"), state["classifier"])
 
 
-def _tree_options(params: dict[str, Any], rows: int) -> dict[str, Any]:
+def _tree_options(params: dict[str, Any]) -> dict[str, Any]:
     depth = params.get("max_depth")
     leaf = max(int(params.get("min_samples_leaf", 1)), ceil(params.get("min_samples_split", 2) / 2))
     return {
         "maxDepth": MAX_DEPTH if depth is None else min(MAX_DEPTH, int(depth)),
-        "minInstancesPerNode": max(leaf, rows // LEAF_SHARE),
+        "minInstancesPerNode": leaf,
+        "maxBins": int(params.get("max_bins", MAX_BINS)),
         "seed": int(params.get("random_state", 42)),
     }
 
@@ -79,7 +80,7 @@ def _weighted(train: DataFrame, params: dict[str, Any], estimator):
 
 def fit_tree(train: DataFrame, params: dict[str, Any], classifier: bool) -> NativeModel:
     """A single tree; a random feature subset needs the one-tree forest."""
-    options = _tree_options(params, train.count())
+    options = _tree_options(params)
     subset = subset_strategy(params.get("max_features"))
     kind = {"impurity": _impurity(params)} if classifier else {}
     if subset == "all":
@@ -92,7 +93,7 @@ def fit_tree(train: DataFrame, params: dict[str, Any], classifier: bool) -> Nati
 
 
 def fit_forest(train: DataFrame, params: dict[str, Any], classifier: bool) -> NativeModel:
-    options = _tree_options(params, train.count())
+    options = _tree_options(params)
     forest = C.RandomForestClassifier if classifier else R.RandomForestRegressor
     estimator = forest(
         numTrees=int(params.get("n_estimators", 100)),
@@ -108,7 +109,7 @@ def fit_forest(train: DataFrame, params: dict[str, Any], classifier: bool) -> Na
 def fit_gbt(train: DataFrame, params: dict[str, Any], classifier: bool) -> NativeModel:
     """Squared loss, or log loss of two classes."""
     boosted = C.GBTClassifier if classifier else R.GBTRegressor
-    options = _tree_options({"max_depth": 3, **params}, train.count())
+    options = _tree_options({"max_depth": 3, **params})
     estimator = boosted(
         maxIter=int(params.get("n_estimators", 100)),
         stepSize=float(params.get("learning_rate", 0.1)),
@@ -133,12 +134,16 @@ def fit_logistic(train: DataFrame, params: dict[str, Any]) -> NativeModel:
 
 
 def fit_linear(train: DataFrame, params: dict[str, Any]) -> NativeModel:
-    estimator = R.LinearRegression(regParam=0.0, solver="normal", fitIntercept=params.get("fit_intercept", True))
+    estimator = R.LinearRegression(
+        # Normal equations up to 4,096 features, gradients beyond: the same minimum.
+        regParam=0.0, solver="auto", maxIter=1000, tol=1e-12, fitIntercept=params.get("fit_intercept", True)
+    )
     return NativeModel(_columns(estimator).fit(train), False)
 
 
 def _label_spread(train: DataFrame) -> tuple[int, float]:
-    row = train.agg(F.count(LABEL).alias("n"), F.stddev_samp(LABEL).alias("s")).first()
+    flat = F.min(LABEL) == F.max(LABEL)
+    row = train.agg(F.count(LABEL).alias("n"), F.when(flat, 0.0).otherwise(F.stddev_samp(LABEL)).alias("s")).first()
     return row["n"], row["s"] or 1.0
 
 
@@ -167,7 +172,7 @@ def fit_elastic(train: DataFrame, params: dict[str, Any], ratio: float) -> Nativ
         elasticNetParam=first / (first + second),
         standardization=False,
         solver="l-bfgs",
-        maxIter=500,
+        maxIter=int(params.get("max_iter", 500)),
         tol=1e-9,
     )
     return NativeModel(_columns(estimator).fit(train), False)

@@ -2,7 +2,7 @@
 
 Rows never move. For each level every partition adds its rows into a (node, feature,
 bin) histogram, Spark sums the histograms and picks the best split per node, and only
-those splits (at most 2^depth) reach the driver.
+one row per open node reaches the driver.
 """
 
 from __future__ import annotations
@@ -175,12 +175,13 @@ def grow(
 def _best_splits(rows, features, used, stats_of, n_stats, rule, trees, active) -> list:
     """Best split per open node, the smallest feature on a tie.
 
-    The driver sees one row per (node, feature). A level whose histogram would be large
-    runs in pieces.
+    The driver sees one row per open node. A level whose histogram would be large runs in
+    pieces.
     """
     per_feature = max(len(a) for a in active) * BINS
-    tree_step = max(1, HISTOGRAM_CELLS // (per_feature * len(used)))
-    feature_step = max(1, min(len(used), HISTOGRAM_CELLS // per_feature))
+    cells = HISTOGRAM_CELLS // (n_stats + 1)
+    tree_step = max(1, cells // (per_feature * len(used)))
+    feature_step = max(1, min(len(used), cells // per_feature))
     best: dict[tuple[int, int], object] = {}
     for t in range(0, len(trees), tree_step):
         part = [i if t <= k < t + tree_step else {} for k, i in enumerate(active)]
@@ -261,8 +262,11 @@ def _level(rows, features, used, stats_of, n_stats, rule, trees, active) -> list
         .selectExpr(*keys, f"struct({picked}) as picked", "bin", f"case when {valid} then {gain} end as gain")
         .groupBy(*keys)
         .agg(F.expr("max_by(picked, struct(coalesce(gain, double('-inf')), -bin)) as best"), F.expr("max(gain) as gain"))
+        .groupBy("tree", "node")
+        .agg(F.expr("max_by(struct(feature, best, gain), struct(coalesce(gain, double('-inf')), -feature)) as top"))
+        .select("tree", "node", "top.*")
     )
-    return sorted(best.collect(), key=lambda r: r["feature"])
+    return best.collect()
 
 
 def importance_of(trees: Sequence[Tree], features: int) -> np.ndarray:

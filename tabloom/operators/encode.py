@@ -76,7 +76,10 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
     aggs = []
     for i, c in enumerate(columns):
         value = F.col(quoted(c)).cast("double")
-        aggs += [F.avg(value).alias(f"m{i}"), F.stddev_pop(value).alias(f"s{i}")]
+        # Merged partial sums leave a tiny deviation on a constant column; its bounds are exact.
+        flat = F.min(value) == F.max(value)
+        aggs.append(F.when(flat, F.min(value)).otherwise(F.avg(value)).alias(f"m{i}"))
+        aggs.append(F.when(flat, 0.0).otherwise(F.stddev_pop(value)).alias(f"s{i}"))
     row = df.agg(*aggs).first()
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
 

@@ -21,7 +21,7 @@ def regression_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     sums = scored.groupBy(*map(quoted, by)).agg(
         F.avg(F.abs(y - p)).alias("mae"),
         F.avg((y - p) * (y - p)).alias("mse"),
-        F.var_pop(y).alias("__var"),
+        F.when(F.min(y) < F.max(y), F.var_pop(y)).alias("__var"),
     )
     return (
         sums.withColumn("rmse", F.sqrt("mse"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,6 @@ CLASS_LIMIT = 20
 CORRELATION_LIMIT = 0.85
 ONE_HOT_LIMIT = 10
 
-PAIRWISE_COLUMNS = 40
-
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     return df.groupBy(F.col(quoted(target)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
@@ -78,61 +79,70 @@ def column_roles(df: DataFrame, target: str | None = None, skip: tuple[str, ...]
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long form (a, b, pos_a, pos_b, r) of the Pearson matrix, a at or after b.
 
-    A constant column gives a null r. Few columns are aggregated pair by pair in one
-    pass; a wide table goes through the vector form, which is one pass as well.
+    Each pair uses the rows that have both values, whatever the number of columns. A column
+    that is constant on those rows (its least value is its greatest) gives a null r.
     """
-    spark = df.sparkSession
     columns = list(columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
-    if len(columns) > PAIRWISE_COLUMNS:
-        rows = _vector_correlation(df, columns, pairs)
-    else:
-        rows = _pairwise(df, columns, pairs)
-    return spark.createDataFrame(rows, "a string, b string, pos_a int, pos_b int, r double")
+    pairs = _pair_sums(df, columns) if columns else {}
+    rows = []
+    for i in range(len(columns)):
+        for j in range(i + 1):
+            n, x, y, xx, yy, xy, flat = pairs.get((i, j), (0, 0.0, 0.0, 0.0, 0.0, 0.0, True))
+            spread = (xx - x * x / n) * (yy - y * y / n) if n else 0.0
+            value = None if flat or spread <= 0 else (xy - x * y / n) / spread**0.5
+            rows.append((columns[i], columns[j], i, j, value))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, pos_a int, pos_b int, r double")
 
 
-def _pairwise(df: DataFrame, columns: list[str], pairs) -> list[tuple]:
-    """Deviations once per column and covariances once per pair, in a single pass.
+def _pair_sums(df: DataFrame, columns: list[str]) -> dict[tuple[int, int], tuple]:
+    """n, sums, squares, products and flatness of each pair, in one pass after the centres.
 
-    A pair with missing values is aggregated again over its complete rows.
+    A task keeps one matrix per sum, so the shuffle has a row for each task and pair. Values
+    are taken from the column's mean, which keeps the sums of squares exact enough.
     """
-    if not columns:
-        return []
-    x = df.select([F.col(quoted(c)).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    one = x.agg(
-        F.expr("count(1) as n"),
-        *[F.expr(f"struct(count(x{i}) as n, stddev_pop(x{i}) as s) as c{i}") for i in range(len(columns))],
-        *[F.expr(f"covar_pop(x{i}, x{j}) as p{i}_{j}") for i, j in pairs],
-    ).first()
-    part = [(i, j) for i, j in pairs if one["n"] not in (0,) and min(one[f"c{i}"]["n"], one[f"c{j}"]["n"]) < one["n"]]
-    again = None
-    if part:
-        again = x.agg(
-            *[
-                F.expr(
-                    f"stddev_pop(if(x{j} is null, null, x{i})) * stddev_pop(if(x{i} is null, null, x{j})) as s{i}_{j}"
-                )
-                for i, j in part
-            ]
-        ).first()
-    rows = []
-    for i, j in pairs:
-        spread = again[f"s{i}_{j}"] if (i, j) in part else (one[f"c{i}"]["s"] or 0.0) * (one[f"c{j}"]["s"] or 0.0)
-        covariance = one[f"p{i}_{j}"]
-        rows.append((columns[i], columns[j], i, j, covariance / spread if spread and covariance is not None else None))
-    return rows
-
-
-def _vector_correlation(df: DataFrame, columns: list[str], pairs) -> list[tuple]:
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Correlation
-
-    x = F.array(*[F.col(quoted(c)).cast("double") for c in columns])
-    complete = df.dropna(subset=[quoted(c) for c in columns])
-    matrix = Correlation.corr(complete.select(array_to_vector(x).alias("v")), "v").first()[0].toArray()
-    return [
-        (columns[i], columns[j], i, j, None if matrix[i, j] != matrix[i, j] else float(matrix[i, j])) for i, j in pairs
-    ]
+    doubles = [F.col(quoted(c)).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    centres = df.select(doubles).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(columns))]).first()
+    middle = np.array([0.0 if c is None else c for c in centres])
+    k = len(columns)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, x, xx, xy = (np.zeros((k, k)) for _ in range(4))
+        low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
+        for batch in batches:
+            if not len(batch):
+                continue
+            values = batch.to_numpy(dtype=np.float64, na_value=np.nan)
+            known = ~np.isnan(values)
+            z = np.where(known, values - middle, 0.0)
+            has = known.astype(np.float64)
+            # Entry (i, j) of x and xx concerns column i on the rows that have column j, too.
+            n += has.T @ has
+            x += z.T @ has
+            xx += (z * z).T @ has
+            xy += z.T @ z
+            for j in range(k):
+                rows = values[known[:, j]]
+                if len(rows):
+                    seen = known[known[:, j]]
+                    low[:, j] = np.minimum(low[:, j], np.where(seen, rows, np.inf).min(axis=0))
+                    high[:, j] = np.maximum(high[:, j], np.where(seen, rows, -np.inf).max(axis=0))
+        i, j = np.tril_indices(k)
+        yield pd.DataFrame(
+            {
+                "i": i.astype("int32"), "j": j.astype("int32"), "n": n[i, j], "x": x[i, j], "y": x[j, i],
+                "xx": xx[i, j], "yy": xx[j, i], "xy": xy[i, j],
+                "lx": low[i, j], "hx": high[i, j], "ly": low[j, i], "hy": high[j, i],
+            }
+        )
+
+    sums = ("n", "x", "y", "xx", "yy", "xy")
+    schema = "i int, j int, " + ", ".join(f"{c} double" for c in (*sums, "lx", "hx", "ly", "hy"))
+    cells = df.select(doubles).mapInPandas(partial, schema).groupBy("i", "j")
+    cells = cells.agg(
+        *[F.sum(c).alias(c) for c in sums],
+        ((F.min("lx") >= F.max("hx")) | (F.min("ly") >= F.max("hy"))).alias("flat"),
+    )
+    return {(r["i"], r["j"]): tuple(r[c] for c in (*sums, "flat")) for r in cells.collect()}
 
 
 def correlated_columns(pairs: DataFrame, limit: float = CORRELATION_LIMIT) -> DataFrame:

@@ -9,22 +9,30 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import quoted
 
-SAMPLE_ROWS = 8192
-ROWS_PER_BUCKET = 512
+SAMPLE_VALUES = 8192
+VALUES_PER_RANGE = 50_000
+RANGES = (64, 1024)
+HASHES = 2.0**64
 
 
 def range_bounds(df: DataFrame, order: str) -> list:
-    """Ascending split points of `order`, from a hash sample of at most SAMPLE_ROWS rows.
+    """Ascending split points of `order`, from the SAMPLE_VALUES distinct values of least hash.
 
-    The sample is the rows with the smallest hashes, so a second run of the plan sees
-    the same points. A table that fits the sample needs no split.
+    A second run of the plan sees the same points. How far these hashes reach into the hash
+    space tells the number of distinct values, and from it follow the ranges. Fewer values than
+    half the sample need no split, as no group can hold more rows than there are values.
     """
     value = F.col(quoted(order))
-    hashed = df.select(value.alias("v"), F.xxhash64(value).alias("h"))
-    sample = sorted({r["v"] for r in hashed.orderBy("h").limit(SAMPLE_ROWS).collect()}, key=_sort_key)
-    if len(sample) < SAMPLE_ROWS // 2:
+    hashed = df.select(value.alias("v")).distinct().withColumn("h", F.xxhash64("v"))
+    least = hashed.orderBy("h").limit(SAMPLE_VALUES).collect()
+    if len(least) < SAMPLE_VALUES // 2:
         return []
-    return sample[ROWS_PER_BUCKET // 2 :: ROWS_PER_BUCKET // 8]
+    reach = (least[-1]["h"] + HASHES / 2) / HASHES
+    distinct = len(least) / reach if len(least) == SAMPLE_VALUES else len(least)
+    ranges = min(max(RANGES[0], int(distinct // VALUES_PER_RANGE)), RANGES[1])
+    sample = sorted((r["v"] for r in least if r["v"] is not None), key=_sort_key)
+    step = max(1, len(sample) // ranges)
+    return sample[step::step]
 
 
 def _sort_key(value):

@@ -61,6 +61,13 @@ class TrainResult:
     curves: dict[str, DataFrame]
     path: str | None
 
+    def __getitem__(self, name: str) -> Any:
+        """`result["status"]`, or an entry of the report."""
+        return self.status if name == "status" else self.report[name]
+
+    def __contains__(self, name: str) -> bool:
+        return name == "status" or name in self.report
+
     def artifacts(self) -> store.Artifacts:
         p = self.prepared
         return store.Artifacts(self.model, p.preprocessor, p.fills, p.kinds, p.labels if p.encoded_target else None)
@@ -197,16 +204,18 @@ def train(
     approx: bool = False,
     coerce_numeric: bool = False,
     on_unseen: str = "error",
+    multi_line: bool = False,
     spark: SparkSession | None = None,
 ) -> TrainResult:
     """Find and fit the best model for a table.
 
     `rmse_weight` and `f1_weight` weigh RMSE against R2 and F1 against accuracy in the
     ranking. `params` sets parameters per model for all of its fits. `refit="winner"`
-    keeps the row that won; `"tuned"` keeps its tuned form whatever row won.
+    keeps the row that won; `"tuned"` keeps its tuned form whatever row won (the two differ only
+    where the untuned row ranked first).
     """
     spark = spark or (data.sparkSession if isinstance(data, DataFrame) else SparkSession.active())
-    df = tables.read_table(spark, data) if isinstance(data, str) else data
+    df = materialize(tables.read_table(spark, data, multi_line=multi_line), "input") if isinstance(data, str) else data
     prepared = prepare(df, target, key, impute_scope, approx, coerce_numeric, on_unseen)
     task, weight = prepared.task, rmse_weight if prepared.task == "regression" else f1_weight
     params = params or {}

@@ -8,6 +8,7 @@ from ..operators import encode
 from ..operators.split import stratified_holdout
 from ..session import materialize
 from .fixtures import FX_CLASS_SQL, fx_class, holdout_sql
+from .prepare import CONSTANTS, with_constants
 
 KEY = "o_orderkey"
 CATEGORICAL = ["o_orderstatus", "o_orderpriority", "c_mktsegment", "c_name"]
@@ -62,20 +63,20 @@ select o_orderkey, coalesce(code,-1)::double as code from held left join dict on
 
 
 def standard_scale(spark, sf_dir):
-    rows = held(spark, sf_dir).withColumn("flat", F.lit(7.0))
-    fitted = _fit(rows, [], [*NUMERIC, "flat"])
+    rows = with_constants(held(spark, sf_dir))
+    fitted = _fit(rows, [], [*NUMERIC, *CONSTANTS])
     wide = fitted.wide(rows, [KEY])
-    return wide.select(KEY, *[F.round(f"StandardScaler__{c}", 6).alias(c) for c in [*NUMERIC, "flat"]])
+    return wide.select(KEY, *[F.round(f"StandardScaler__{c}", 6).alias(c) for c in [*NUMERIC, *CONSTANTS]])
 
 
 def _scale_sql() -> str:
     out = ", ".join(f"round(({c}-(select avg({c}) from train))/(select stddev_pop({c}) from train),6) as {c}" for c in NUMERIC)
-    return f"with {HELD_SQL} select o_orderkey, {out}, 0.0::double as flat from held"
+    return f"with {HELD_SQL} select o_orderkey, {out}, 0.0::double as flat, 0.0::double as tenth from held"
 
 
 def preprocess_wide(spark, sf_dir):
-    rows = held(spark, sf_dir)
-    fitted = _fit(rows, CATEGORICAL, NUMERIC)
+    rows = with_constants(held(spark, sf_dir))
+    fitted = _fit(rows, CATEGORICAL, [*NUMERIC, "tenth"])
     wide = fitted.wide(rows, [KEY, "is_test"])
     return wide.select(KEY, "is_test", *[F.round(f"`{n}`", 6).alias(f"f{i}") for i, n in enumerate(fitted.feature_names)])
 
@@ -94,6 +95,7 @@ def _wide_sql() -> str:
     for c in NUMERIC:
         out.append(f"round(({c}-(select avg({c}) from train))/(select stddev_pop({c}) from train),6) as f{i}")
         i += 1
+    out.append(f"0.0::double as f{i}")
     return f"""with {HELD_SQL}, dict as (select v, row_number() over (order by v)-1 as code from (select distinct c_name as v from train))
 select o_orderkey, is_test, {", ".join(out)} from held left join dict on c_name=v"""
 

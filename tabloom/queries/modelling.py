@@ -331,6 +331,20 @@ QUERIES = {
         group_tree("XGBRegressor", {"n_estimators": 1, "max_depth": 5, "learning_rate": 1.0, "reg_lambda": 1.0}),
         _group_sql("any_value(base)+sum(y-base)/(count(*)+1.0::double)"),
     ),
+    "reg_gbt_rounds": (group_tree("GradientBoostingRegressor", {"n_estimators": 6, "max_depth": 5}), _group_sql("avg(y)")),
+    "reg_xgb_rounds": (
+        group_tree("XGBRegressor", {"n_estimators": 6, "max_depth": 5, "learning_rate": 0.3, "reg_lambda": 1.0}),
+        _group_sql("any_value(base)+(avg(y)-any_value(base))*(1-pow(1-0.3::double*count(*)/(count(*)+1.0::double),6))"),
+    ),
+    "reg_forest_groups": (
+        group_tree("RandomForestRegressor", {"n_estimators": 5, "max_depth": 5, "bootstrap": False}), _group_sql("avg(y)")
+    ),
+    "clf_forest_groups": (
+        group_tree(
+            "RandomForestClassifier", {"n_estimators": 5, "max_depth": 5, "bootstrap": False, "max_features": None}, "hi"
+        ),
+        _group_sql("cast(avg(hi)>0.5 as int)::double"),
+    ),
     "clf_tree_groups": (
         group_tree("DecisionTreeClassifier", {"max_depth": 5}, "hi"),
         _group_sql("cast(avg(hi)>0.5 as int)::double"),

@@ -108,24 +108,24 @@ def feature_projection(spark, sf_dir):
 
 
 def column_roles(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem")
-    n = c.count()
-    roles = profile.column_roles(c, target="l_returnflag")
-    return spark.createDataFrame([(a, b, n) for a, b in roles], "column string, role string, n_rows bigint")
+    """Roles of the features of a file, as its values tell them."""
+    path = scratch_path(spark, "csv")
+    dirty_customer(spark, sf_dir).write.option("header", True).csv(path)
+    roles = profile.column_roles(tables.read_table(spark, path), target="c_mktsegment")
+    return spark.createDataFrame(roles, "column string, role string")
+
 
+CONSTANTS = {"flat": 7.0, "tenth": 0.1}
+CORR_COLUMNS = ["o_totalprice", "c_acctbal", "c_nationkey", "gross", *CONSTANTS]
 
-COLUMN_ROLES_SQL = """select column_name as "column",
-  case when data_type in ('VARCHAR','DATE','TIMESTAMP','TIMESTAMP WITH TIME ZONE','TIMESTAMP_NS','TIMESTAMP_MS') then 'categorical' else 'numeric' end as role,
-  (select count(*) from lineitem)::bigint as n_rows
-from (select * from (values ('l_orderkey','BIGINT'),('l_partkey','BIGINT'),('l_suppkey','BIGINT'),('l_linenumber','INTEGER'),
-  ('l_quantity','DOUBLE'),('l_extendedprice','DOUBLE'),('l_discount','DOUBLE'),('l_tax','DOUBLE'),('l_linestatus','VARCHAR'),
-  ('l_shipdate','TIMESTAMP')) t(column_name, data_type))"""
 
-CORR_COLUMNS = ["o_totalprice", "c_acctbal", "c_nationkey", "gross", "flat"]
+def with_constants(df):
+    """Constant columns on several partitions, where merged sums leave a tiny deviation."""
+    return df.repartition(8, "o_orderkey").withColumns({c: F.lit(v) for c, v in CONSTANTS.items()})
 
 
 def _corr_input(spark, sf_dir):
-    return fx(spark, sf_dir).withColumn("flat", F.lit(7.0))
+    return with_constants(fx(spark, sf_dir))
 
 
 def corr_matrix(spark, sf_dir):
@@ -137,14 +137,42 @@ def _corr_sql(source: str) -> str:
     rows = []
     for i, a in enumerate(CORR_COLUMNS):
         for b in CORR_COLUMNS[: i + 1]:
-            r = "max(null::double)" if "flat" in (a, b) else f"round(corr({a},{b}),6)"
+            r = "max(null::double)" if a in CONSTANTS or b in CONSTANTS else f"round(corr({a},{b}),6)"
             rows.append(f"select '{a}' as a, '{b}' as b, {r} as r from {source}")
     return " union all ".join(rows)
 
 
+WIDE = [f"v{k}" for k in range(45)]
+
+
+def corr_matrix_wide(spark, sf_dir):
+    """Many columns, each with its own missing values, one of them constant."""
+    rows = fx(spark, sf_dir).repartition(8, "o_orderkey")
+    wide = {}
+    for k, name in enumerate(WIDE):
+        value = F.lit(0.1) if k == 7 else F.col("y") * (k % 5) + F.col("o_totalprice") / 1e5 * (k % 3) + (F.col("o_orderkey") * (2 * k + 3)) % 101
+        wide[name] = F.when(F.col("o_orderkey") % (k + 3) != 0, value.cast("double"))
+    pairs = profile.correlation_pairs(rows.select([v.alias(n) for n, v in wide.items()]), WIDE)
+    return pairs.select("a", "b", F.round("r", 6).alias("r"))
+
+
+def _wide_corr_sql() -> str:
+    columns, entries = [], []
+    for k, name in enumerate(WIDE):
+        value = "0.1::double" if k == 7 else f"y*{k % 5} + o_totalprice/100000.0::double*{k % 3} + (o_orderkey*{2 * k + 3})%101"
+        columns.append(f"case when o_orderkey%{k + 3}<>0 then {value} end as {name}")
+    for i, a in enumerate(WIDE):
+        for j, b in enumerate(WIDE[: i + 1]):
+            r = "null::double" if 7 in (i, j) else f"round(corr({a},{b}),6)"
+            entries.append(f"struct_pack(a := '{a}', b := '{b}', r := {r})")
+    return f"""with {FX_SQL}, w as (select {', '.join(columns)} from fx),
+e as (select [{', '.join(entries)}] as l from w), u as (select unnest(l) as s from e)
+select s.a as a, s.b as b, s.r as r from u"""
+
+
 def _train_rows(spark, sf_dir):
     held = materialize(stratified_holdout(fx_class(spark, sf_dir), "level", "o_orderkey"), "held")
-    return held.where(~F.col("is_test")).withColumn("flat", F.lit(7.0))
+    return with_constants(held.where(~F.col("is_test")))
 
 
 def corr_drop_list(spark, sf_dir):
@@ -162,7 +190,7 @@ select distinct a as "column" from pairs join pos x on a=x.name join pos y on b=
 
 def drop_correlated(spark, sf_dir):
     """The columns that survive the filter, for train and test rows alike."""
-    held = materialize(stratified_holdout(fx_class(spark, sf_dir), "level", "o_orderkey"), "held").withColumn("flat", F.lit(7.0))
+    held = with_constants(materialize(stratified_holdout(fx_class(spark, sf_dir), "level", "o_orderkey"), "held"))
     train = held.where(~F.col("is_test"))
     dropped = [r[0] for r in profile.correlated_columns(profile.correlation_pairs(train, CORR_COLUMNS)).collect()]
     kept = [c for c in CORR_COLUMNS if c not in dropped]
@@ -170,7 +198,7 @@ def drop_correlated(spark, sf_dir):
 
 
 DROP_SQL = f"""with {TRAIN_SQL}
-select o_orderkey, is_test, o_totalprice, c_acctbal, c_nationkey, 7.0::double as flat from held"""
+select o_orderkey, is_test, o_totalprice, c_acctbal, c_nationkey, 7.0::double as flat, 0.1::double as tenth from held"""
 
 
 def class_counts(spark, sf_dir):
@@ -284,8 +312,9 @@ QUERIES = {
     "dedup_rows": (dedup_rows, f"select distinct {','.join(DUP_COLUMNS)} from lineitem"),
     "clean_table": (clean_table, CLEAN_SQL),
     "feature_projection": (feature_projection, "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment as target from customer"),
-    "column_roles": (column_roles, COLUMN_ROLES_SQL),
-    "corr_matrix": (corr_matrix, f"with {FX_SQL}, x as (select *, 7.0::double as flat from fx) {_corr_sql('x')}"),
+    "column_roles": (column_roles, f"select * from ({INFER_SQL}) where \"column\" <> 'c_mktsegment'"),
+    "corr_matrix": (corr_matrix, f"with {FX_SQL}, x as (select * from fx) {_corr_sql('x')}"),
+    "corr_matrix_wide": (corr_matrix_wide, _wide_corr_sql()),
     "corr_drop_list": (corr_drop_list, CORR_DROP_SQL),
     "drop_correlated": (drop_correlated, DROP_SQL),
     "class_counts": (class_counts, 'select source as "class", count(*) as n from documents group by 1'),

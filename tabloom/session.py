@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 _OWN_DIR: dict[str, str] = {}
+_OWNED = threading.local()
 
 
 def local_session(app: str = "tabloom", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -78,6 +81,18 @@ def clear_scratch(spark: SparkSession) -> None:
     _delete(spark, scratch_root(spark))
 
 
+@contextmanager
+def discarding():
+    """Free, at the end, all copies that this thread stores meanwhile."""
+    outer, _OWNED.paths = getattr(_OWNED, "paths", None), []
+    try:
+        yield
+    finally:
+        for spark, path in _OWNED.paths:
+            _delete(spark, path)
+        _OWNED.paths = outer
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -86,6 +101,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if (owner := getattr(_OWNED, "paths", None)) is not None:
+        owner.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -102,13 +119,20 @@ def rows_if_small(df: DataFrame, max_rows: int = 100_000) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
-def small_table(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """`df` as a broadcast side if its row count, checked here, is at most `max_rows`.
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a stored table."""
+    spark = df.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(name) for name in df.inputFiles()]
+    conf = spark._jsc.hadoopConfiguration()
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
+def small_table(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 16 << 20) -> DataFrame:
+    """`df` stored, and a broadcast side if its rows and its bytes, both checked, are few.
 
-    A larger table is written to the shared folder and returned without a hint, so the
-    joins that use it fall back to shuffles planned by AQE.
+    A larger table comes back without a hint, so the joins that use it fall back to shuffles
+    planned by AQE.
     """
-    rows = rows_if_small(df, max_rows)
-    if rows is None:
-        return materialize(df, "table")
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    table = materialize(df, "table")
+    few = table.count() <= max_rows and stored_bytes(table) <= max_bytes
+    return F.broadcast(table) if few else table

@@ -1,6 +1,7 @@
 """Sources, cleaning, profiling and encoding on small tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -64,16 +65,6 @@ def test_correlation_of_constant_and_missing(spark):
     assert dropped == {"b", "d"}
 
 
-def test_wide_correlation_agrees(spark, monkeypatch):
-    rng = np.random.default_rng(0)
-    rows = [tuple(float(v) for v in r) for r in rng.normal(size=(50, 4))]
-    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
-    pairs = {(r["a"], r["b"]): r["r"] for r in profile.correlation_pairs(df, df.columns).collect()}
-    monkeypatch.setattr(profile, "PAIRWISE_COLUMNS", 2)
-    wide = {(r["a"], r["b"]): r["r"] for r in profile.correlation_pairs(df, df.columns).collect()}
-    assert pairs.keys() == wide.keys() and all(pairs[k] == pytest.approx(wide[k]) for k in pairs)
-
-
 def test_task_and_band_limits(spark):
     df = spark.range(400).select(
         (F.col("id") % 19).alias("few"), (F.col("id") % 20).alias("many"), F.col("id").cast("string").alias("text")
@@ -140,3 +131,45 @@ def test_density_integrates_to_one(spark):
     scored = spark.range(2000).select(F.randn(1).alias("label"), F.lit(0.0).alias("prediction"))
     rows = sorted(tuple(r) for r in curves.residual_kde(scored).select("x", "density").collect())
     assert np.trapezoid([d for _, d in rows], [x for x, _ in rows]) == pytest.approx(1.0, abs=0.02)
+
+
+def test_constants_on_many_partitions(spark):
+    """Merged partial sums leave a tiny deviation on a constant column; its bounds decide."""
+    rows = spark.range(4000).select(
+        "id", F.lit(0.1).alias("tenth"), F.lit(7.0).alias("flat"), (F.col("id") % 17).cast("double").alias("x")
+    ).repartition(16, "id")
+    pairs = {(r["a"], r["b"]): r["r"] for r in profile.correlation_pairs(rows, ["x", "tenth", "flat"]).collect()}
+    assert pairs.pop(("x", "x")) == pytest.approx(1.0) and set(pairs.values()) == {None}
+    assert profile.correlated_columns(profile.correlation_pairs(rows, ["x", "tenth", "flat"])).count() == 0
+    fitted = encode.Preprocessor.fit(rows, [], ["tenth", "flat"])
+    wide = fitted.wide(rows, ["id"]).drop("id")
+    assert {tuple(r) for r in wide.distinct().collect()} == {(0.0, 0.0)}
+    scored = rows.select(F.col("tenth").alias("label"), F.lit(0.2).alias("prediction"))
+    assert metrics.regression_metrics(scored).first()["r2"] is None
+
+
+@pytest.mark.parametrize("width", [3, 50])
+def test_correlation_of_pairs_with_gaps(spark, width):
+    """Each pair uses the rows that have both values, at any width."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, width)) + 1000.0
+    x[rng.random(x.shape) < 0.2] = np.nan
+    names = [f"c{i}" for i in range(width)]
+    rows = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], ", ".join(f"{n} double" for n in names))
+    got = {(r["a"], r["b"]): r["r"] for r in profile.correlation_pairs(rows.repartition(5), names).collect()}
+    want = pd.DataFrame(x, columns=names).corr()
+    assert all(got[a, b] == pytest.approx(want.loc[a, b], abs=1e-9) for a, b in got)
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert tables.read_table(spark, str(tmp_path / "t.csv"), multi_line=True).count() == 2
+
+
+def test_wide_tables_are_not_broadcast(spark):
+    from tabloom.session import small_table, stored_bytes
+
+    rows = spark.range(300).select("id", F.expr("repeat(md5(cast(id as string)), 40)").alias("text"))
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(small_table(rows)) and "broadcast" not in plan(small_table(rows, max_bytes=1000))
+    assert "broadcast" not in plan(small_table(rows, max_rows=10)) and stored_bytes(small_table(rows, max_rows=1)) > 1000

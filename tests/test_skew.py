@@ -82,8 +82,7 @@ def test_dense_ordinals(spark):
 
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals_with_ranges(spark, monkeypatch, descending):
-    monkeypatch.setattr(running, "SAMPLE_ROWS", 64)
-    monkeypatch.setattr(running, "ROWS_PER_BUCKET", 16)
+    monkeypatch.setattr(running, "SAMPLE_VALUES", 64)
     df = spark.range(1000).select((F.col("id") * 37 % 1000).cast("double").alias("x"), (F.col("id") % 5).alias("w"))
     assert len(running.range_bounds(df, "x")) > 3
     got = running.running_totals(df, "x", {"t": "w"}, descending=descending).toPandas()
@@ -92,8 +91,7 @@ def test_running_totals_with_ranges(spark, monkeypatch, descending):
 
 
 def test_ordered_codes_of_texts(spark, monkeypatch):
-    monkeypatch.setattr(running, "SAMPLE_ROWS", 64)
-    monkeypatch.setattr(running, "ROWS_PER_BUCKET", 16)
+    monkeypatch.setattr(running, "SAMPLE_VALUES", 64)
     values = sorted({f"v{i * 7919 % 1000}" for i in range(400)} | {"é", "Z", "ß"}, key=lambda s: s.encode())
     df = spark.createDataFrame([(v,) for v in values], "value string")
     got = {r["value"]: r["code"] for r in running.ordered_codes(df, "value", "code").collect()}
@@ -173,3 +171,19 @@ def test_tomek_links_are_mutual(spark):
     assert got == want
     kept = {r["id"] for r in balance.remove_tomek(df, "label", "id", "vector").collect()}
     assert kept == set(range(300)) - {i for pair in want for i in pair}
+
+
+def test_running_totals_of_shared_scores(spark):
+    """Groups that share their values are split by the values, not by the rows."""
+    rows = spark.range(60_000).select((F.col("id") % 20_000).alias("score"), (F.col("id") % 3).alias("g"), F.lit(1).alias("one"))
+    assert len(running.range_bounds(rows, "score")) > 30
+    got = running.running_totals(rows, "score", {"total": "one"}, ["g"]).toPandas()
+    for _, part in got.groupby("g"):
+        assert part.sort_values("score").total.tolist() == list(range(1, 20_001))
+    assert running.range_bounds(rows.where("score < 1000"), "score") == []
+
+
+def test_quantiles_widen_their_bracket(spark):
+    rows = spark.range(2000).select((F.col("id") * F.col("id")).cast("double").alias("x"))
+    want = np.quantile(np.arange(2000.0) ** 2, [0.25, 0.5])
+    assert np.allclose(quantiles.exact_quantiles(rows, ["x"], [0.25, 0.5], slack=0.0)["x"], want)
