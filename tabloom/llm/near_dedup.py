@@ -11,7 +11,7 @@ In a band bucket one member, drawn by a hash, leads, and the others are paired w
 Pairs are judged by their registers (equal ones, corrected for expected chance collisions, with
 a margin of five deviations). Members that are far from their leader choose a new one; what is
 left after `LEADERS` rounds, a few members that are all unlike, is paired in full. Near pairs
-are then confirmed on the full sets, the best of each class first; ends that already hang
+are then confirmed on the full sets, the best of each class first; ends that then hang
 together need no proof. Families (what hangs together by near pairs) that are not yet one
 component are at last compared in blocks: every member outside of the largest component with
 all members, on full sets, giving out links only. So no group gives out its pairs, and none
@@ -356,26 +356,15 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def settle(near: DataFrame, sets: DataFrame) -> DataFrame:
     """Stored (a, b): links that hold the components together, as far as near pairs show them.
 
-    The best pair of each class is confirmed first, twice, as it joins most groups; the pairs
-    whose ends are then still apart are confirmed in full.
+    The best pair of each class is confirmed first, as it joins most groups; the pairs whose
+    ends are then still apart are confirmed in full.
     """
-    spark = near.sparkSession
-    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    pending = near
-    for best_only in (True, True, False):
-        chosen = pending
-        if best_only:
-            ends = pending.select(F.col("a").alias("end"), "a", "b", "likely")
-            ends = ends.union(pending.select("b", "a", "b", "likely"))
-            chosen = ends.groupBy("end").agg(F.max(F.struct("likely", "a", "b")).alias("p"))
-            chosen = chosen.select("p.a", "p.b").distinct()
-        chosen = stored(chosen.select("a", "b"), "chosen")
-        links = stored(links.union(confirmed(chosen, sets)), "links")
-        rest = pending.join(chosen, ["a", "b"], "left_anti")
-        pending = stored(_apart(rest, components(links)), "pending")
-        if pending.isEmpty():
-            break
-    return links
+    ends = near.select(F.col("a").alias("end"), "a", "b", "likely").union(near.select("b", "a", "b", "likely"))
+    best = ends.groupBy("end").agg(F.max(F.struct("likely", "a", "b")).alias("p"))
+    best = stored(best.select("p.a", "p.b").distinct(), "best")
+    links = confirmed(best, sets)
+    rest = _apart(near.join(best, ["a", "b"], "left_anti"), components(links))
+    return links.union(confirmed(rest, sets))
 
 
 def near_groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
