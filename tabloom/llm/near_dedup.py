@@ -152,24 +152,30 @@ def classes_of(features: DataFrame) -> DataFrame:
 
 
 def band_members(classes: DataFrame) -> DataFrame:
-    """Stored (key, node, size) of the bands that more than one class shares."""
+    """Stored (key, node, n, size) of the bands that more than one class shares."""
     width = 2 * BAND
     cut = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.struct(i.alias("band"), F.expr("sketch.registers").substr(i * width + 1, F.lit(width)).alias("part")),
     )
-    each = classes.select("node", F.explode("sketches").alias("sketch"))
-    bands = each.select("node", "sketch.size", F.explode(cut).alias("b")).where(F.col("b.part") != F.lit(b"\xff" * width))
-    bands = bands.select("node", "size", F.xxhash64("size", "b.band", "b.part").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    each = classes.select("node", "n", F.explode("sketches").alias("sketch"))
+    bands = each.select("node", "n", "sketch.size", F.explode(cut).alias("b")).where(F.col("b.part") != F.lit(b"\xff" * width))
+    bands = bands.select("node", "n", "size", F.xxhash64("size", "b.band", "b.part").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
     return stored(bands.join(shared.hint("merge"), "key"), "bands")
 
 
+def _sizes_allow(a, b):
+    """Sets whose sizes are further apart than the threshold cannot reach it."""
+    return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
+
+
 def _led(members: DataFrame, turn: int) -> DataFrame:
     """The members of each key with its leader of this round; a lone member has none."""
-    draw = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("draw"), F.col("node").alias("leader"))
-    leaders = members.groupBy("key").agg(F.min(draw).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return members.join(leaders.select("key", "first.leader"), "key").where("node != leader")
+    draw = F.xxhash64(F.lit(turn), "key", "node").alias("draw")
+    draw = F.struct(draw, F.col("node").alias("leader"), F.col("n").alias("leader_n"))
+    leaders = members.groupBy("key").agg(F.min(draw).alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    return members.join(leaders.select("key", "first.leader", "first.leader_n"), "key").where("node != leader")
 
 
 def near_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -177,16 +183,18 @@ def near_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     found = None
     for turn in range(LEADERS):
         led = stored(_led(members, turn), "led")
-        ends = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "size")
+        ends = led.where(_sizes_allow(F.col("n"), F.col("leader_n")))
+        ends = ends.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "size")
         near = judged(ends.groupBy("a", "b").agg(F.min("size").alias("size")), classes)
         found = near if found is None else found.union(near)
         both = near.select(F.col("a").alias("node"), F.col("b").alias("leader"))
         both = both.union(near.select(F.col("b"), F.col("a")))
-        members = stored(led.join(both, ["node", "leader"], "left_anti").select("key", "node", "size"), "far")
+        members = stored(led.join(both, ["node", "leader"], "left_anti").select("key", "node", "n", "size"), "far")
         if members.isEmpty():
             break
     x, y = members.alias("x"), members.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
+    allowed = (F.col("x.node") < F.col("y.node")) & _sizes_allow(F.col("x.n"), F.col("y.n"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & allowed)
     rest = rest.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min("x.size").alias("size"))
     found = found.union(judged(rest, classes))
     return stored(found.groupBy("a", "b").agg(F.max("likely").alias("likely")), "near")
@@ -215,7 +223,6 @@ def judged(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     left = each.select(F.col("node").alias("a"), "size", F.col("registers").alias("ra"), F.col("n").alias("na"))
     right = each.select(F.col("node").alias("b"), "size", F.col("registers").alias("rb"), F.col("n").alias("nb"))
     rows = pairs.join(left, ["a", "size"]).join(right, ["b", "size"]).select("a", "b", "ra", "rb", "na", "nb")
-    rows = rows.where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
     return stored(rows.mapInArrow(_judge, "a long, b long, likely double"), "judged")
 
 
