@@ -9,11 +9,12 @@ share one. Bands of 6 registers deal the classes to band buckets.
 
 In a band bucket one member, drawn by a hash, leads, and the others are paired with it only.
 Pairs are judged by their registers (equal ones, corrected for expected chance collisions, with
-a margin of five deviations). Members that are far from their leader choose a new one; what is
-left after `LEADERS` rounds, a few members that are all unlike, is paired in full. Near pairs
-are then confirmed on the full sets, the best of each class first; ends that then hang
-together need no proof. Families (what hangs together by near pairs) that are not yet one
-component are at last compared in blocks: every member outside of the largest component with
+a margin of five deviations). Members that are far from their leader choose a new one, for
+`LEADERS` rounds. A member may be near its leader and also near one that the leader is far from;
+so each bucket that then holds more than one family (what hangs together by near pairs) is
+compared in full by registers, all members outside of its largest family with all its members,
+in blocks that give out a spanning forest of the near pairs. Near pairs are then confirmed on the full sets, the best of each class first; ends that then hang
+together need no proof. Families that are not yet one component are at last compared in blocks: every member outside of the largest component with
 all members, on full sets, giving out links only. So no group gives out its pairs, and none
 meets in one task.
 
@@ -47,6 +48,7 @@ EMPTY = 0xFFFF
 DEVIATIONS = 5
 LEADERS = 3
 BLOCK = 128
+UNIT = 4_096
 COLUMNS = 20_000
 
 FEATURES = "doc_id long, digest long, n_shingles long, members binary, sketches array<struct<size:int,registers:binary>>"
@@ -179,29 +181,103 @@ def _led(members: DataFrame, turn: int) -> DataFrame:
 
 
 def near_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Stored (a, b, likely): the pairs of leaders and members that the registers call near."""
-    found = None
+    """Stored (a, b, likely): near pairs that join all that hangs together by registers in a bucket.
+
+    Rounds of leaders join most; then every bucket that still holds several families is compared
+    in full, those that left it in a round included.
+    """
+    found, left = None, members
     for turn in range(LEADERS):
-        led = stored(_led(members, turn), "led")
+        led = stored(_led(left, turn), "led")
         ends = led.where(_sizes_allow(F.col("n"), F.col("leader_n")))
         ends = ends.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "size")
         near = judged(ends.groupBy("a", "b").agg(F.min("size").alias("size")), classes)
         found = near if found is None else found.union(near)
         both = near.select(F.col("a").alias("node"), F.col("b").alias("leader"))
         both = both.union(near.select(F.col("b"), F.col("a")))
-        members = stored(led.join(both, ["node", "leader"], "left_anti").select("key", "node", "n", "size"), "far")
-        if members.isEmpty():
+        left = stored(led.join(both, ["node", "leader"], "left_anti").select("key", "node", "n", "size"), "far")
+        discard(led)
+        if left.isEmpty():
             break
-    x, y = members.alias("x"), members.alias("y")
-    allowed = (F.col("x.node") < F.col("y.node")) & _sizes_allow(F.col("x.n"), F.col("y.n"))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & allowed)
-    rest = rest.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min("x.size").alias("size"))
-    found = found.union(judged(rest, classes))
+    found = found.union(bucket_links(members, components(found), classes))
     return stored(found.groupBy("a", "b").agg(F.max("likely").alias("likely")), "near")
 
 
+def bucket_links(members: DataFrame, families: DataFrame, classes: DataFrame) -> DataFrame:
+    """Stored (a, b, likely): near pairs across the families of a bucket, a spanning forest a block.
+
+    Every member outside of the bucket's largest family meets all members, by registers and in
+    blocks; blocks are dealt to units of about `UNIT` rows. Up to LEADERS + 1 members of as many
+    families have all met as leaders.
+    """
+    named = families.select("node", F.col("comp").alias("family"))
+    placed = members.join(named, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    parts = placed.groupBy("key", "family").agg(F.count(F.lit(1)).alias("n"))
+    top = parts.groupBy("key").agg(
+        F.max(F.struct("n", "family")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("families")
+    )
+    met = (F.col("families") == F.col("all")) & (F.col("all") <= LEADERS + 1)
+    mixed = top.where((F.col("families") > 1) & ~met)
+    mixed = mixed.select("key", F.col("top.family").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("n_odd"))
+    rows = stored(placed.join(mixed, "key"), "mixed")
+    units = max(1, rows.count() // UNIT)
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    whole = ("key", "node", "n", "size", "family")
+    every = F.sequence(F.lit(0), blocks("n_odd") - 1)
+    members = rows.select(*whole, F.lit(False).alias("odd"), F.explode(every).alias("i"), mine("all").alias("j"))
+    every = F.sequence(F.lit(0), blocks("all") - 1)
+    odd = rows.where("family != main")
+    odd = odd.select(*whole, F.lit(True).alias("odd"), mine("n_odd").alias("i"), F.explode(every).alias("j"))
+    each = classes.select("node", F.explode("sketches").alias("s")).select("node", "s.size", "s.registers")
+    dealt = members.unionByName(odd).join(each, ["node", "size"])
+    dealt = dealt.withColumn("block", F.xxhash64("key", "i", "j"))
+    dealt = dealt.select(F.pmod("block", F.lit(units)).alias("unit"), "block", "node", "n", "family", "odd", "registers")
+    return stored(dealt.groupBy("unit").applyInArrow(_unit_links, "a long, b long, likely double"), "judged")
+
+
+def _unit_links(table: pa.Table) -> pa.Table:
+    """Of each block of a unit, near pairs of odd members and members that join its families."""
+    table = table.combine_chunks()
+    block, node, n, family = (table.column(c).to_numpy() for c in ("block", "node", "n", "family"))
+    odd = table.column("odd").to_numpy(zero_copy_only=False)
+    sketch = np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    order = np.lexsort((odd, block))
+    cuts = np.flatnonzero(np.diff(block[order])) + 1
+    out = ([], [], [])
+    for rows in np.split(order, cuts):
+        split = int(np.searchsorted(odd[rows], True))
+        right, left = rows[:split], rows[split:]
+        root = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for i in left.tolist():
+            fits = (family[right] != family[i]) & (100 * np.minimum(n[right], n[i]) >= THRESHOLD * np.maximum(n[right], n[i]))
+            some = right[fits]
+            if not len(some):
+                continue
+            value, used = estimate(sketch[i][None], sketch[some], np.full(len(some), n[i], np.float64), n[some].astype(np.float64))
+            near = value + _slack(used) >= THRESHOLD / 100
+            for j, likely in zip(some[near].tolist(), value[near].tolist()):
+                a, b = find(int(family[i])), find(int(family[j]))
+                if a != b:
+                    root[a] = b
+                    for column, cell in zip(out, (min(node[i], node[j]), max(node[i], node[j]), likely)):
+                        column.append(cell)
+    kinds = (pa.int64(), pa.int64(), pa.float64())
+    return pa.table({name: pa.array(column, kind) for name, column, kind in zip(("a", "b", "likely"), out, kinds)})
+
+
+def _slack(used: np.ndarray) -> np.ndarray:
+    """How far below the threshold the estimate of a linked pair may lie."""
+    return DEVIATIONS * np.sqrt(THRESHOLD / 100 * (1 - THRESHOLD / 100) / np.maximum(used, 1))
+
+
 def _judge(batches):
-    margin = THRESHOLD / 100 * (1 - THRESHOLD / 100)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -210,7 +286,7 @@ def _judge(batches):
         )
         sizes = [batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb")]
         value, n = estimate(a, b, *sizes)
-        keep = pa.array(value + DEVIATIONS * np.sqrt(margin / np.maximum(n, 1)) >= THRESHOLD / 100)
+        keep = pa.array(value + _slack(n) >= THRESHOLD / 100)
         yield pa.RecordBatch.from_arrays(
             [batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(value).filter(keep)],
             names=["a", "b", "likely"],

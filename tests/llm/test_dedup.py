@@ -167,6 +167,33 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert got == {i: c for i, _, c in components(rows)}
 
 
+def test_near_copy_of_a_template(spark):
+    """M is near most pages by registers, its copy X near none of them: the two still meet."""
+    rng, rows, want = random.Random(17), [], {}
+    for group in range(6):
+        base = [f"g{group}w{k}" for k in range(1003)]
+        own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+        texts = [base, base[:895] + own(108)]  # 892 of 1,108 shingles are shared: 0.805
+        for _ in range(400):
+            at = rng.randrange(600)
+            texts.append(base[:at] + own(177) + base[at + 177 :])
+        first = len(rows)
+        rows += [(first + k, " ".join(t)) for k, t in enumerate(texts)]
+        # By brute force: a matrix of the members' shared shingles.
+        sets = [shingles(t, 4) for _, t in rows[first:]]
+        place = {s: k for k, s in enumerate(sorted(sets[0]))}
+        table = np.zeros((len(sets), len(place)), dtype=np.float32)
+        for k, members in enumerate(sets):
+            table[k, [place[s] for s in members if s in place]] = 1
+        both, sizes = table @ table.T, np.array([len(s) for s in sets])
+        linked = 100 * both >= 80 * (sizes[:, None] + sizes[None, :] - both)
+        assert np.argwhere(np.triu(linked, 1)).tolist() == [[0, 1]]
+        want |= {first + k: first + (0 if k == 1 else k) for k in range(len(texts))}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(frame, 4).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("edges", [[(1, 2), (2, 3), (3, 4), (10, 11)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], []])
 def test_components(spark, edges):
     got = {r["node"]: r["comp"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
