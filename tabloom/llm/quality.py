@@ -3,9 +3,10 @@
 One pass over the texts gives each document its counts and, for each line that has a word, a
 digest of the line's lower-cased words. Copies of a text count as one document of their host:
 distinct (host, lines) pairs are exploded to distinct (host, line) and counted, combined on
-the map side. A line is frequent if more than `min_documents` and more than `share` of the
-host's distinct documents have it; frequent lines are removed, and a document that keeps less
-than `keep_words` of its words is depleted and rejected, as is one that fails the base rules.
+the map side. A line is frequent if more than `min_documents` of the host's distinct documents
+have it, however many there are (a caller may ask for a `share` of them as well); frequent lines
+are removed, and a document that keeps less than `keep_words` of its words is depleted and
+rejected, as is one that fails the base rules.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host is a
 host; rows equal in id and text get the same result; an empty table gives an empty result.
@@ -25,7 +26,8 @@ MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEATED_PERCENT = 30
 MIN_DOCUMENTS = 20
-SHARE = 0.05
+#: A share would let the limit grow with the host and keep the lines that a large one repeats.
+SHARE = 0.0
 KEEP_WORDS = 0.3
 
 SYMBOL = np.zeros(256, dtype=bool)

@@ -117,6 +117,17 @@ def test_quality_removes_shared_lines(spark):
     assert out[3]["text"] == rows[3][1].split("\n")[1] and out[3]["n_chars"] == len(out[3]["text"])
 
 
+def test_quality_removes_common_lines_of_a_large_source(spark):
+    """A line of 21 distinct documents goes, however large their source is; one of 20 stays."""
+    rows = []
+    for i in range(900):
+        own = " ".join(f"own{i}w{k}" for k in range(30))
+        rows.append((i, ("All rights reserved here\n" if i < 21 else "Seldom seen line\n" if i < 41 else "") + own, "hot"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["removed_words"] for r in quality.verdicts(frame).collect()}
+    assert got == {i: 4 if i < 21 else 0 for i in range(900)}
+
+
 def test_quality_filter_keeps_columns(docs, cases):
     out = quality.quality_rules(docs)
     assert out.columns == docs.columns
