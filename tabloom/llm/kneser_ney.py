@@ -1,11 +1,12 @@
 """Operator 4, LM scoring: an interpolated modified Kneser-Ney model in sorted hash arrays.
 
 Counting runs in Spark. A task turns a slice of texts into its distinct n-grams with counts,
-dealt to shards by the hash of their context, so a common word reaches the shuffle once a
-slice. A shard's reducer adds them up, writes its arrays (sorted 64-bit n-gram hashes with
-counts, sorted context hashes with their totals) to the shared folder, and passes the n-grams
-of the next lower order on, counted by their distinct left neighbours. The driver sees one row
-a shard: file names and counts of counts, from which the discounts follow.
+dealt to shards by their own hash, so the n-grams of a common context go to all shards. A
+shard's reducer adds them up, writes its arrays (sorted 64-bit n-gram hashes with counts) to the
+shared folder, passes the n-grams of the next lower order on, counted by their distinct left
+neighbours, and gives a partial sum for each context. A second grouping by the hash of the
+context adds these up and writes sorted context hashes with their totals. The driver sees one
+row a file: names and counts of counts, from which the discounts follow.
 
 Scoring tasks memory-map the shard files, look up the distinct n-grams of a slice in hash
 order and add up logarithms by text. Where the shared folder is no mounted path, one shard at
@@ -42,7 +43,8 @@ FALLBACK = (0.5, 1.0, 1.5)
 START, END = (int(h) for h in hashes([b"<s>\n", b"</s>\n"]))
 
 GRAMS = "shard int, grams binary, adjusted binary, raw binary"
-FILES = "ngram int, shard int, file string, grams long, contexts long, total long, raw long, n1 long, n2 long, n3 long, n4 long, types long"
+CONTEXT_FILES = "ngram int, shard int, file string, contexts long"
+FILES = "ngram int, shard int, file string, grams long, total long, raw long, n1 long, n2 long, n3 long, n4 long, types long"
 
 
 def _sequence(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -70,6 +72,10 @@ def _gram_hash(context: np.ndarray | None, last: np.ndarray) -> np.ndarray:
     return scramble(last) if context is None else scramble(context * np.uint64(5) + last)
 
 
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys >> np.uint64(33)) % np.uint64(shards)
+
+
 def _merge(columns: list[np.ndarray], adjusted: np.ndarray, raw: np.ndarray):
     """Equal n-grams added up, in the order of (context hash, last word)."""
     context = _context_hash(columns[:-1]) if len(columns) > 1 else None
@@ -88,8 +94,8 @@ def _merge(columns: list[np.ndarray], adjusted: np.ndarray, raw: np.ndarray):
 
 
 def _dealt(columns, context, adjusted, raw, shards: int) -> pa.RecordBatch:
-    """A row for each shard that gets some of the n-grams."""
-    shard = ((context if context is not None else scramble(columns[-1])) >> np.uint64(33)) % np.uint64(shards)
+    """A row for each shard that gets some of the n-grams; a context's n-grams go to many."""
+    shard = _shard(_gram_hash(context, columns[-1]), shards)
     order = np.argsort(shard, kind="stable")
     numbers, first = np.unique(shard[order], return_index=True)
     bounds = np.append(first, len(order)).tolist()
@@ -133,41 +139,76 @@ def _reduce(order: int, top: bool, shards: int, folder: str):
         keys = _gram_hash(context, columns[-1])
         sort = np.argsort(keys)
         arrays = [keys[sort].astype("<u8")]
-        contexts = 0
-        if context is not None:
-            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            contexts = len(first)
-            arrays += [context[first].astype("<u8"), np.add.reduceat(adjusted, first).astype("<u8")]
-            arrays += [np.add.reduceat(m.astype(np.int64), first).astype("<u4") for m in (adjusted == 1, adjusted == 2, adjusted > 2)]
         arrays.append(adjusted[sort].astype("<u4"))
         if order == 1:
             arrays.append(raw[sort].astype("<u4"))
-        system, path = open_folder(folder)
-        name = own_name(f"order{order}-{number:06d}", ".lm")
-        with system.open_output_stream(f"{path}/{name}") as file:
-            for array in arrays:
-                file.write(array.tobytes())
-        row = [order, number, name, len(keys), contexts, int(adjusted.sum()), int(raw.sum())]
+        name = _write(folder, f"order{order}-{number:06d}", arrays)
+        row = [order, number, name, len(keys), int(adjusted.sum()), int(raw.sum())]
         row += [int((adjusted == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)]
         names = [part.split(" ")[0] for part in FILES.split(", ")]
-        out = {n: [v] for n, v in zip(names, row)} | {"lower": [None], "grams_below": [None], "adjusted": [None], "raw_below": [None]}
+        given = ("lower", "grams_below", "adjusted", "raw_below", "owner", "contexts", "sums")
+        out = {n: [v] for n, v in zip(names, row)} | {key: [None] for key in given}
         if order > 1:
             # Each n-gram is one left neighbour of its suffix, unless the suffix opens a text.
             below = columns[1:]
             left = np.where(below[0] == np.uint64(START), raw, 1) if order > 2 else np.ones(len(raw), np.int64)
             below, below_context, left, below_raw = _merge(below, left, raw)
             dealt = _dealt(below, below_context, left, below_raw, shards).to_pydict()
-            n = len(dealt["shard"])
-            for key in names:
-                out[key] += [None] * n
-            for key, source in (("lower", "shard"), ("grams_below", "grams"), ("adjusted", "adjusted"), ("raw_below", "raw")):
-                out[key] += dealt[source]
+            found = dict(zip(given, (dealt["shard"], dealt["grams"], dealt["adjusted"], dealt["raw"])))
+            found |= dict(zip(given[4:], _partial_sums(context, adjusted, shards)))
+            for some in (given[:4], given[4:]):
+                n = len(found[some[0]])
+                for key in out:
+                    out[key] += found[key] if key in some else [None] * n
         return pa.table(out, schema=_reduced_schema())
 
     return run
 
 
-REDUCED = FILES + ", lower int, grams_below binary, adjusted binary, raw_below binary"
+def _write(folder: str, label: str, arrays: list[np.ndarray]) -> str:
+    """Write arrays one after the other; the name of the file."""
+    system, path = open_folder(folder)
+    name = own_name(label, ".lm")
+    with system.open_output_stream(f"{path}/{name}") as file:
+        for array in arrays:
+            file.write(array.tobytes())
+    return name
+
+
+def _partial_sums(context: np.ndarray, adjusted: np.ndarray, shards: int) -> tuple[list, list, list]:
+    """(shard, contexts, sums): what sorted n-grams add to total, N1, N2 and N3+ of their contexts."""
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    parts = (adjusted, adjusted == 1, adjusted == 2, adjusted > 2)
+    sums = np.stack([np.add.reduceat(m.astype(np.int64), first) for m in parts])
+    keys = context[first]
+    shard = _shard(keys, shards)
+    order = np.argsort(shard, kind="stable")
+    numbers, begin = np.unique(shard[order], return_index=True)
+    cuts = np.split(order, begin[1:])
+    return numbers.tolist(), [keys[c].tobytes() for c in cuts], [sums[:, c].tobytes() for c in cuts]
+
+
+def _context_file(order: int, folder: str):
+    """Add up the partial sums of a shard's contexts and write their file."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in table.column("contexts").to_pylist()])
+        sums = np.concatenate([np.frombuffer(v, np.int64).reshape(4, -1) for v in table.column("sums").to_pylist()], axis=1)
+        sort = np.argsort(keys, kind="stable")
+        keys, sums = keys[sort], sums[:, sort]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sums = np.add.reduceat(sums, first, axis=1)
+        number = int(table.column("shard")[0].as_py())
+        arrays = [keys[first].astype("<u8"), sums[0].astype("<u8"), *(m.astype("<u4") for m in sums[1:])]
+        row = [order, number, _write(folder, f"contexts{order}-{number:06d}", arrays), len(first)]
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64())
+        names = [part.split(" ")[0] for part in CONTEXT_FILES.split(", ")]
+        return pa.table({n: pa.array([v], k) for n, v, k in zip(names, row, kinds)})
+
+    return run
+
+
+REDUCED = FILES + ", lower int, grams_below binary, adjusted binary, raw_below binary, owner int, contexts binary, sums binary"
 
 
 def _reduced_schema() -> pa.Schema:
@@ -182,18 +223,22 @@ def train(texts: DataFrame, order: int = ORDER, folder: str | None = None, shard
     size = texts.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // shard_bytes))
     grams = texts.select("text").mapInArrow(_count(order, shards), GRAMS)
-    files = []
+    files, context_files = [], []
     for n in range(order, 0, -1):
         reduce = _reduce(n, n == order, shards, folder)
         reduced = stored(grams.groupBy("shard").applyInArrow(reduce, REDUCED), f"order{n}")
         files += reduced.where("file is not null").select(*[p.split(" ")[0] for p in FILES.split(", ")]).collect()
-        grams = reduced.where("file is null").select(
+        if n > 1:
+            sums = reduced.where("owner is not null").select(F.col("owner").alias("shard"), "contexts", "sums")
+            context_files += sums.groupBy("shard").applyInArrow(_context_file(n, folder), CONTEXT_FILES).collect()
+        grams = reduced.where("lower is not null").select(
             F.col("lower").alias("shard"), F.col("grams_below").alias("grams"), "adjusted", F.col("raw_below").alias("raw")
         )
-    model = {"folder": folder, "order": order, "shards": shards, "files": {}, "discounts": {}}
+    model = {"folder": folder, "order": order, "shards": shards, "files": {}, "contexts": {}, "discounts": {}}
     for n in range(1, order + 1):
         rows = [f for f in files if f["ngram"] == n]
-        model["files"][n] = {f["shard"]: (f["file"], f["grams"], f["contexts"]) for f in rows}
+        model["files"][n] = {f["shard"]: (f["file"], f["grams"]) for f in rows}
+        model["contexts"][n] = {f["shard"]: (f["file"], f["contexts"]) for f in context_files if f["ngram"] == n}
         n1, n2, n3, n4 = (sum(f[k] for f in rows) for k in ("n1", "n2", "n3", "n4"))
         model["discounts"][n] = discounts(n1, n2, n3, n4)
         if n == 1:
@@ -213,12 +258,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return FALLBACK
 
 
-def _arrays(folder: str, n: int, name: str, grams: int, contexts: int) -> list[np.ndarray]:
-    """The arrays of a shard file: mapped where the folder is a mounted path, else read."""
-    kinds = [("<u8", grams)]
-    if n > 1:
-        kinds += [("<u8", contexts)] * 2 + [("<u4", contexts)] * 3
-    kinds += [("<u4", grams)] * (2 if n == 1 else 1)
+GRAM_ARRAYS, UNIGRAM_ARRAYS, CONTEXT_ARRAYS = ("<u8", "<u4"), ("<u8", "<u4", "<u4"), ("<u8", "<u8", "<u4", "<u4", "<u4")
+
+
+def _arrays(folder: str, formats: tuple[str, ...], name: str, entries: int) -> list[np.ndarray]:
+    """The arrays of a file: mapped where the folder is a mounted path, else read."""
+    kinds = [(k, entries) for k in formats]
     system, path = open_folder(folder)
     sizes = [np.dtype(k).itemsize * c for k, c in kinds]
     if system.type_name == "local":
@@ -238,30 +283,30 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _lookup(model: dict, n: int, context: np.ndarray | None, last: np.ndarray):
-    """For distinct n-grams: count, and of the context total, N1, N2, N3+; zeros if unknown."""
-    keys = _gram_hash(context, last)
-    shard = ((context if context is not None else scramble(last)) >> np.uint64(33)) % np.uint64(model["shards"])
+def _read(model: dict, files: dict, formats: tuple[str, ...], keys: np.ndarray, out: np.ndarray) -> None:
+    """Fill the rows of `out` with the arrays after the first one at each key; zeros if unknown."""
+    shard = _shard(keys, model["shards"])
     order = np.lexsort((keys, shard))
     numbers, first = np.unique(shard[order], return_index=True)
     bounds = np.append(first, len(order)).tolist()
-    out = np.zeros((5 if n > 1 else 2, len(keys)))
+    local = "://" not in model["folder"] or model["folder"].startswith("file:")
     for number, a, b in zip(numbers.tolist(), bounds[:-1], bounds[1:]):
-        if number not in model["files"][n]:
+        if number not in files:
             continue
         mine = order[a:b]
-        where = (model["folder"], n, *model["files"][n][number])
-        local = "://" not in model["folder"] or model["folder"].startswith("file:")
+        where = (model["folder"], formats, *files[number])
         arrays = once(("ngrams", *where), lambda: _arrays(*where)) if local else _arrays(*where)  # noqa: B023
         at, there = _find(arrays[0], keys[mine])
-        counts = arrays[6:] if n > 1 else arrays[1:]
-        out[0, mine] = np.where(there, counts[0][at], 0)
-        if n == 1:
-            out[1, mine] = np.where(there, counts[1][at], 0)
-        else:
-            at, there = _find(arrays[1], context[mine])
-            for k in range(4):
-                out[1 + k, mine] = np.where(there, arrays[2 + k][at], 0)
+        for k, values in enumerate(arrays[1:]):
+            out[k, mine] = np.where(there, values[at], 0)
+
+
+def _lookup(model: dict, n: int, context: np.ndarray | None, last: np.ndarray):
+    """For distinct n-grams: count, and of the context total, N1, N2, N3+; zeros if unknown."""
+    out = np.zeros((5 if n > 1 else 2, len(last)))
+    _read(model, model["files"][n], UNIGRAM_ARRAYS if n == 1 else GRAM_ARRAYS, _gram_hash(context, last), out)
+    if n > 1:
+        _read(model, model["contexts"][n], CONTEXT_ARRAYS, context, out[1:])
     return out
 
 

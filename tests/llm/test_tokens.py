@@ -210,3 +210,17 @@ def test_kneser_ney_without_training_rows(spark, nothing):
 def test_empty_tables(nothing):
     assert bpe.encode_and_decode(nothing).count() == 0 and bpe.encode(nothing).count() == 0
     assert token_files.token_files(nothing).count() == 0
+
+
+def test_a_hot_context_is_split_over_shards():
+    """The n-grams of one context go to all shards, and its sums come together again."""
+    rng = np.random.default_rng(4)
+    last = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    columns, ones = [np.full(len(last), 9, np.uint64), last], np.ones(len(last), np.int64)
+    columns, context, counts, _ = kneser_ney._merge(columns, ones, ones)
+    dealt = kneser_ney._dealt(columns, context, counts, counts, 8).to_pydict()
+    sizes = [len(a) // 4 for a in dealt["adjusted"]]
+    assert sorted(dealt["shard"]) == list(range(8)) and sum(sizes) == len(last) and max(sizes) < len(last) / 5
+    shard, contexts, sums = kneser_ney._partial_sums(context, counts, 8)
+    assert len(shard) == 1 and np.frombuffer(contexts[0], np.uint64).tolist() == [context[0]]
+    assert np.frombuffer(sums[0], np.int64).tolist() == [len(last), len(last), 0, 0]
