@@ -25,7 +25,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources in their target shares: a row for each document and pass that takes it."""
+    """The sources in their target shares: a row for each stretch of a document that a pass takes."""
     return mixing.mixed_documents(docs)
 
 

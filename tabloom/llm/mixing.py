@@ -2,9 +2,9 @@
 
 Native: DataFrame functions only. The documents of a source, in a seeded hash order, form one
 stream of words, which is cut into blocks of `block_words`. A source gets as many slots as its
-target holds blocks. Every slot draws its output shard by a seeded hash, so the source counts
-of a shard are a multinomial draw, conditioned on the totals that meet the targets. Slot k of a
-source takes block perm(k mod blocks) of pass k div blocks, where perm is a seeded affine
+target holds blocks. No output shards are made: `draw_slots` names a shard by a seeded hash, but
+neither `mix` nor `mixed_documents` reads it, and the slots follow from the targets alone. Slot k
+of a source takes block perm(k mod blocks) of pass k div blocks, where perm is a seeded affine
 permutation of the block indices, and slots and blocks are joined by (source, index).
 
 A source with most of the rows is laid out in hash buckets, its slots are generated in chunks,
@@ -146,11 +146,19 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes: int = MAX_P
     )
 
 
+def _stretches(parts: str):
+    """The contiguous stretches (first word, word after the last) of sorted parts (at, n)."""
+    opens = F.filter(parts, lambda p, k: F.coalesce(F.get(parts, k - 1)["at"] + F.get(parts, k - 1)["n"] != p["at"], F.lit(True)))
+    closes = F.filter(parts, lambda p, k: F.coalesce(F.get(parts, k + 1)["at"] != p["at"] + p["n"], F.lit(True)))
+    first, last = F.transform(opens, lambda p: p["at"]), F.transform(closes, lambda p: p["at"] + p["n"])
+    return F.arrays_zip(first.alias("first"), last.alias("last"))
+
+
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes: int = MAX_PASSES) -> DataFrame:
-    """The mix itself with the columns of `docs`: a row for each document and pass that takes it.
+    """The mix itself with the columns of `docs`: a row for each stretch that a pass takes.
 
-    A pass that takes all blocks of a document gives its whole text; another one gives the words
-    of the blocks it takes, with the white space before them. `n_chars`, where there is one,
+    A pass that takes all blocks of a document gives its whole text; another one gives a row for
+    each contiguous stretch of the blocks it takes, with the white space before its words. `n_chars`, where there is one,
     follows the text. Documents without words are never drawn.
     """
     laid, sources = lay_out(docs, block_words, max_passes)
@@ -163,7 +171,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes:
     drawn = (
         laid.where("size > 0").drop("words", "target").join(parts, ["src", "start"])
         .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("source").alias("_source"),
-                "pass", F.when(F.col("got") < F.col("size"), F.col("parts")).alias("_parts"))
+                "pass", F.explode(_stretches("parts")).alias("_part"), (F.col("got") < F.col("size")).alias("_cut"))
     )
     keys = ["_id", "_digest", "_source"]
     rows = docs.select(F.struct("*").alias("_row")).select(
@@ -176,10 +184,11 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes:
         & (F.col("a._digest") == F.col("b._digest"))
         & F.col("a._source").eqNullSafe(F.col("b._source"))
     )
-    joined = rows.alias("a").join(drawn.alias("b"), same).select("a._row", "b._parts")
+    joined = rows.alias("a").join(drawn.alias("b"), same).select("a._row", "b._part", "b._cut")
     words = F.regexp_extract_all("_row.text", F.lit(SPACED_WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, p["at"].cast("int") + 1, p["n"].cast("int")))), "")
-    text = F.when(F.col("_parts").isNull(), F.col("_row.text")).otherwise(cut)
+    first, last = F.col("_part.first").cast("int"), F.col("_part.last").cast("int")
+    cut = F.array_join(F.slice(words, first + 1, last - first), "")
+    text = F.when(F.col("_cut"), cut).otherwise(F.col("_row.text"))
     out = joined.withColumn("_new", text)
     columns = []
     for field in docs.columns:

@@ -71,6 +71,18 @@ def test_mixed_documents(many):
     assert got == {i: n for i, n in counts.items() if n}
 
 
+def test_mixed_rows_are_contiguous(spark):
+    """A pass that takes blocks which are not adjacent gives a row for each stretch of them."""
+    long = [f"w{k}" for k in range(400)]
+    frame = spark.createDataFrame([(1, " ".join(long), "a"), (2, " ".join(long), "b")], "doc_id long, text string, source string")
+    rows = mixing.mixed_documents(frame, block_words=16).collect()
+    cut = [r["text"].split() for r in rows if len(r["text"].split()) < len(long)]
+    assert len(cut) > 2
+    for words in cut:
+        at = int(words[0][1:])
+        assert words == long[at : at + len(words)]
+
+
 def test_permutations_are_whole(spark):
     sources = spark.createDataFrame([(0, 1000, 2500), (1, 1, 3), (2, 33_554_393 % 4099, 70), (3, 7, 0)], "src int, blocks long, slots long")
     slots = mixing.draw_slots(sources, shard_slots=100).collect()
