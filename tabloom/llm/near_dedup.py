@@ -40,7 +40,7 @@ from tabloom.llm.shared import one_of_each, small_side, stored, text_of
 from tabloom.llm.words import Texts, hashes, scramble, slices, window_hashes
 from tabloom.session import discard
 
-SHINGLE = 4
+SHINGLE = 5
 THRESHOLD = 80  # percent
 REGISTERS, MANTISSA = 256, 10
 BAND, BANDS = 6, 42

@@ -43,7 +43,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(documents(spark, sf_dir))
+    return near_dedup.near_dedup(documents(spark, sf_dir), width=4)
 
 
 def op9_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

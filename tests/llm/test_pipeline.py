@@ -43,6 +43,14 @@ def test_stages(spark, docs, cases):
     assert len(rows[5]) == len(rows[4])
 
 
+def test_near_copies_by_five_words(spark):
+    """0.81 alike by four words and 0.77 by five: both stay."""
+    words = [f"w{k}" for k in range(80)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:25], "x", *words[26:55], "y", *words[56:]]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, frame, "unused").collect()} == {1, 2}
+
+
 def test_run_over_the_table(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
