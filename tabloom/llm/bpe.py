@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.pretokens import encode_texts, texts_of
+from tabloom.llm.pretokens import encode_texts, flat, texts_of
 from tabloom.llm.process import once
 from tabloom.llm.shared import text_of
 from tabloom.llm.words import slices
@@ -111,7 +111,8 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        return encode_texts(texts, self.encode_pretokens, self.encode_whole)
+        distinct = lambda split: flat(self.encode_pretokens([t.decode() for t in split.distinct]))
+        return encode_texts(texts, distinct, self.encode_whole)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(self.tokens[i] for i in ids)

@@ -12,6 +12,7 @@ text with characters outside of long-stable ranges is left to the library as a w
 from __future__ import annotations
 
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,15 @@ from tabloom.llm.process import once
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 4
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Beyond it are no letters or digits: planes 4 to 13 are empty, 14 has marks and tags, 15 and 16 are private.
+LAST_CLASSED = 0x40000
 #: Ranges whose classes are the same in all Unicode versions in use.
 STABLE = ((0x0, 0x376), (0x384, 0x528), (0x2000, 0x2065), (0x3041, 0x30FF), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4))
 
 
 def _class_table() -> np.ndarray:
     table = np.full(0x110000, OTHER, dtype=np.uint8)
-    for code in range(0x110000):
+    for code in range(LAST_CLASSED):
         kind = unicodedata.category(chr(code))[0]
         if kind in "LN":
             table[code] = LETTER if kind == "L" else DIGIT
@@ -44,7 +47,10 @@ def _stable_table() -> np.ndarray:
 
 
 class Pretokens:
-    """first: index of the first pre-token of each text; codes and distinct: what they are."""
+    """first: index of the first pre-token of each text; codes and distinct: what they are.
+
+    words: which of the distinct ones are a space and letters.
+    """
 
     def __init__(self, texts: list[str]):
         joined = "".join(texts)
@@ -53,15 +59,23 @@ class Pretokens:
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         starts = _starts(points, bounds[:-1][lengths > 0])
         self.first = np.searchsorted(starts, bounds)
-        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-        at = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
-        offsets = np.append(at[starts], at[-1]).astype(np.int32)
+        # A character beyond ASCII takes one to three bytes more; those are few.
+        odd = np.flatnonzero(points >= 0x80)
+        more = 1 + (points[odd] >= 0x800).astype(np.int64) + (points[odd] >= 0x10000)
+        more = np.concatenate([[0], np.cumsum(more)])
+        at = np.append(starts, len(points))
+        offsets = (at + more[np.searchsorted(odd, at)]).astype(np.int32)
         array = pa.Array.from_buffers(
             pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(joined.encode())]
         )
         encoded = array.dictionary_encode()
         self.codes = encoded.indices.to_numpy().astype(np.int64)
         self.distinct: list[bytes] = encoded.dictionary.to_pylist()
+        seen = np.zeros(len(self.distinct), dtype=np.int64)
+        seen[self.codes] = np.arange(len(starts))
+        second = np.minimum(starts[seen] + 1, max(len(points) - 1, 0))
+        longer = at[seen + 1] - at[seen] > 1
+        self.words = longer & (points[second - 1] == 0x20) & (once("classes", _class_table)[points[second]] == LETTER)
 
 
 def _starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
@@ -124,22 +138,28 @@ def gather(codes: np.ndarray, pool: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return pool[np.repeat(opening[codes] - (ends - counts), counts) + np.arange(total)]
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, all entries) of lists of ids."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return sizes, np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum()))
+
+
 def encode_texts(texts: list[str], encode_distinct, encode_whole, special: tuple[str, ...] = ()):
     """(ids of all texts, number of ids of each text).
 
-    `encode_distinct` maps a list of pre-tokens to their ids; `encode_whole` does a text that
-    holds a special token or characters outside of the stable ranges.
+    `encode_distinct` maps the distinct pre-tokens of a `Pretokens` to (number of ids of each, all
+    their ids); `encode_whole` does a text that holds a special token or characters outside of
+    the stable ranges.
     """
     plain = stable_texts(texts)
     for i, text in enumerate(texts):
         if plain[i] and any(s in text for s in special):
             plain[i] = False
     split = Pretokens([t if ok else "" for t, ok in zip(texts, plain)])
-    known = encode_distinct([t.decode() for t in split.distinct])
-    for i in np.flatnonzero(~plain):
-        known.append(encode_whole(texts[i]))
-    sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
-    pool = np.fromiter((x for ids in known for x in ids), dtype=np.uint32, count=int(sizes.sum()))
+    sizes, pool = encode_distinct(split)
+    whole = [encode_whole(texts[i]) for i in np.flatnonzero(~plain)]
+    more, ids = flat(whole)
+    sizes, pool = np.concatenate([sizes, more]), np.concatenate([pool, ids])
     # A whole text is one more code, at the place of that text.
     odd = np.flatnonzero(~plain)
     codes = np.insert(split.codes, split.first[odd], len(split.distinct) + np.arange(len(odd)))

@@ -16,8 +16,20 @@ ESCAPE = 0
 LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 
 
+def _short_bits() -> np.ndarray:
+    width = np.ones(1 << 16, dtype=np.uint8)
+    for bits in range(1, 16):
+        width[1 << bits :] = bits + 1
+    return width
+
+
+SHORT_BITS = _short_bits()
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """How many bits each number needs, 1 at least."""
+    if not len(values) or values.max() < len(SHORT_BITS):
+        return SHORT_BITS[values.astype(np.int64)]
     width = np.ones(len(values), dtype=np.uint8)
     for shift in (32, 16, 8, 4, 2, 1):
         big = values >> np.uint64(shift)
@@ -66,20 +78,21 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.full(blocks, BLOCK)
     ends[-1] = n - (blocks - 1) * BLOCK
     at, live = np.zeros(blocks, dtype=np.int64), np.arange(blocks)
-    which, where, chosen = [], [], []
+    used = np.zeros(blocks, dtype=np.int64)  # words of each block so far
+    which, where, chosen, order = [], [], [], []
     while len(live):  # one word of every block a step
         selector = choice[live * (BLOCK + 60) + at[live]]
         which.append(live)
         where.append(at[live])
         chosen.append(selector)
+        order.append(used[live])
+        used[live] += 1 + (selector == ESCAPE)
         at[live] += counts[selector]
         live = live[at[live] < ends[live]]
-    which, where, chosen = map(np.concatenate, (which, where, chosen))
-    order = np.lexsort((where, which))
-    which, where, chosen = which[order], where[order], chosen[order]
-    sizes = 1 + (chosen == ESCAPE)
-    slot = np.cumsum(sizes) - sizes
-    words = np.zeros(int(sizes.sum()), dtype=np.uint64)
+    which, where, chosen, order = map(np.concatenate, (which, where, chosen, order))
+    offsets = np.concatenate([[0], np.cumsum(used)])
+    slot = offsets[which] + order
+    words = np.zeros(int(offsets[-1]), dtype=np.uint64)
     words[slot] = chosen
     wide = np.zeros((blocks, BLOCK + 60), dtype=np.uint64)
     wide[:, :BLOCK] = padded.reshape(blocks, BLOCK)
@@ -90,8 +103,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         to, source = slot[mine], start[mine]
         for k in range(count):
             words[to] |= flat[source + k] << np.uint64(4 + k * bits)
-    per_block = np.bincount(which, weights=sizes, minlength=blocks).astype(np.int64)
-    return words, np.concatenate([[0], np.cumsum(per_block)])
+    return words, offsets
 
 
 def _selectors(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ rows with equal ids are ordered by their text; an empty table has no files and n
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import simple8b
 from tabloom.llm.files import open_folder, own_name
-from tabloom.llm.pretokens import encode_texts, texts_of
+from tabloom.llm.pretokens import Pretokens, encode_texts, flat, gather, texts_of
 from tabloom.llm.process import once
 from tabloom.llm.shared import stored, text_of
 from tabloom.llm.words import slices
@@ -35,7 +36,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 FILE_BYTES = 32 << 20
 READ_BLOCKS = 1024
-KNOWN_PRETOKENS = 150_000
+KNOWN_PRETOKENS = 400_000
 JOINED_WORDS = 5_000
 MAGIC = b"SIMPLE8B"
 
@@ -45,9 +46,10 @@ MANIFEST = "range int, file string, first_doc long, documents long, ids long"
 class Encoder:
     """The library's encoder; the ids of up to `KNOWN_PRETOKENS` pre-tokens are remembered.
 
-    New pre-tokens that are a space and letters are given to the library side by side, as one
-    text: it splits them at the spaces, and as only their first piece can begin with a space,
-    the pieces tell where each one starts.
+    A memory that is full starts anew with the pre-tokens of the present slice. New pre-tokens
+    that are a space and letters are given to the library side by side, as one text: it splits
+    them at the spaces, and as only their first piece can begin with a space, the pieces tell
+    where each one starts.
     """
 
     def __init__(self, path: str):
@@ -55,34 +57,54 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, list[int]] = {}
+        self._forget()
         space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
 
+    def _forget(self) -> None:
+        #: pre-token -> its place in `sizes`; `pool` has the ids of all in this order.
+        self.known: dict[bytes, int] = {}
+        self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        if not words:
-            return []
-        ids = self._batch(["".join(words)])[0]
-        starts = np.flatnonzero(self.opens[ids]).tolist()
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self._batch([b"".join(words).decode()])[0], dtype=np.uint32)
+        starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(words):
-            return self._batch(words)
-        return [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)])]
-
-    def encode_pretokens(self, pretokens: list[str]) -> list[list[int]]:
-        new = [p for p in pretokens if p not in self.known]
-        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        rest = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
-        fresh = dict(zip(rest, self._batch(rest)))
-        for at in range(0, len(words), JOINED_WORDS):
-            part = words[at : at + JOINED_WORDS]
-            fresh.update(zip(part, self._words(part)))
-        out = [self.known[p] if p in self.known else fresh[p] for p in pretokens]
-        if len(self.known) + len(fresh) <= KNOWN_PRETOKENS:
-            self.known.update(fresh)
+            return flat(self._batch([w.decode() for w in words]))
+        return np.diff(np.append(starts, len(ids))), ids
+
+    def _fresh(self, pretokens: list[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens from the library: first the words, then the others."""
+        together = [pretokens[i] for i in np.flatnonzero(words)]
+        parts = [self._words(together[at : at + JOINED_WORDS]) for at in range(0, len(together), JOINED_WORDS)]
+        parts.append(flat(self._batch([pretokens[i].decode() for i in np.flatnonzero(~words)])))
+        sizes, pool = (np.concatenate(x) for x in zip(*parts))
+        order = np.concatenate([np.flatnonzero(words), np.flatnonzero(~words)])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return sizes[place], gather(place, pool, sizes)
+
+    def encode_pretokens(self, split: Pretokens) -> tuple[np.ndarray, np.ndarray]:
+        distinct = split.distinct
+        places = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(places < 0)
+        pretokens = [distinct[i] for i in new]
+        sizes, pool = self._fresh(pretokens, split.words[new])
+        places[new] = len(self.sizes) + np.arange(len(new))
+        all_sizes, all_ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, pool])
+        out = all_sizes[places], gather(places, all_ids, all_sizes)
+        if len(self.known) + len(new) <= KNOWN_PRETOKENS:
+            self.known.update(zip(pretokens, range(len(self.sizes), len(all_sizes))))
+            self.sizes, self.pool = all_sizes, all_ids
+        elif len(distinct) <= KNOWN_PRETOKENS:
+            self.known = dict(zip(distinct, range(len(distinct))))
+            self.sizes, self.pool = out
+        else:
+            self._forget()
         return out
 
     def encode_whole(self, text: str) -> list[int]:
