@@ -70,7 +70,7 @@ class Pretokens:
         )
         encoded = array.dictionary_encode()
         self.codes = encoded.indices.to_numpy().astype(np.int64)
-        self.distinct: list[bytes] = encoded.dictionary.to_pylist()
+        self.distinct: list[bytes] = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
         seen = np.zeros(len(self.distinct), dtype=np.int64)
         seen[self.codes] = np.arange(len(starts))
         second = np.minimum(starts[seen] + 1, max(len(points) - 1, 0))

@@ -100,9 +100,11 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words[slot[chosen == ESCAPE] + 1] = flat[start[chosen == ESCAPE]]
     for selector, (count, bits) in enumerate(LAYOUTS, 1):
         mine = chosen == selector
-        to, source = slot[mine], start[mine]
-        for k in range(count):
-            words[to] |= flat[source + k] << np.uint64(4 + k * bits)
+        source = start[mine]
+        packed = np.full(len(source), selector, dtype=np.uint64)
+        for k in range(count if len(source) else 0):
+            packed |= flat[source + k] << np.uint64(4 + k * bits)
+        words[slot[mine]] = packed
     return words, offsets
 
 
@@ -142,8 +144,12 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
         if not mine.any():
             continue
         value, to, end = words[coded[mine]] >> np.uint64(4), at[mine], limit[mine]
-        mask = np.uint64((1 << bits) - 1)
+        mask, full = np.uint64((1 << bits) - 1), to + count <= end
+        whole, whole_to = value[full], to[full]
         for k in range(count):
+            out[whole_to + k] = (whole >> np.uint64(k * bits)) & mask
+        value, to, end = value[~full], to[~full], end[~full]
+        for k in range(count if len(to) else 0):
             inside = to + k < end
             out[(to + k)[inside]] = (value[inside] >> np.uint64(k * bits)) & mask
     return out

@@ -36,7 +36,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 FILE_BYTES = 32 << 20
 READ_BLOCKS = 1024
-KNOWN_PRETOKENS = 400_000
+KNOWN_PRETOKENS = 800_000
 JOINED_WORDS = 5_000
 MAGIC = b"SIMPLE8B"
 
