@@ -2,20 +2,23 @@
 
 Counting runs in Spark. A task turns a slice of texts into its distinct n-grams with counts,
 dealt to shards by their own hash, so the n-grams of a common context go to all shards. A
-shard's reducer adds them up, writes its arrays (sorted 64-bit n-gram hashes with counts) to the
-shared folder, passes the n-grams of the next lower order on, counted by their distinct left
-neighbours, and gives a partial sum for each context. A second grouping by the hash of the
-context adds these up and writes sorted context hashes with their totals. The driver sees one
-row a file: names and counts of counts, from which the discounts follow.
+shard's reducer adds them up, writes its arrays (sorted n-gram hashes with counts) to the shared
+folder, passes the n-grams of the next lower order on, counted by their distinct left neighbours,
+and gives a partial sum for each context. A second grouping by the hash of the context adds these
+up and writes sorted context hashes with their totals. The driver sees one row a file: names and
+counts of counts, from which the discounts follow.
 
 Scoring tasks memory-map the shard files, look up the distinct n-grams of a slice in hash
 order and add up logarithms by text. Where the shared folder is no mounted path, one shard at
 a time is read instead. Nothing is broadcast; the model grows with the distinct n-grams.
 
 A text is its words (runs outside of space and U+0009 to U+000D, A-Z folded) and one end mark,
-behind order - 1 start marks. Counts of n-grams that begin with a start mark stay raw at every
-order. Unigrams are interpolated with the uniform distribution over the vocabulary and one
-unknown word. If the counts of counts of an order give no discounts, 0.5, 1 and 1.5 are used.
+behind order - 1 start marks. Words are 64-bit hashes. A stored count is one byte, or an escape.
+In the files an n-gram or context is the leading bits of its hash, which a table of buckets
+gives, and 32 bits more: one of some 2^28 unknown n-grams passes for a known one. Single words
+keep all 64 bits. Counts of n-grams that begin with a start mark stay raw at every order.
+Unigrams are interpolated with the uniform distribution over the vocabulary and one unknown word.
+If the counts of counts of an order give no discounts, 0.5, 1 and 1.5 are used.
 
 Defined results: a null text counts as empty and is its end mark alone; a null id is not held
 out; without training rows every probability is uniform; rows are scored one by one.
@@ -39,6 +42,7 @@ SHARD_BYTES = 12 << 20
 COUNT_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
 HELD_OUT = (7, 2)
 FALLBACK = (0.5, 1.0, 1.5)
+ESCAPE, BUCKET = 255, 16
 #: Hashes of marks that hold a separator, which no word does.
 START, END = (int(h) for h in hashes([b"<s>\n", b"</s>\n"]))
 
@@ -93,8 +97,23 @@ def _merge(columns: list[np.ndarray], adjusted: np.ndarray, raw: np.ndarray):
     return [c[first] for c in columns], context[first] if context is not None else None, add(adjusted), add(raw)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Counts, a byte each; larger ones are an escape, and follow at the end in 64 bits."""
+    values = np.asarray(values, dtype=np.int64).ravel()
+    return np.minimum(values, ESCAPE).astype(np.uint8).tobytes() + values[values >= ESCAPE].astype("<i8").tobytes()
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    values = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    values[values == ESCAPE] = np.frombuffer(raw, "<i8", offset=n)
+    return values
+
+
 def _dealt(columns, context, adjusted, raw, shards: int) -> pa.RecordBatch:
-    """A row for each shard that gets some of the n-grams; a context's n-grams go to many."""
+    """A row for each shard that gets some of the n-grams; a context's n-grams go to many.
+
+    At the highest order the adjusted counts are the raw ones and left out.
+    """
     shard = _shard(_gram_hash(context, columns[-1]), shards)
     order = np.argsort(shard, kind="stable")
     numbers, first = np.unique(shard[order], return_index=True)
@@ -104,8 +123,8 @@ def _dealt(columns, context, adjusted, raw, shards: int) -> pa.RecordBatch:
         mine = order[a:b]
         rows[0].append(number)
         rows[1].append(b"".join(c[mine].tobytes() for c in columns))
-        rows[2].append(adjusted[mine].astype(np.uint32).tobytes())
-        rows[3].append(raw[mine].astype(np.uint32).tobytes())
+        rows[2].append(None if adjusted is None else pack(adjusted[mine]))
+        rows[3].append(pack(raw[mine]))
     kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(rows, kinds)], names=["shard", "grams", "adjusted", "raw"]
@@ -119,7 +138,7 @@ def _count(order: int, shards: int):
             columns = [sequence[at - back] for back in range(order - 1, -1, -1)]
             ones = np.ones(len(at), dtype=np.int64)
             columns, context, counts, _ = _merge(columns, ones, ones)
-            yield _dealt(columns, context, counts, counts, shards)
+            yield _dealt(columns, context, None, counts, shards)
 
     return run
 
@@ -128,21 +147,20 @@ def _reduce(order: int, top: bool, shards: int, folder: str):
     """Add up a shard, write its file, and give (its row of FILES, its n-grams of order - 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [
-            (np.frombuffer(g, np.uint64).reshape(order, -1), np.frombuffer(a, np.uint32), np.frombuffer(r, np.uint32))
-            for g, a, r in zip(*(table.column(c).to_pylist() for c in ("grams", "adjusted", "raw")))
-        ]
+        parts = []
+        for grams, adjusted, raw in zip(*(table.column(c).to_pylist() for c in ("grams", "adjusted", "raw"))):
+            columns = np.frombuffer(grams, np.uint64).reshape(order, -1)
+            raw = unpack(raw, columns.shape[1])
+            parts.append((columns, raw if adjusted is None else unpack(adjusted, len(raw)), raw))
         columns = [np.concatenate([p[0][k] for p in parts]) for k in range(order)]
-        adjusted, raw = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (1, 2))
+        adjusted, raw = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        del parts
         columns, context, adjusted, raw = _merge(columns, adjusted, raw)
         number = int(table.column("shard")[0].as_py())
         keys = _gram_hash(context, columns[-1])
         sort = np.argsort(keys)
-        arrays = [keys[sort].astype("<u8")]
-        arrays.append(adjusted[sort].astype("<u4"))
-        if order == 1:
-            arrays.append(raw[sort].astype("<u4"))
-        name = _write(folder, f"order{order}-{number:06d}", arrays)
+        counts = [adjusted[sort]] + [raw[sort]] * (order == 1)
+        name = _write(folder, f"order{order}-{number:06d}", packed(keys[sort], counts, short=order > 1))
         row = [order, number, name, len(keys), int(adjusted.sum()), int(raw.sum())]
         row += [int((adjusted == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)]
         names = [part.split(" ")[0] for part in FILES.split(", ")]
@@ -185,21 +203,22 @@ def _partial_sums(context: np.ndarray, adjusted: np.ndarray, shards: int) -> tup
     order = np.argsort(shard, kind="stable")
     numbers, begin = np.unique(shard[order], return_index=True)
     cuts = np.split(order, begin[1:])
-    return numbers.tolist(), [keys[c].tobytes() for c in cuts], [sums[:, c].tobytes() for c in cuts]
+    return numbers.tolist(), [keys[c].tobytes() for c in cuts], [pack(sums[:, c]) for c in cuts]
 
 
 def _context_file(order: int, folder: str):
     """Add up the partial sums of a shard's contexts and write their file."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in table.column("contexts").to_pylist()])
-        sums = np.concatenate([np.frombuffer(v, np.int64).reshape(4, -1) for v in table.column("sums").to_pylist()], axis=1)
+        parts = [np.frombuffer(k, np.uint64) for k in table.column("contexts").to_pylist()]
+        sums = [unpack(v, 4 * len(k)).reshape(4, -1) for k, v in zip(parts, table.column("sums").to_pylist())]
+        keys, sums = np.concatenate(parts), np.concatenate(sums, axis=1)
         sort = np.argsort(keys, kind="stable")
         keys, sums = keys[sort], sums[:, sort]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sums = np.add.reduceat(sums, first, axis=1)
         number = int(table.column("shard")[0].as_py())
-        arrays = [keys[first].astype("<u8"), sums[0].astype("<u8"), *(m.astype("<u4") for m in sums[1:])]
+        arrays = packed(keys[first], list(sums), short=True)
         row = [order, number, _write(folder, f"contexts{order}-{number:06d}", arrays), len(first)]
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64())
         names = [part.split(" ")[0] for part in CONTEXT_FILES.split(", ")]
@@ -237,8 +256,8 @@ def train(texts: DataFrame, order: int = ORDER, folder: str | None = None, shard
     model = {"folder": folder, "order": order, "shards": shards, "files": {}, "contexts": {}, "discounts": {}}
     for n in range(1, order + 1):
         rows = [f for f in files if f["ngram"] == n]
-        model["files"][n] = {f["shard"]: (f["file"], f["grams"]) for f in rows}
-        model["contexts"][n] = {f["shard"]: (f["file"], f["contexts"]) for f in context_files if f["ngram"] == n}
+        model["files"][n] = {f["shard"]: f["file"] for f in rows}
+        model["contexts"][n] = {f["shard"]: f["file"] for f in context_files if f["ngram"] == n}
         n1, n2, n3, n4 = (sum(f[k] for f in rows) for k in ("n1", "n2", "n3", "n4"))
         model["discounts"][n] = discounts(n1, n2, n3, n4)
         if n == 1:
@@ -258,33 +277,78 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return FALLBACK
 
 
-GRAM_ARRAYS, UNIGRAM_ARRAYS, CONTEXT_ARRAYS = ("<u8", "<u4"), ("<u8", "<u4", "<u4"), ("<u8", "<u8", "<u4", "<u4", "<u4")
-
+def packed(keys: np.ndarray, columns: list[np.ndarray], short: bool) -> list[np.ndarray]:
+    """The arrays of a file: sorted keys with counts.
 
-def _arrays(folder: str, formats: tuple[str, ...], name: str, entries: int) -> list[np.ndarray]:
-    """The arrays of a file: mapped where the folder is a mounted path, else read."""
-    kinds = [(k, entries) for k in formats]
-    system, path = open_folder(folder)
-    sizes = [np.dtype(k).itemsize * c for k, c in kinds]
-    if system.type_name == "local":
-        whole = np.memmap(f"{path}/{name}", dtype=np.uint8, mode="r")
+    Short keys stand in 2^bits buckets of about `BUCKET` by their leading bits, with their next
+    32 bits. Header: entries, bits (-1: whole keys), number of columns, escapes of each.
+    """
+    bits = max(0, (len(keys) // BUCKET).bit_length() - 1) if short else -1
+    escaped = [np.flatnonzero(c >= ESCAPE) for c in columns]
+    arrays = [np.array([len(keys), bits, len(columns), *map(len, escaped)], dtype="<i8")]
+    if short:
+        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+        arrays.append(np.append(np.searchsorted(keys, edges), len(keys)).astype("<u4"))
+        arrays.append(((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4"))
     else:
-        with system.open_input_file(f"{path}/{name}") as file:
-            whole = np.frombuffer(file.read(), dtype=np.uint8)
-    ends = np.cumsum(sizes).tolist()
-    return [whole[e - s : e].view(k) for (k, _), s, e in zip(kinds, sizes, ends)]
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where each wanted key is, whether it is there)."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def _read(model: dict, files: dict, formats: tuple[str, ...], keys: np.ndarray, out: np.ndarray) -> None:
-    """Fill the rows of `out` with the arrays after the first one at each key; zeros if unknown."""
+        arrays.append(keys.astype("<u8"))
+    for column, at in zip(columns, escaped):
+        arrays += [at.astype("<u4"), column[at].astype("<i8"), np.minimum(column, ESCAPE).astype(np.uint8)]
+    return arrays
+
+
+class Packed:
+    """A file of sorted keys with counts: mapped where the folder is a mounted path, else read."""
+
+    def __init__(self, folder: str, name: str):
+        system, path = open_folder(folder)
+        if system.type_name == "local":
+            self.raw = np.memmap(f"{path}/{name}", dtype=np.uint8, mode="r")
+        else:
+            with system.open_input_file(f"{path}/{name}") as file:
+                self.raw = np.frombuffer(file.read(), dtype=np.uint8)
+        self.at = 0
+        self.n, self.bits, width = self._next("<i8", 3).tolist()
+        escapes = self._next("<i8", width).tolist()
+        if self.bits >= 0:
+            self.edges = self._next("<u4", (1 << self.bits) + 1)
+        self.keys = self._next("<u4" if self.bits >= 0 else "<u8", self.n)
+        self.columns = [(self._next("<u4", k), self._next("<i8", k), self._next("u1", self.n)) for k in escapes]
+
+    def _next(self, kind: str, n: int) -> np.ndarray:
+        """The next n numbers; they need not lie on a multiple of their size."""
+        size = n * np.dtype(kind).itemsize
+        self.at += size
+        return np.frombuffer(self.raw, kind, n, self.at - size) if n else np.zeros(0, kind)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each wanted key is, whether it is there)."""
+        if not self.n:
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        if self.bits < 0:
+            at = np.minimum(np.searchsorted(self.keys, wanted), self.n - 1)
+            return at, self.keys[at] == wanted
+        bucket = (wanted >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(wanted), np.int64)
+        rest = ((wanted << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint32)
+        low, end = (self.edges[bucket + k].astype(np.int64) for k in (0, 1))
+        high = end.copy()
+        for _ in range(int((end - low).max(initial=0)).bit_length()):
+            middle = np.minimum((low + high) // 2, self.n - 1)
+            less = (low < high) & (self.keys[middle] < rest)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
+        at = np.minimum(low, self.n - 1)
+        return at, (low < end) & (self.keys[at] == rest)
+
+    def column(self, k: int, at: np.ndarray) -> np.ndarray:
+        places, values, short = self.columns[k]
+        out = short[at].astype(np.int64)
+        big = np.flatnonzero(out == ESCAPE)
+        out[big] = values[np.searchsorted(places, at[big])]
+        return out
+
+
+def _read(model: dict, files: dict, keys: np.ndarray, out: np.ndarray) -> None:
+    """Fill the rows of `out` with the counts at each key; zeros if unknown."""
     shard = _shard(keys, model["shards"])
     order = np.lexsort((keys, shard))
     numbers, first = np.unique(shard[order], return_index=True)
@@ -294,19 +358,19 @@ def _read(model: dict, files: dict, formats: tuple[str, ...], keys: np.ndarray,
         if number not in files:
             continue
         mine = order[a:b]
-        where = (model["folder"], formats, *files[number])
-        arrays = once(("ngrams", *where), lambda: _arrays(*where)) if local else _arrays(*where)  # noqa: B023
-        at, there = _find(arrays[0], keys[mine])
-        for k, values in enumerate(arrays[1:]):
-            out[k, mine] = np.where(there, values[at], 0)
+        where = (model["folder"], files[number])
+        file = once(("ngrams", *where), lambda: Packed(*where)) if local else Packed(*where)  # noqa: B023
+        at, there = file.find(keys[mine])
+        for k in range(len(file.columns)):
+            out[k, mine[there]] = file.column(k, at[there])
 
 
 def _lookup(model: dict, n: int, context: np.ndarray | None, last: np.ndarray):
     """For distinct n-grams: count, and of the context total, N1, N2, N3+; zeros if unknown."""
     out = np.zeros((5 if n > 1 else 2, len(last)))
-    _read(model, model["files"][n], UNIGRAM_ARRAYS if n == 1 else GRAM_ARRAYS, _gram_hash(context, last), out)
+    _read(model, model["files"][n], _gram_hash(context, last), out)
     if n > 1:
-        _read(model, model["contexts"][n], CONTEXT_ARRAYS, context, out[1:])
+        _read(model, model["contexts"][n], context, out[1:])
     return out
 
 

@@ -224,3 +224,26 @@ def test_a_hot_context_is_split_over_shards():
     shard, contexts, sums = kneser_ney._partial_sums(context, counts, 8)
     assert len(shard) == 1 and np.frombuffer(contexts[0], np.uint64).tolist() == [context[0]]
     assert np.frombuffer(sums[0], np.int64).tolist() == [len(last), len(last), 0, 0]
+
+
+def test_counts_of_one_byte_and_beyond():
+    values = np.array([0, 1, 254, 255, 256, 2**40, 3])
+    raw = kneser_ney.pack(values)
+    assert len(raw) == 7 + 3 * 8 and kneser_ney.unpack(raw, 7).tolist() == values.tolist()
+    assert kneser_ney.unpack(kneser_ney.pack(np.zeros(0)), 0).tolist() == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 5000])
+@pytest.mark.parametrize("short", [True, False])
+def test_packed_files(tmp_path, n, short):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    counts = rng.integers(1, 400, len(keys))
+    name = kneser_ney._write(str(tmp_path), "t", kneser_ney.packed(keys, [counts, counts * 2**33], short))
+    file = kneser_ney.Packed(str(tmp_path), name)
+    at, there = file.find(keys[::-1])
+    assert there.all() and at.tolist() == list(range(len(keys)))[::-1]
+    if n:
+        assert file.column(0, at).tolist() == counts[::-1].tolist()
+        assert file.column(1, at).tolist() == (counts * 2**33)[::-1].tolist()
+    assert not file.find(rng.integers(0, 2**64, 1000, dtype=np.uint64))[1].any()
