@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--parallelism", type=int, default=4)
     p.add_argument("--n-iter", type=int, default=100)
     p.add_argument("--n-splits", type=int, default=5)
-    p.add_argument("--out", required=True)
+    p.add_argument("--out", help="folder that all executors share; a local master writes below the working folder without it")
     p.add_argument("--key")
     p.add_argument("--models", nargs="*")
     p.add_argument("--fast", action="store_true")
@@ -29,14 +29,14 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
-    from tabloom.plans.train import train
+    from tabloom.api import train_model
 
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tabloom-train").getOrCreate()
-    result = train(
-        a.data_path, a.target, a.rmse_weight, a.f1_weight, a.key, a.n_iter, a.n_splits, a.parallelism, a.out, a.fast,
-        a.models, spark=spark,
-    )
+    result = train_model(
+        a.data_path, a.target, a.rmse_weight, a.f1_weight, a.parallelism, a.n_iter, a.n_splits, a.out, a.fast,
+        key=a.key, models=a.models, spark=spark,
+    )
     print(json.dumps(result.report, default=str))
 
 

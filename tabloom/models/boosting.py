@@ -141,7 +141,7 @@ def read_trees(spark: SparkSession, path: str) -> list[list[Tree]]:
 
 # ---- fitting ----------------------------------------------------------------------------
 
-def _start(train: DataFrame, loss: str, classes: int, options: dict[str, float]) -> list[float]:
+def start_margin(train: DataFrame, loss: str, classes: int, options: dict[str, float]) -> list[float]:
     y = F.col(LABEL)
     if loss == "softmax":
         counts = {r[LABEL]: r["n"] for r in train.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -158,49 +158,89 @@ def _start(train: DataFrame, loss: str, classes: int, options: dict[str, float])
     return [float(train.agg(F.avg(y)).first()[0])]
 
 
+@dataclass
+class Settings:
+    """The parameters of a boosted model, as numbers and rules."""
+
+    second: bool
+    rate: float
+    depth: int
+    rounds: int
+    rule: SplitRule
+    subsample: float
+    keep: int
+    features: int
+    options: dict[str, float]
+    picker: np.random.Generator
+
+    @classmethod
+    def of(cls, params: dict[str, Any], features: int) -> "Settings":
+        second = params.get("order", 1) == 2
+        rule = SplitRule(
+            reg_lambda=float(params.get("reg_lambda", 1.0)) if second else 0.0,
+            reg_alpha=float(params.get("reg_alpha", 0.0)) if second else 0.0,
+            min_gain=float(params.get("gamma", 0.0)) if second else 0.0,
+            min_weight=float(params.get("min_child_weight", 1.0)) if second else 0.0,
+            min_leaf=int(params.get("min_samples_leaf", 1)),
+            min_split=int(params.get("min_samples_split", 2)),
+        )
+        return cls(
+            second=second,
+            rate=float(params.get("learning_rate", 0.3 if second else 0.1)),
+            depth=int(params.get("max_depth") or 6),
+            rounds=int(params.get("n_estimators", 100)),
+            rule=rule,
+            subsample=float(params.get("subsample", 1.0)),
+            keep=_feature_share(params.get("colsample_bytree") if second else params.get("max_features"), features),
+            features=features,
+            options={"alpha": float(params.get("alpha", 0.9)), "scale_pos_weight": float(params.get("scale_pos_weight", 1.0))},
+            picker=np.random.default_rng(int(params.get("random_state", 42))),
+        )
+
+    def draw_features(self) -> list[int]:
+        """The features of the next tree."""
+        if self.keep >= self.features:
+            return list(range(self.features))
+        return sorted(self.picker.choice(self.features, self.keep, replace=False).tolist())
+
+
+def sampling_number(number: int):
+    """The uniform number of each row that decides its place in the sample of a round."""
+    return u01("row_key", F.lit(number))
+
+
+def set_newton_leaves(tree: Tree, rule: SplitRule) -> None:
+    for leaf in tree.leaves():
+        tree.value[leaf] = rule.leaf(tree.stats[leaf]) if tree.stats[leaf] else 0.0
+
+
 def fit_boosted(train: DataFrame, params: dict[str, Any], loss: str, classes: int = 2) -> BoostedModel:
     """One tree per output and round on the gradient of the loss.
 
     `order` 2 uses the curvature in the splits and leaves; `order` 1 splits on the
     gradient alone and then sets each leaf by the rule of its loss.
     """
-    spark = train.sparkSession
     features = width(train)
-    second = params.get("order", 1) == 2
-    options = {"alpha": float(params.get("alpha", 0.9)), "scale_pos_weight": float(params.get("scale_pos_weight", 1.0))}
-    rate = float(params.get("learning_rate", 0.3 if second else 0.1))
-    depth = int(params.get("max_depth") or 6)
-    rule = SplitRule(
-        reg_lambda=float(params.get("reg_lambda", 1.0)) if second else 0.0,
-        reg_alpha=float(params.get("reg_alpha", 0.0)) if second else 0.0,
-        min_gain=float(params.get("gamma", 0.0)) if second else 0.0,
-        min_weight=float(params.get("min_child_weight", 1.0)) if second else 0.0,
-        min_leaf=int(params.get("min_samples_leaf", 1)),
-        min_split=int(params.get("min_samples_split", 2)),
-    )
-    subsample = float(params.get("subsample", 1.0))
-    keep = _feature_share(params.get("colsample_bytree") if second else params.get("max_features"), features)
-    picker = np.random.default_rng(int(params.get("random_state", 42)))
+    own = Settings.of(params, features)
+    options, rate = own.options, own.rate
 
     edges = bin_edges(train, features)
-    start = _start(train, loss, classes, options)
+    start = start_margin(train, loss, classes, options)
     outputs = len(start)
     first = binned(train.select("row_key", LABEL, "features"), edges)
     rows = compact(materialize(first.withColumn("margin", F.lit(start).cast("array<double>")), "boosting"))
     rounds: list[list[Tree]] = []
     recent: list[list[Tree]] = []
-    for number in range(int(params.get("n_estimators", 100))):
-        use = None if keep >= features else sorted(picker.choice(features, keep, replace=False).tolist())
-        sampled = rows if subsample >= 1.0 else rows.where(u01("row_key", F.lit(number)) < subsample)
+    for number in range(own.rounds):
+        use = own.draw_features()
+        sampled = rows if own.subsample >= 1.0 else rows.where(sampling_number(number) < own.subsample)
         if loss == "huber":
             options["delta"] = _spread(sampled, features, recent, rate, options["alpha"])
-        trees = grow(
-            sampled, features, _stats(loss, recent, rate, options, second), 2, rule, depth, outputs, use
-        )
-        if second or loss == "squared_error":
+        stats = _stats(loss, recent, rate, options, own.second)
+        trees = grow(sampled, features, stats, 2, own.rule, own.depth, outputs, use)
+        if own.second or loss == "squared_error":
             for tree in trees:
-                for leaf in tree.leaves():
-                    tree.value[leaf] = rule.leaf(tree.stats[leaf]) if tree.stats[leaf] else 0.0
+                set_newton_leaves(tree, own.rule)
         else:
             _set_leaves(sampled, features, trees, loss, recent, rate, options)
         rounds.append(trees)

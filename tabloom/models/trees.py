@@ -83,16 +83,6 @@ class SplitRule:
     min_leaf: int = 1
     min_split: int = 2
 
-    def quality(self, stats: Sequence[str]) -> str:
-        """Score of a group of rows as SQL text over its summed stats."""
-        if self.kind == "gini":
-            squares = " + ".join(f"({s}) * ({s})" for s in stats)
-            return f"coalesce(try_divide({squares}, {' + '.join(f'({s})' for s in stats)}), 0D)"
-        g, h = (f"({s})" for s in stats)
-        if self.reg_alpha:
-            g = f"(signum({g}) * greatest(abs({g}) - {float(self.reg_alpha)}D, 0D))"
-        return f"coalesce(try_divide(0.5D * {g} * {g}, {h} + {float(self.reg_lambda)}D), 0D)"
-
     def leaf(self, stats: Sequence[float]) -> float:
         g, h = stats
         if self.reg_alpha:
@@ -100,6 +90,25 @@ class SplitRule:
         return float(-g / (h + self.reg_lambda)) if h + self.reg_lambda > 0 else 0.0
 
 
+def per_tree(rules: Sequence[SplitRule], name: str) -> str:
+    """A field of the rules as SQL text: one number, or one for each tree."""
+    values = [float(getattr(r, name)) for r in rules]
+    if len(set(values)) == 1:
+        return f"{values[0]}D"
+    return f"element_at(array({', '.join(f'{v}D' for v in values)}), tree + 1)"
+
+
+def quality(rules: Sequence[SplitRule], stats: Sequence[str]) -> str:
+    """Score of a group of rows as SQL text over its summed stats."""
+    if rules[0].kind == "gini":
+        squares = " + ".join(f"({s}) * ({s})" for s in stats)
+        return f"coalesce(try_divide({squares}, {' + '.join(f'({s})' for s in stats)}), 0D)"
+    g, h = (f"({s})" for s in stats)
+    if any(r.reg_alpha for r in rules):
+        g = f"(signum({g}) * greatest(abs({g}) - {per_tree(rules, 'reg_alpha')}, 0D))"
+    return f"coalesce(try_divide(0.5D * {g} * {g}, {h} + {per_tree(rules, 'reg_lambda')}), 0D)"
+
+
 def bin_edges(df: DataFrame, features: int, max_bins: int = MAX_BINS) -> list[list[float]]:
     """Ascending cut points per feature from mergeable quantile sketches, in one pass."""
     probs = ", ".join(f"{i / max_bins}D" for i in range(1, max_bins))
@@ -139,93 +148,125 @@ def grow(
     features: int,
     stats_of: StatsOf,
     n_stats: int,
-    rule: SplitRule,
-    max_depth: int,
+    rule: SplitRule | Sequence[SplitRule],
+    max_depth: int | Sequence[int],
     n_trees: int = 1,
-    use: Sequence[int] | None = None,
+    use: Sequence[int] | Sequence[Sequence[int]] | None = None,
+    places: Sequence[int] | None = None,
 ) -> list[Tree]:
     """Grow `n_trees` trees side by side on the same rows.
 
-    `stats_of(batch, bins)` gives an array (n_trees, rows, n_stats).
+    `stats_of(batch, bins)` gives an array (n_trees, rows, n_stats); a row whose first number is
+    NaN takes no part in that tree. Trees may differ in rule, depth and used features. If rows
+    hold the bins of several sets of edges one after the other, `places` names the set of each
+    tree.
     """
-    used = list(range(features)) if use is None else sorted(use)
+    rules = [rule] * n_trees if isinstance(rule, SplitRule) else list(rule)
+    depths = [max_depth] * n_trees if isinstance(max_depth, int) else list(max_depth)
+    if use is None:
+        use = range(features)
+    each = len(use) > 0 and not isinstance(use[0], (int, np.integer))
+    used = [sorted(u) for u in use] if each else [sorted(use)] * n_trees
     trees = [Tree() for _ in range(n_trees)]
-    active: list[dict[int, int]] = [{0: 0} for _ in trees]
-    for depth in range(max_depth):
-        found = _best_splits(rows, features, used, stats_of, n_stats, rule, trees, active)
+    active: list[dict[int, int]] = [{0: 0} if d > 0 else {} for d in depths]
+    plan = _Plan(features, stats_of, n_stats, rules, used, list(places or [0] * n_trees), max(places or [0]) + 1)
+    for depth in range(max(depths, default=0)):
+        found = _best_splits(rows, plan, trees, active)
         following: list[dict[int, int]] = [{} for _ in trees]
         for row in found:
             tree, node = trees[row["tree"]], row["node"]
+            own = rules[row["tree"]]
             total = [row["best"][f"t{i}"] for i in range(n_stats)]
             if not tree.stats[node]:
                 tree.stats[node] = total
-            if row["best"]["n"] < rule.min_split or row["gain"] is None or row["gain"] <= rule.min_gain + 1e-12:
+            if row["best"]["n"] < own.min_split or row["gain"] is None or row["gain"] <= own.min_gain + 1e-12:
                 continue
             left = [row["best"][f"l{i}"] for i in range(n_stats)]
             right = [t - s for t, s in zip(total, left)]
             children = tree.split(node, row["feature"], row["best"]["bin"], row["gain"], left, right)
-            for child in children:
-                following[row["tree"]][child] = len(following[row["tree"]])
+            if depth + 1 < depths[row["tree"]]:
+                for child in children:
+                    following[row["tree"]][child] = len(following[row["tree"]])
         active = following
         if not any(active):
             break
     return trees
 
 
-def _best_splits(rows, features, used, stats_of, n_stats, rule, trees, active) -> list:
+@dataclass(frozen=True)
+class _Plan:
+    """What the trees of one call share, and where they differ (lists by tree)."""
+
+    features: int
+    stats_of: StatsOf
+    n_stats: int
+    rules: list[SplitRule]
+    used: list[list[int]]
+    places: list[int]
+    sets: int
+
+
+def _best_splits(rows, plan: _Plan, trees, active) -> list:
     """Best split per open node, the smallest feature on a tie.
 
     The driver sees one row per open node. A level whose histogram would be large runs in
     pieces.
     """
+    widest = max(map(len, plan.used))
     per_feature = max(len(a) for a in active) * BINS
-    cells = HISTOGRAM_CELLS // (n_stats + 1)
-    tree_step = max(1, cells // (per_feature * len(used)))
-    feature_step = max(1, min(len(used), cells // per_feature))
+    cells = HISTOGRAM_CELLS // (plan.n_stats + 1)
+    tree_step = max(1, cells // (per_feature * widest))
+    feature_step = max(1, min(widest, cells // per_feature))
+    open_trees = [t for t, nodes in enumerate(active) if nodes]
     best: dict[tuple[int, int], object] = {}
-    for t in range(0, len(trees), tree_step):
-        part = [i if t <= k < t + tree_step else {} for k, i in enumerate(active)]
-        for f in range(0, len(used), feature_step):
-            for row in _level(rows, features, used[f : f + feature_step], stats_of, n_stats, rule, trees, part):
+    for t in range(0, len(open_trees), tree_step):
+        here = open_trees[t : t + tree_step]
+        for f in range(0, widest, feature_step):
+            for row in _level(rows, plan, trees, active, here, slice(f, f + feature_step)):
                 held = best.get((row["tree"], row["node"]))
                 if held is None or (row["gain"] or -1.0) > (held["gain"] or -1.0):
                     best[row["tree"], row["node"]] = row
     return [best[k] for k in sorted(best)]
 
 
-def _level(rows, features, used, stats_of, n_stats, rule, trees, active) -> list:
-    slots = max(len(a) for a in active)
-    bins_max = BINS
-    width = len(used)
-    open_trees = [t for t, nodes in enumerate(active) if nodes]
+def _level(rows, plan: _Plan, trees, active, open_trees: list[int], some: slice) -> list:
+    slots = max(len(active[t]) for t in open_trees)
+    bins_max, features, n_stats, stats_of, sets = BINS, plan.features, plan.n_stats, plan.stats_of, plan.sets
+    used = {t: np.array(plan.used[t][some], dtype=np.int64) for t in open_trees}
+    open_trees = [t for t in open_trees if len(used[t])]
+    if not open_trees:
+        return []
+    width = max(map(len, used.values()))
+    grown = {t: (trees[t], plan.places[t] * features, list(active[t].items())) for t in open_trees}
 
     def histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(open_trees), n_stats + 1, slots * width * bins_max))
         for batch in batches:
             if not len(batch):
                 continue
-            bins = unpack(batch["bins"], features)
+            bins = unpack(batch["bins"], features * sets)
             stats = stats_of(batch, bins)
-            cells = bins[:, used].astype(np.int64) + np.arange(width) * bins_max
             for o, t in enumerate(open_trees):
-                tree = trees[t]
+                tree, place, nodes = grown[t]
+                own = bins[:, place : place + features]
                 lookup = np.full(len(tree.feature), -1, dtype=np.int64)
-                for node, slot in active[t].items():
+                for node, slot in nodes:
                     lookup[node] = slot
-                slot = lookup[tree.route(bins)]
-                inside = slot >= 0
-                place = (cells[inside] + (slot[inside] * width * bins_max)[:, None]).ravel()
+                slot = lookup[tree.route(own)]
+                inside = (slot >= 0) & ~np.isnan(stats[t][:, 0])
+                cells = own[inside][:, used[t]] + np.arange(len(used[t])) * bins_max
+                cell = (cells + (slot[inside] * width * bins_max)[:, None]).ravel()
                 for s in range(n_stats):
-                    weight = np.repeat(stats[t][inside, s], width)
-                    total[o, s] += np.bincount(place, weights=weight, minlength=total.shape[2])
-                total[o, n_stats] += np.bincount(place, minlength=total.shape[2])
+                    weight = np.repeat(stats[t][inside, s], len(used[t]))
+                    total[o, s] += np.bincount(cell, weights=weight, minlength=total.shape[2])
+                total[o, n_stats] += np.bincount(cell, minlength=total.shape[2])
         for o, t in enumerate(open_trees):
             filled = np.nonzero(total[o, n_stats])[0]
             slot, rest = np.divmod(filled, width * bins_max)
             feature, cell = np.divmod(rest, bins_max)
-            nodes = np.array(sorted(active[t], key=active[t].get), dtype=np.int64)
+            nodes = np.array([node for node, _ in sorted(grown[t][2], key=lambda x: x[1])], dtype=np.int64)
             frame = {"tree": np.full(len(filled), t, dtype=np.int32), "node": nodes[slot].astype(np.int32)}
-            frame["feature"] = np.asarray(used, dtype=np.int32)[feature]
+            frame["feature"] = used[t][feature].astype(np.int32)
             frame["bin"] = cell.astype(np.int32)
             for s in range(n_stats):
                 frame[f"s{s}"] = total[o, s][filled]
@@ -241,10 +282,13 @@ def _level(rows, features, used, stats_of, n_stats, rule, trees, active) -> list
     right = [f"{t} - {s}" for s, t in zip(left, whole)]
     over = "over (partition by tree, node, feature order by bin rows between unbounded preceding and current row)"
     around = "over (partition by tree, node, feature)"
-    valid = f"ln >= {rule.min_leaf} and n - ln >= {max(1, rule.min_leaf)}"
-    if rule.min_weight:
-        valid += f" and l1 >= {float(rule.min_weight)}D and t1 - l1 >= {float(rule.min_weight)}D"
-    gain = f"{rule.quality(left)} + {rule.quality(right)} - {rule.quality(whole)}"
+    rules = plan.rules
+    least = per_tree(rules, "min_leaf")
+    valid = f"ln >= {least} and n - ln >= greatest(1D, {least})"
+    if any(r.min_weight for r in rules):
+        weight = per_tree(rules, "min_weight")
+        valid += f" and l1 >= {weight} and t1 - l1 >= {weight}"
+    gain = f"{quality(rules, left)} + {quality(rules, right)} - {quality(rules, whole)}"
     picked = ", ".join(["bin", "n", *left, *whole])
     best = (
         rows.mapInPandas(histograms, schema)
