@@ -27,3 +27,14 @@ def minkowski(left: np.ndarray, right: np.ndarray, p: float) -> np.ndarray:
     if p == 1:
         return total
     return np.sqrt(total) if p == 2 else total ** (1.0 / p)
+
+
+def minkowski_pairs(left: np.ndarray, right: np.ndarray, p: float) -> np.ndarray:
+    """The distance of each row of one block to the same row of the other; the numbers of `minkowski`."""
+    total = np.zeros(len(left))
+    for j in range(left.shape[1]):
+        gap = np.abs(left[:, j] - right[:, j])
+        total += gap if p == 1 else gap * gap if p == 2 else gap**p
+    if p == 1:
+        return total
+    return np.sqrt(total) if p == 2 else total ** (1.0 / p)

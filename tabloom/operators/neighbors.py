@@ -2,12 +2,16 @@
 
 1. Copies: equal vectors are reduced to one row with their k+1 smallest ids, so a
    vector that fills a third of the table costs one row.
-2. Cells: every vector goes to its nearest pivot (a bounded hash sample); a cell is cut
-   into blocks of about BLOCK_ROWS rows by hash, so no block grows with the data.
+2. Cells: every vector goes to its nearest pivot (a bounded hash sample). Cells are blocks of
+   about 16 times the root of the number of rows (between `MIN_BLOCK` and `MAX_BLOCK`), so
+   the copies of queries that move grow with the power 1.5 of the rows, not 2, until blocks
+   have their full size; a cell beyond a block is cut by hash, so no block grows with the data.
 3. A first pass searches one block of the nearest cell; its k-th distance bounds the
    result. The second pass searches only the blocks that the triangle inequality does
    not exclude. Both passes match queries to blocks by an equi-join on the block id and
    emit at most k rows per (query, block).
+4. Inside a block, rows are split again around pivots of their own. The part nearest to a query
+   tightens its bound, and only rows of the block within the bound are compared exactly.
 
 Distances are rounded to 9 digits and ties go to the smaller id, so that two runs, or
 two engines, agree.
@@ -21,13 +25,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32, quoted
-from ..functions.vectors import minkowski, stack
+from ..functions.vectors import minkowski, minkowski_pairs, stack
 from ..session import materialize
 
 DIGITS = 9
-BLOCK_ROWS = 1024
-QUERY_ROWS = 4096
+MIN_BLOCK, MAX_BLOCK = 1024, 32_768
+PART_ROWS = 256
+TILE_CELLS = 1 << 21
 MAX_PIVOTS = 256
+SLACK = 1e-8
+
+
+def block_rows(size: int) -> int:
+    """Rows of a block, by the number of distinct vectors."""
+    return min(MAX_BLOCK, max(MIN_BLOCK, int(16 * size**0.5)))
 
 
 def knn_join(
@@ -95,7 +106,8 @@ def knn_join(
 def _search(probes: DataFrame, points: DataFrame, k: int, p: float) -> DataFrame:
     """(vkey, nkey, first_id, distance): the k nearest distinct vectors of each query."""
     size = points.count()
-    pivots = _pivots(points, min(MAX_PIVOTS, max(1, size // BLOCK_ROWS)))
+    rows_each = block_rows(size)
+    pivots = _pivots(points, min(MAX_PIVOTS, max(1, size // rows_each)))
 
     near = _nearest_pivot(pivots, p)(F.col("vec"))
     placed = points.withColumn("near", near).select(
@@ -110,7 +122,7 @@ def _search(probes: DataFrame, points: DataFrame, k: int, p: float) -> DataFrame
     cells = placed.groupBy("grp", "cell").agg(
         F.min("to_pivot").alias("low"),
         F.max("to_pivot").alias("high"),
-        F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"),
+        F.ceil(F.count(F.lit(1)) / rows_each).cast("int").alias("blocks"),
     )
     table = cells.groupBy("grp").agg(
         F.sort_array(F.collect_list(F.struct("cell", "low", "high", "blocks"))).alias("cells")
@@ -123,8 +135,8 @@ def _search(probes: DataFrame, points: DataFrame, k: int, p: float) -> DataFrame
     )
 
     # First pass: one block of the cell whose pivot is nearest.
+    probes = materialize(probes, "probes")
     routed = probes.join(table, "grp").withColumn("d", _pivot_distances(pivots, p)(F.col("vec")))
-    routed = materialize(routed, "routed")
 
     def to_pivot(c):
         return F.element_at("d", c["cell"] + 1)
@@ -137,8 +149,9 @@ def _search(probes: DataFrame, points: DataFrame, k: int, p: float) -> DataFrame
         F.col("n.cell").alias("cell"),
         F.pmod(hash32("vkey"), F.col("n.blocks").cast("bigint")).cast("int").alias("block"),
     )
-    found = _match(first, blocks, k, p)
-    if size <= BLOCK_ROWS:
+    unbounded = first.withColumn("bound", F.lit(float("inf")))
+    found = _match(unbounded, blocks, k, p, rows_each)
+    if size <= rows_each:
         return found
     found = materialize(found, "first-pass")
     per_query = Window.partitionBy("vkey").orderBy("distance", "first_id")
@@ -146,19 +159,23 @@ def _search(probes: DataFrame, points: DataFrame, k: int, p: float) -> DataFrame
     bound = numbered.where(F.col("r") == k).select("vkey", F.col("distance").alias("bound"))
 
     # Second pass: every other block that the triangle inequality does not exclude.
+    both = found.unionByName(_match(_second_visits(routed, bound, first, to_pivot), blocks, k, p, rows_each))
+    return both.withColumn("r", F.row_number().over(per_query)).where(F.col("r") <= k).drop("r")
+
+
+def _second_visits(routed: DataFrame, bound: DataFrame, first: DataFrame, to_pivot) -> DataFrame:
+    """(query, block) of all blocks within a query's bound but the one it has seen."""
     limited = routed.join(bound, "vkey", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     least = F.filter(
         "cells",
-        lambda c: F.greatest(to_pivot(c) - c["high"], c["low"] - to_pivot(c)) <= F.col("bound") + 1e-8,
+        lambda c: F.greatest(to_pivot(c) - c["high"], c["low"] - to_pivot(c)) <= F.col("bound") + SLACK,
     )
     every = F.explode(F.sequence(F.lit(0), F.col("c.blocks") - 1))
-    visits = (
-        limited.select("vkey", "grp", "vec", F.explode(least).alias("c"))
-        .select("vkey", "grp", "vec", F.col("c.cell").alias("cell"), every.alias("block"))
+    return (
+        limited.select("vkey", "grp", "vec", "bound", F.explode(least).alias("c"))
+        .select("vkey", "grp", "vec", "bound", F.col("c.cell").alias("cell"), every.alias("block"))
         .join(first.select("vkey", "cell", "block"), ["vkey", "cell", "block"], "left_anti")
     )
-    both = found.unionByName(_match(visits, blocks, k, p))
-    return both.withColumn("r", F.row_number().over(per_query)).where(F.col("r") <= k).drop("r")
 
 
 def _pivots(points: DataFrame, count: int) -> np.ndarray:
@@ -184,14 +201,14 @@ def _nearest_pivot(pivots: np.ndarray, p: float):
     return nearest
 
 
-def _match(visits: DataFrame, blocks: DataFrame, k: int, p: float) -> DataFrame:
-    """The k nearest vectors of a block for each query that visits it.
+def _match(visits: DataFrame, blocks: DataFrame, k: int, p: float, rows_each: int) -> DataFrame:
+    """The k nearest vectors of a block for each query that visits it, as far as its bound.
 
-    The queries of one block are spread over chunks, so neither side of a group is
+    The queries of one block are spread over chunks, so neither side of a group is much
     larger than a block; the block's rows are repeated once per chunk in use.
     """
     keys = ["grp", "cell", "block"]
-    load = visits.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("chunks"))
+    load = visits.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / (4 * rows_each)).cast("int").alias("chunks"))
     asked = visits.join(load, keys).withColumn("chunk", F.pmod(F.xxhash64("vkey"), F.col("chunks").cast("bigint")).cast("int"))
     served = blocks.join(load, keys).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
@@ -201,45 +218,83 @@ def _match(visits: DataFrame, blocks: DataFrame, k: int, p: float) -> DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"vkey": [], "nkey": [], "first_id": [], "distance": []})
         right = right.sort_values("first_id")
-        a, b = stack(left["vec"]), stack(right["vec"])
-        take = min(k, len(b))
-        out_rows, out_cols, out_dist = [], [], []
-        for start in range(0, len(a), 512):
-            d = np.round(minkowski(a[start : start + 512], b, p), DIGITS)
-            order = _smallest(d, take)
-            rows = np.repeat(np.arange(len(d)), order.shape[1])
-            cols = order.ravel()
-            out_rows.append(rows + start)
-            out_cols.append(cols)
-            out_dist.append(d[rows, cols])
-        rows, cols = np.concatenate(out_rows), np.concatenate(out_cols)
+        rows, cols, distances = nearest_in_block(stack(left["vec"]), left["bound"].to_numpy(), stack(right["vec"]), k, p)
         picked = right.iloc[cols]
         return pd.DataFrame(
             {
                 "vkey": left["vkey"].to_numpy()[rows],
                 "nkey": picked["nkey"].to_numpy(),
                 "first_id": picked["first_id"].to_numpy(),
-                "distance": np.concatenate(out_dist),
+                "distance": distances,
             }
         )
 
     key = [*keys, "chunk"]
     return (
-        asked.select(*key, "vkey", "vec")
+        asked.select(*key, "vkey", "vec", "bound")
         .groupBy(*key)
         .cogroup(served.select(*key, "nkey", "first_id", "vec").groupBy(*key))
         .applyInPandas(search, f"vkey string, nkey string, first_id {id_type}, distance double")
     )
 
 
-def _smallest(d: np.ndarray, take: int) -> np.ndarray:
-    """Per row the columns of the `take` smallest values; ties go to the earlier column."""
-    if take >= d.shape[1]:
-        return np.argsort(d, axis=1, kind="stable")
-    edge = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-    less, tied = d < edge, d == edge
-    wanted = take - less.sum(axis=1, keepdims=True)
-    chosen = less | (tied & (np.cumsum(tied, axis=1) <= wanted))
-    columns = np.nonzero(chosen)[1].reshape(len(d), take)
-    values = np.take_along_axis(d, columns, axis=1)
-    return np.take_along_axis(columns, np.argsort(values, axis=1, kind="stable"), axis=1)
+def nearest_in_block(a: np.ndarray, bound: np.ndarray, b: np.ndarray, k: int, p: float):
+    """(row of a, row of b, distance) of the k nearest rows of b, as far as each bound; ties to the earlier row.
+
+    The part of b around the nearest pivot bounds a query's distances; rows of b within the bound
+    are then compared exactly. For the Euclidean distance they are found by inner products, whose
+    rounding only lets more rows through.
+    """
+    take = min(k, len(b))
+    count = max(1, len(b) // max(PART_ROWS, 4 * k))
+    pivots = b[np.linspace(0, len(b) - 1, count).astype(int)]
+    part = _nearest(b, pivots, p)
+    by_part = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[by_part], np.arange(count + 1))
+    asked = _nearest(a, pivots, p)
+    limit = bound.astype(np.float64).copy()
+    turn = np.argsort(asked, kind="stable")
+    for own in np.split(turn, np.flatnonzero(np.diff(asked[turn])) + 1):
+        rows = by_part[edges[asked[own[0]]] : edges[asked[own[0]] + 1]] if len(own) else own
+        if len(rows) >= take:
+            step = max(1, TILE_CELLS // len(rows))
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                limit[some] = np.minimum(limit[some], np.partition(minkowski(a[some], b[rows], p), take - 1, axis=1)[:, take - 1])
+
+    middle = b.mean(axis=0)
+    left, right = a - middle, b - middle
+    left_size, right_size = (left * left).sum(1), (right * right).sum(1)
+    rounding = 1e-12 * (left_size + right_size.max())
+    out = []
+    step = max(1, (TILE_CELLS if p == 2 else TILE_CELLS >> 4) // len(b))
+    for start in range(0, len(a), step):
+        tile = slice(start, start + step)
+        if p == 2:
+            apart = left_size[tile, None] + right_size[None, :] - 2.0 * (left[tile] @ right.T)
+            edge = (limit[tile] + SLACK) ** 2 + rounding[tile]
+        else:
+            apart, edge = minkowski(a[tile], b, p), limit[tile] + SLACK
+        wide = np.flatnonzero(np.isinf(edge))
+        if len(wide):
+            more = np.partition(apart[wide], take - 1, axis=1)[:, take - 1]
+            edge[wide] = more + (2.0 * rounding[tile][wide] + SLACK * (1.0 + 2.0 * np.sqrt(np.abs(more))))
+        rows, cols = np.nonzero(apart <= edge[:, None])
+        distance = np.round(_pair_distances(a[tile], b, rows, cols, p), DIGITS)
+        order = np.lexsort((cols, distance, rows))
+        rows, cols, distance = rows[order], cols[order], distance[order]
+        first = np.searchsorted(rows, rows, side="left")
+        best = np.arange(len(rows)) - first < take
+        out.append((rows[best] + start, cols[best], distance[best]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _nearest(rows: np.ndarray, pivots: np.ndarray, p: float) -> np.ndarray:
+    step = max(1, TILE_CELLS // len(pivots))
+    return np.concatenate([minkowski(rows[at : at + step], pivots, p).argmin(axis=1) for at in range(0, len(rows), step)])
+
+
+def _pair_distances(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray, p: float) -> np.ndarray:
+    """The same numbers as `minkowski`, for some pairs only."""
+    out = [minkowski_pairs(a[rows[at : at + TILE_CELLS]], b[cols[at : at + TILE_CELLS]], p) for at in range(0, len(rows), TILE_CELLS)]
+    return np.concatenate(out) if out else np.zeros(0)

@@ -119,8 +119,9 @@ def vectors_with_copies(n=600, d=3, seed=1):
 @pytest.mark.parametrize("p", [1, 2, 3])
 @pytest.mark.parametrize("block", [1024, 40])
 def test_knn_join_is_exact(spark, monkeypatch, p, block):
-    monkeypatch.setattr(neighbors, "BLOCK_ROWS", block)
-    monkeypatch.setattr(neighbors, "QUERY_ROWS", 16)
+    monkeypatch.setattr(neighbors, "MIN_BLOCK", block)
+    monkeypatch.setattr(neighbors, "MAX_BLOCK", block)
+    monkeypatch.setattr(neighbors, "PART_ROWS", 8)
     x = vectors_with_copies()
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
     got = neighbors.knn_join(df, df, 4, p, exclude_self=True).toPandas().sort_values(["query", "rank"])
@@ -130,6 +131,26 @@ def test_knn_join_is_exact(spark, monkeypatch, p, block):
     assert got.neighbor.to_numpy().reshape(-1, 4).tolist() == want.tolist()
 
 
+@pytest.mark.parametrize("p", [1, 2, 3])
+@pytest.mark.parametrize("rows, k", [(3, 5), (700, 1), (700, 9), (2000, 300)])
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_nearest_in_a_block(p, rows, k, offset):
+    rng = np.random.default_rng(rows + k)
+    a, b = (np.round(rng.normal(size=(n, 3)), 1) + offset for n in (60, rows))
+    d = np.round(neighbors.minkowski(a, b, p), neighbors.DIGITS)
+    for bound in (np.full(60, np.inf), d.min(axis=1) + 0.2):
+        query, found, distance = neighbors.nearest_in_block(a, bound, b, k, p)
+        for i in range(60):
+            want = [j for j in np.lexsort((np.arange(rows), d[i]))[:k] if d[i, j] <= bound[i]]
+            got = found[query == i].tolist()
+            assert got[: len(want)] == want and distance[query == i].tolist() == d[i, got].tolist()
+
+
+def test_blocks_grow_with_the_root_of_the_rows():
+    size = [neighbors.block_rows(n) for n in (1, 2_000, 20_000, 10**6, 10**9)]
+    assert size == [1024, 1024, 2262, 16_000, 32_768]
+
+
 def test_knn_join_inside_groups(spark):
     x = vectors_with_copies(200)
     rows = [(i, "a" if i % 3 else "b", v.tolist()) for i, v in enumerate(x)]
