@@ -56,6 +56,13 @@ def groups_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """`rows` with the group of their digest; rows without one are spread by id and length, not met in one task."""
+    lone = F.concat_ws("-", F.lit(""), F.col("_id").cast("string"), F.col("_length").cast("string"))
+    at = groups.withColumnRenamed("_full", "_at")
+    return rows.withColumn("_at", F.coalesce("_full", lone)).join(small_side(at), "_at", "left").drop("_at")
+
+
 def _rows_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").alias("_id"), text_of().alias("_text"), F.struct("*").alias("_row"))
     rows = refine(rows)
@@ -66,9 +73,9 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept and the digest of its text."""
     rows, groups = _rows_and_groups(docs)
     # A repeated row (same id, same text) is counted, so that one of the repeats stays.
-    slim = rows.select("_id", "_full", F.sha2("_text", 256).alias("text_sha256"))
-    counted = slim.groupBy("_id", "_full", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.join(small_side(groups), "_full", "left")
+    slim = rows.select("_id", "_length", "_full", F.sha2("_text", 256).alias("text_sha256"))
+    counted = slim.groupBy("_id", "_length", "_full", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    counted = _with_groups(counted, groups)
     grouped = F.col("group_size").isNotNull()
     return counted.select(
         F.col("_id").alias("doc_id"),
@@ -85,7 +92,7 @@ def copy_groups(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with their own columns."""
     rows, groups = _rows_and_groups(docs)
-    marked = rows.join(small_side(groups), "_full", "left")
+    marked = _with_groups(rows, groups)
     stays = F.col("group_size").isNull() | F.col("_id").eqNullSafe(F.col("keep_id"))
     marked = marked.where(stays).select("_full", "_row", F.coalesce("ties", F.lit(1)).alias("ties"))
     single = marked.where("ties = 1").select("_row.*")

@@ -50,6 +50,21 @@ def test_exact_prefix_alone_is_no_copy(spark):
     assert "window copies" in EXACT_DEDUP_SQL
 
 
+def test_rows_without_a_twin_are_spread(spark, monkeypatch):
+    """Without a broadcast no partition of the last join holds a large part of the rows."""
+    monkeypatch.setattr(exact_dedup, "small_side", lambda df: df.hint("merge"))
+    rows = [(i, f"text {i} " + "x" * (i % 40)) for i in range(4000)] + [(9000 + i, "copy") for i in range(50)]
+    got = exact_dedup.copy_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        sizes = got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert sum(sizes) == 4050 and max(sizes) < 2 * 4050 / 8
+
+
 def shingles(text, width=near_dedup.SHINGLE):
     words = WORD.findall((text or "").translate(FOLD))
     if len(words) >= width:
