@@ -2,14 +2,15 @@
 
 1. Copies: equal vectors are reduced to one row with their k+1 smallest ids, so a
    vector that fills a third of the table costs one row.
-2. Cells: every vector goes to its nearest pivot (a bounded hash sample). Cells are blocks of
-   about 16 times the root of the number of rows (between `MIN_BLOCK` and `MAX_BLOCK`), so
-   the copies of queries that move grow with the power 1.5 of the rows, not 2, until blocks
-   have their full size; a cell beyond a block is cut by hash, so no block grows with the data.
-3. A first pass searches one block of the nearest cell; its k-th distance bounds the
-   result. The second pass searches only the blocks that the triangle inequality does
-   not exclude. Both passes match queries to blocks by an equi-join on the block id and
-   emit at most k rows per (query, block).
+2. Two levels: every vector goes to the cell of its nearest pivot (a bounded hash sample), and
+   neighbouring cells make up blocks of about 16 times the root of the number of rows (between
+   `MIN_BLOCK` and `MAX_BLOCK`). So where nothing can be excluded, the copies of queries that
+   move grow with the power 1.5 of the rows, not 2, until blocks have their full size. A block
+   that has more rows is cut by hash, so none grows with the data.
+3. A first pass searches the block around the nearest pivot; its k-th distance bounds the
+   result. The second pass searches only blocks with a cell within the bound, by the cell's
+   distances from its pivot and by the plane half way between two pivots. Both passes match
+   queries to blocks by an equi-join on the block id and emit at most k rows per (query, block).
 4. Inside a block, rows are split again around pivots of their own. The part nearest to a query
    tightens its bound, and only rows of the block within the bound are compared exactly.
 
@@ -32,7 +33,7 @@ DIGITS = 9
 MIN_BLOCK, MAX_BLOCK = 1024, 32_768
 PART_ROWS = 256
 TILE_CELLS = 1 << 21
-MAX_PIVOTS = 256
+CELLS_PER_BLOCK, MAX_PIVOTS = 4, 256
 SLACK = 1e-8
 
 
@@ -107,7 +108,7 @@ def _search(probes: DataFrame, points: DataFrame, k: int, p: float) -> DataFrame
     """(vkey, nkey, first_id, distance): the k nearest distinct vectors of each query."""
     size = points.count()
     rows_each = block_rows(size)
-    pivots = _pivots(points, min(MAX_PIVOTS, max(1, size // rows_each)))
+    pivots = _pivots(points, min(MAX_PIVOTS, max(1, CELLS_PER_BLOCK * size // rows_each)))
 
     near = _nearest_pivot(pivots, p)(F.col("vec"))
     placed = points.withColumn("near", near).select(
@@ -119,38 +120,41 @@ def _search(probes: DataFrame, points: DataFrame, k: int, p: float) -> DataFrame
         F.col("near.distance").alias("to_pivot"),
     )
     placed = materialize(placed, "cells")
+    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    areas = _areas(pivots, [counts.get(c, 0) for c in range(len(pivots))], rows_each)
+    area = F.element_at(F.array(*map(F.lit, areas)), F.col("cell") + 1).alias("area")
     cells = placed.groupBy("grp", "cell").agg(
-        F.min("to_pivot").alias("low"),
-        F.max("to_pivot").alias("high"),
-        F.ceil(F.count(F.lit(1)) / rows_each).cast("int").alias("blocks"),
+        F.min("to_pivot").alias("low"), F.max("to_pivot").alias("high"), F.count(F.lit(1)).alias("rows")
     )
+    together = Window.partitionBy("grp", "area")
+    blocks_of = F.ceil(F.sum("rows").over(together) / rows_each).cast("int")
+    cells = cells.select("*", area).withColumn("blocks", blocks_of)
     table = cells.groupBy("grp").agg(
-        F.sort_array(F.collect_list(F.struct("cell", "low", "high", "blocks"))).alias("cells")
+        F.sort_array(F.collect_list(F.struct("cell", "low", "high", "area", "blocks"))).alias("cells")
     )
     block = F.pmod(hash32("nkey"), F.col("blocks").cast("bigint")).cast("int")
     blocks = (
-        placed.join(cells.select("grp", "cell", "blocks"), ["grp", "cell"])
+        placed.join(cells.select("grp", "cell", "area", "blocks"), ["grp", "cell"])
         .withColumn("block", block)
-        .select("grp", "cell", "block", "nkey", "first_id", "vec")
+        .select("grp", "area", "block", "nkey", "first_id", "vec")
     )
 
-    # First pass: one block of the cell whose pivot is nearest.
+    # First pass: one block of the area of the cell whose pivot is nearest.
     probes = materialize(probes, "probes")
-    routed = probes.join(table, "grp").withColumn("d", _pivot_distances(pivots, p)(F.col("vec")))
+    routed = probes.join(table, "grp").withColumn("to", _pivot_bounds(pivots, p)(F.col("vec")))
 
     def to_pivot(c):
-        return F.element_at("d", c["cell"] + 1)
+        return F.element_at("to.distance", c["cell"] + 1)
 
-    ranked = F.transform("cells", lambda c: F.struct(to_pivot(c).alias("d"), c["cell"].alias("cell"), c["blocks"].alias("blocks")))
+    ranked = F.transform("cells", lambda c: F.struct(to_pivot(c).alias("d"), c["area"].alias("area"), c["blocks"].alias("blocks")))
     first = routed.withColumn("n", F.array_min(ranked)).select(
         "vkey",
         "grp",
-        "vec",
-        F.col("n.cell").alias("cell"),
+        F.col("n.area").alias("area"),
         F.pmod(hash32("vkey"), F.col("n.blocks").cast("bigint")).cast("int").alias("block"),
     )
-    unbounded = first.withColumn("bound", F.lit(float("inf")))
-    found = _match(unbounded, blocks, k, p, rows_each)
+    first = materialize(first.withColumn("bound", F.lit(float("inf"))), "first-visits")
+    found = _match(first, probes, blocks, k, p, rows_each)
     if size <= rows_each:
         return found
     found = materialize(found, "first-pass")
@@ -159,36 +163,74 @@ def _search(probes: DataFrame, points: DataFrame, k: int, p: float) -> DataFrame
     bound = numbered.where(F.col("r") == k).select("vkey", F.col("distance").alias("bound"))
 
     # Second pass: every other block that the triangle inequality does not exclude.
-    both = found.unionByName(_match(_second_visits(routed, bound, first, to_pivot), blocks, k, p, rows_each))
+    visits = materialize(_second_visits(routed, bound, first, to_pivot), "visits")
+    both = found.unionByName(_match(visits, probes, blocks, k, p, rows_each))
     return both.withColumn("r", F.row_number().over(per_query)).where(F.col("r") <= k).drop("r")
 
 
 def _second_visits(routed: DataFrame, bound: DataFrame, first: DataFrame, to_pivot) -> DataFrame:
-    """(query, block) of all blocks within a query's bound but the one it has seen."""
+    """(query, block) of all blocks within a query's bound but the one it has seen; ids only."""
     limited = routed.join(bound, "vkey", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    least = F.filter(
+    within = F.filter(
         "cells",
-        lambda c: F.greatest(to_pivot(c) - c["high"], c["low"] - to_pivot(c)) <= F.col("bound") + SLACK,
+        lambda c: F.greatest(to_pivot(c) - c["high"], c["low"] - to_pivot(c), F.element_at("to.least", c["cell"] + 1))
+        <= F.col("bound") + SLACK,
     )
+    areas = F.array_distinct(F.transform(within, lambda c: F.struct(c["area"].alias("area"), c["blocks"].alias("blocks"))))
     every = F.explode(F.sequence(F.lit(0), F.col("c.blocks") - 1))
     return (
-        limited.select("vkey", "grp", "vec", "bound", F.explode(least).alias("c"))
-        .select("vkey", "grp", "vec", "bound", F.col("c.cell").alias("cell"), every.alias("block"))
-        .join(first.select("vkey", "cell", "block"), ["vkey", "cell", "block"], "left_anti")
+        limited.select("vkey", "grp", "bound", F.explode(areas).alias("c"))
+        .select("vkey", "grp", F.col("c.area").alias("area"), every.alias("block"), "bound")
+        .join(first.select("vkey", "area", "block"), ["vkey", "area", "block"], "left_anti")
     )
 
 
+def _areas(pivots: np.ndarray, counts: list[int], rows_each: int) -> list[int]:
+    """For each cell the number of its area: pivots are halved along their widest direction until a half fits a block."""
+    areas, open_parts, number = [0] * len(pivots), [np.arange(len(pivots))], 0
+    weight = np.array(counts, dtype=np.float64)
+    while open_parts:
+        part = open_parts.pop()
+        if len(part) == 1 or weight[part].sum() <= rows_each:
+            for cell in part:
+                areas[cell] = number
+            number += 1
+            continue
+        off = pivots[part] - pivots[part].mean(axis=0)
+        along = off @ np.linalg.svd(off, full_matrices=False)[2][0]
+        order = part[np.argsort(along, kind="stable")]
+        total = np.cumsum(weight[order])
+        cut = int(np.clip(np.searchsorted(total, total[-1] / 2) + 1, 1, len(order) - 1))
+        open_parts += [order[:cut], order[cut:]]
+    return areas
+
+
 def _pivots(points: DataFrame, count: int) -> np.ndarray:
     rows = points.select("vec", hash32("vkey").alias("h"), "vkey").orderBy("h", "vkey").limit(count).collect()
     return np.array([r["vec"] for r in rows], dtype=np.float64)
 
 
-def _pivot_distances(pivots: np.ndarray, p: float):
-    @F.pandas_udf("array<double>")
-    def distances(vec: pd.Series) -> pd.Series:
-        return pd.Series(list(minkowski(stack(vec), pivots, p)))
+def _pivot_bounds(pivots: np.ndarray, p: float):
+    """Of each vector the distances to all pivots, and how far it is at least from what lies nearest to each.
+
+    A row of another pivot's cell lies beyond the points that are as far from both pivots.
+    """
+    between = minkowski(pivots, pivots, p)
+
+    @F.pandas_udf("distance array<double>, least array<double>")
+    def bounds(vec: pd.Series) -> pd.DataFrame:
+        d = minkowski(stack(vec), pivots, p)
+        own = d.argmin(axis=1)
+        nearest = d[np.arange(len(d)), own][:, None]
+        if p == 2:
+            gap = between[own]
+            doubt = 1e-12 * d * d
+            least = np.divide(d * d - nearest * nearest - doubt, 2.0 * gap, where=gap > 0, out=np.zeros_like(d))
+        else:
+            least = (d - nearest) / 2.0
+        return pd.DataFrame({"distance": list(d), "least": list(least)})
 
-    return distances
+    return bounds
 
 
 def _nearest_pivot(pivots: np.ndarray, p: float):
@@ -201,15 +243,17 @@ def _nearest_pivot(pivots: np.ndarray, p: float):
     return nearest
 
 
-def _match(visits: DataFrame, blocks: DataFrame, k: int, p: float, rows_each: int) -> DataFrame:
+def _match(visits: DataFrame, probes: DataFrame, blocks: DataFrame, k: int, p: float, rows_each: int) -> DataFrame:
     """The k nearest vectors of a block for each query that visits it, as far as its bound.
 
+    Visits name queries; their vectors come from `probes` on the way to the block.
+
     The queries of one block are spread over chunks, so neither side of a group is much
     larger than a block; the block's rows are repeated once per chunk in use.
     """
-    keys = ["grp", "cell", "block"]
+    keys = ["grp", "area", "block"]
     load = visits.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / (4 * rows_each)).cast("int").alias("chunks"))
-    asked = visits.join(load, keys).withColumn("chunk", F.pmod(F.xxhash64("vkey"), F.col("chunks").cast("bigint")).cast("int"))
+    asked = visits.join(probes.select("vkey", "vec"), "vkey").join(load, keys).withColumn("chunk", F.pmod(F.xxhash64("vkey"), F.col("chunks").cast("bigint")).cast("int"))
     served = blocks.join(load, keys).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     id_type = blocks.schema["first_id"].dataType.simpleString()
