@@ -168,15 +168,19 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes:
         .groupBy("src", "start", "pass")
         .agg(F.sum("n").alias("got"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("parts"))
     )
+    cut = F.col("got") < F.col("size")
+    stretch = lambda p: F.struct(p["first"].cast("int").alias("first"), p["last"].cast("int").alias("last"), cut.alias("cut"))
     drawn = (
         laid.where("size > 0").drop("words", "target").join(parts, ["src", "start"])
-        .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("source").alias("_source"),
-                "pass", F.explode(_stretches("parts")).alias("_part"), (F.col("got") < F.col("size")).alias("_cut"))
+        .withColumn("_parts", F.transform(_stretches("parts"), stretch))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("source").alias("_source"))
+        .agg(F.flatten(F.collect_list("_parts")).alias("_parts"))
     )
     keys = ["_id", "_digest", "_source"]
-    rows = docs.select(F.struct("*").alias("_row")).select(
-        "_row", F.col("_row.doc_id").alias("_id"), F.xxhash64(F.coalesce("_row.text", F.lit(""))).alias("_digest"),
-        F.col("_row.source").alias("_source"),
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = docs.select(
+        F.struct(*others).alias("_row"), F.col("text").alias("_text"), F.col("doc_id").alias("_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_digest"), F.col("source").alias("_source"),
     )
     rows = one_of_each(rows, laid.selectExpr("doc_id as _id", "digest as _digest", "source as _source"), keys)
     same = (
@@ -184,12 +188,13 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes:
         & (F.col("a._digest") == F.col("b._digest"))
         & F.col("a._source").eqNullSafe(F.col("b._source"))
     )
-    joined = rows.alias("a").join(drawn.alias("b"), same).select("a._row", "b._part", "b._cut")
-    words = F.regexp_extract_all("_row.text", F.lit(SPACED_WORD), F.lit(0))
-    first, last = F.col("_part.first").cast("int"), F.col("_part.last").cast("int")
-    cut = F.array_join(F.slice(words, first + 1, last - first), "")
-    text = F.when(F.col("_cut"), cut).otherwise(F.col("_row.text"))
-    out = joined.withColumn("_new", text)
+    joined = rows.alias("a").join(drawn.alias("b"), same).select("a._row", "a._text", "b._parts")
+    # A text is split into words once: the generator keeps the split out of the lambda, which would repeat it.
+    words = F.when(F.exists("_parts", lambda p: p["cut"]), F.regexp_extract_all("_text", F.lit(SPACED_WORD), F.lit(0)))
+    split = joined.select("_row", "_text", "_parts", F.explode(F.array(words)).alias("_words"))
+    piece = lambda p: F.array_join(F.slice("_words", p["first"] + 1, p["last"] - p["first"]), "")
+    texts = F.transform("_parts", lambda p: F.when(p["cut"], piece(p)).otherwise(F.col("_text")))
+    out = split.select("_row", F.explode(texts).alias("_new"))
     columns = []
     for field in docs.columns:
         if field == "text":
