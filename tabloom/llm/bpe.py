@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.pretokens import encode_texts, flat, texts_of
-from tabloom.llm.process import once
+from tabloom.llm.process import once, trimmed
 from tabloom.llm.shared import text_of
 from tabloom.llm.words import slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 NORMAL, UNKNOWN, BPE = 1, 2, 2
+SLICE_BYTES = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -137,7 +138,7 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def _digests(path: str):
     def run(batches):
         coder = codec(path)
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=SLICE_BYTES):
             ids, counts = coder.encode(texts_of(batch.column("text")))
             upto = np.concatenate([[0], np.cumsum(counts)])
             named = _pieces(coder.names, ids, upto)  # each id with a comma; the last one goes
@@ -151,7 +152,7 @@ def _digests(path: str):
                 names=[part.split(" ")[0] for part in RESULT.split(", ")],
             )
 
-    return run
+    return trimmed(run)
 
 
 def encode_and_decode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -163,7 +164,7 @@ def encode_and_decode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def _with_ids(path: str):
     def run(batches):
         coder = codec(path)
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=SLICE_BYTES):
             ids, counts = coder.encode(texts_of(batch.column("text")))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             column = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
@@ -172,7 +173,7 @@ def _with_ids(path: str):
                 [*[batch.column(i) for i in keep], column], names=[*[batch.schema.names[i] for i in keep], "ids"]
             )
 
-    return run
+    return trimmed(run)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
+import pyarrow as pa
+
 KEPT = "_tabloom_kept"
 
 
@@ -18,3 +21,16 @@ def once(key, make):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def trimmed(run):
+    """The task function, after which freed memory goes back to the system: kept workers stay small."""
+
+    def outer(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return outer
