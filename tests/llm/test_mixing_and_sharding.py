@@ -162,3 +162,19 @@ def test_edge_rows_mix(docs, cases):
 def test_empty_tables(nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
     assert sharding.shard_documents(nothing).count() == 0
+
+
+def test_a_very_long_document_is_cut_once(spark):
+    """300,000 words in blocks of 256: every stretch is right, in linear time."""
+    n = 300_000
+    rows = [(1, " ".join(f"w{i}" for i in range(n)), "a"), (2, " ".join(f"v{i}" for i in range(n // 2)), "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(frame).collect()}
+    out = mixing.mixed_documents(frame).collect()
+    words = {i: 0 for i, _, _ in rows}
+    for r in out:
+        found = r["text"].split()
+        at = int(found[0][1:])
+        assert found == [f"{found[0][0]}{at + k}" for k in range(len(found))]
+        words[r["doc_id"]] += len(found)
+    assert words == taken and len(out) > 100
