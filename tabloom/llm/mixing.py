@@ -2,13 +2,19 @@
 
 Native: DataFrame functions only. The documents of a source, in a seeded hash order, form one
 stream of words, which is cut into blocks of `block_words`. A source gets as many slots as its
-target holds blocks. No output shards are made: `draw_slots` names a shard by a seeded hash, but
-neither `mix` nor `mixed_documents` reads it, and the slots follow from the targets alone. Slot k
-of a source takes block perm(k mod blocks) of pass k div blocks, where perm is a seeded affine
-permutation of the block indices, and slots and blocks are joined by (source, index).
+target holds blocks. The slots of all sources, put through one seeded permutation and cut into
+output shards of `shard_slots`, give each shard its counts of the sources: a multinomial draw
+given that the sources' totals come out, so that the targets are met to a block. From its counts
+a shard takes a run of slot numbers of each source. Slot number k of a source takes block
+perm(k mod blocks) of pass k div blocks, where perm is a permutation of the block indices seeded
+by source and pass; slots and blocks are joined by (source, index).
 
-A source with most of the rows is laid out in hash buckets, its slots are generated in chunks,
-and the join key contains the block index, so no source meets in one task. The table of
+A permutation of n indices is a Feistel network of `ROUNDS` rounds on pairs of numbers below the
+root of n (rounded up), walked on until it falls below n. Below 1,024 indices the walk always
+ends; from there on one index stays outside with a probability below 2^-100.
+
+A source with most of the rows is laid out in hash buckets, its slots are generated in chunks and
+numbered inside shards, and the join key contains the block index, so no source meets in one task. The table of
 sources is ranked in one task; it has a row for each distinct source.
 
 Defined results: a null text has no words; a null source is a source of its own, ranked last;
@@ -28,8 +34,7 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 8_192
 SEED = 11
 SLOT_CHUNK = 16_384
-#: Multipliers of the permutations; together they exceed any number of blocks, so one is coprime.
-PRIMES = (33_554_393, 33_554_383, 33_554_371, 33_554_347, 33_554_341)
+ROUNDS = 4
 #: A word with the white space before it.
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
@@ -71,39 +76,65 @@ def slot_counts(sources: DataFrame, block_words: int, max_passes: int) -> DataFr
     return sources.withColumn("blocks", blocks).withColumn("slots", F.coalesce(slots, F.lit(0)))
 
 
-def _coprime(n):
-    """A prime of the list that does not divide n."""
-    chosen = F.lit(PRIMES[-1])
-    for prime in reversed(PRIMES[:-1]):
-        chosen = F.when(n % prime != 0, F.lit(prime)).otherwise(chosen)
-    return chosen.cast("long")
+def permuted(index, n, key):
+    """The place of `index` in the permutation of 0 to n - 1 that `key` seeds."""
+    index, n = index.cast("long"), n.cast("long")
+    side = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    outside = side * side - n
+    # A step leaves the range with a probability of at most 2 / sqrt(n).
+    enough = F.ceil(F.lit(100.0) / (F.log2(side.cast("double")) - 1)).cast("long") + 1
+    steps = F.when(n < 1_024, outside + 1).otherwise(F.least(outside + 1, enough))
 
+    def round_of(pair, turn):
+        mixed = F.pmod(F.xxhash64(key, turn, pair["right"]), side)
+        return F.struct(pair["right"].alias("left"), ((pair["left"] + mixed) % side).alias("right"))
 
-def _chosen_multiplier(n, seed_column):
-    """The seeded one of the first four primes if it is coprime to n, else the first that is."""
-    picked = F.element_at(F.array(*[F.lit(p) for p in PRIMES[:4]]), (F.pmod(seed_column, F.lit(4)) + 1).cast("int"))
-    return F.when(n % picked != 0, picked).otherwise(_coprime(n)).cast("long")
+    def step(value):
+        pair = F.struct(F.floor(value / side).cast("long").alias("left"), (value % side).alias("right"))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(ROUNDS)), pair, round_of, lambda p: p["left"] * side + p["right"]
+        )
 
+    return F.aggregate(
+        F.sequence(F.lit(1).cast("long"), steps), F.lit(-1).cast("long"),
+        lambda at, _: F.when((at >= 0) & (at < n), at).otherwise(step(F.when(at < 0, index).otherwise(at))),
+    )
 
-def draw_slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """The slots of the mix: src, k (the slot's number in its source), shard, pass and block."""
+
+def drawn_places(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """Stored (src, blocks, shard, slot): every output slot of the mix and the source it is drawn for."""
     total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-total // shard_slots))
-    chunks = sources.where("slots > 0").select(
-        "src", "blocks", "slots", F.explode(F.expr(f"sequence(0L, slots - 1, {SLOT_CHUNK}L)")).alias("first")
+    earlier = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
+    from_ = F.coalesce(F.sum("slots").over(earlier), F.lit(0))
+    chunks = sources.withColumn("from_", from_).where("slots > 0").select(
+        "src", "blocks", "slots", "from_", F.explode(F.expr(f"sequence(0L, slots - 1, {SLOT_CHUNK}L)")).alias("first")
     )
     chunks = chunks.repartition("src", "first")
-    slots = chunks.select(
-        "src", "blocks", F.explode(F.expr(f"sequence(first, least(first + {SLOT_CHUNK}, slots) - 1)")).alias("k")
+    labels = chunks.select(
+        "src", "blocks", "from_", F.explode(F.expr(f"sequence(first, least(first + {SLOT_CHUNK}, slots) - 1)")).alias("k")
     )
-    turn = F.expr("k div blocks")
-    mixed = F.xxhash64(F.lit(seed), "src", "pass")
-    step = _chosen_multiplier(F.col("blocks"), mixed)
-    index = F.pmod((F.col("k") % F.col("blocks")) * step + F.pmod(mixed, F.col("blocks")), F.col("blocks"))
-    return slots.withColumn("pass", turn).select(
-        "src", "k", F.pmod(F.xxhash64(F.lit(seed + 1), "src", "k"), F.lit(shards)).alias("shard"), "pass",
-        index.alias("block"),
-    )
+    place = permuted(F.col("from_") + F.col("k"), F.lit(max(total, 1)), F.lit(seed))
+    placed = labels.select("src", "blocks", place.alias("place"))
+    shard, slot = F.expr(f"place div {shard_slots}"), F.pmod("place", F.lit(shard_slots))
+    return stored(placed.select("src", "blocks", shard.alias("shard"), slot.cast("int").alias("slot")), "places")
+
+
+def shard_counts(places: DataFrame) -> DataFrame:
+    """Stored (shard, src, n, first): the sources' counts of each shard, and where its run of slot numbers begins."""
+    counts = places.groupBy("shard", "src").agg(F.count(F.lit(1)).alias("n"))
+    return stored(prefix_sums(stored(counts, "counts"), "src", ["shard"], F.col("n"), "first"), "runs")
+
+
+def draw_slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """The slots of the mix: shard, slot (its place there), src, k (its number in the source), pass and block."""
+    places = drawn_places(sources, shard_slots, seed)
+    runs = shard_counts(places)
+    inside = F.row_number().over(Window.partitionBy("shard", "src").orderBy("slot")) - 1
+    slots = places.withColumn("inside", inside).join(runs, ["shard", "src"])
+    slots = slots.withColumn("k", F.col("first") + F.col("inside")).withColumn("pass", F.expr("k div blocks"))
+    key = F.xxhash64(F.lit(seed + 1), "src", "pass")
+    block = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), key)
+    return slots.select("shard", "slot", "src", "k", "pass", block.alias("block"))
 
 
 def lay_out(docs: DataFrame, block_words: int, max_passes: int) -> tuple[DataFrame, DataFrame]:
@@ -154,6 +185,41 @@ def _stretches(parts: str):
     return F.arrays_zip(first.alias("first"), last.alias("last"))
 
 
+def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes: int = MAX_PASSES, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix as blocks: shard, slot, source, words (the block's words in stream order).
+
+    Slots of a shard are gapless from 0; the last block of a source may be shorter.
+    """
+    laid, sources = lay_out(docs, block_words, max_passes)
+    parts = F.sort_array(F.collect_list(F.struct("block", "at", "n")))
+    cuts = pieces_of(laid, block_words).groupBy("src", "start").agg(parts.alias("parts"))
+    named = laid.where("size > 0").join(cuts, ["src", "start"])
+    named = named.select(F.col("doc_id").alias("_id"), "digest", F.col("source").alias("_source"), "src", "start", "parts")
+    rows = docs.select(
+        F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("digest"), F.col("source").alias("_source"), text_of().alias("text")
+    )
+    # Rows equal in id, source and text are interchangeable: one text serves all their places.
+    kind, same = ["_id", "digest", "_source"], F.lit(True)
+    rows = one_of_each(rows, laid.selectExpr("doc_id as _id", "digest", "source as _source"), kind)
+    for name in kind:
+        same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
+    joined = rows.alias("a").join(named.alias("b"), same).select("text", "src", "start", "parts")
+    # The generator keeps the split of a text out of the lambda, which would repeat it.
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    split = joined.select("src", "start", "parts", F.explode(F.array(words)).alias("_words"))
+    piece = lambda p: F.struct(
+        p["block"].alias("block"), F.slice("_words", p["at"].cast("int") + 1, p["n"].cast("int")).alias("words")
+    )
+    each = split.select("src", "start", F.explode(F.transform("parts", piece)).alias("piece"))
+    filled = each.groupBy("src", F.col("piece.block").alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("start", "piece.words"))).alias("held")
+    )
+    blocks = filled.select("src", "block", F.flatten(F.transform("held", lambda h: h["words"])).alias("words"))
+    names = small_side(sources.select("src", "source"))
+    slots = draw_slots(sources, shard_slots).select("shard", "slot", "src", "block")
+    return slots.join(blocks, ["src", "block"]).join(names, "src").select("shard", "slot", "source", "words")
+
+
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_passes: int = MAX_PASSES) -> DataFrame:
     """The mix itself with the columns of `docs`: a row for each stretch that a pass takes.
 

@@ -91,8 +91,63 @@ def test_permutations_are_whole(spark):
         found[s["src"], s["pass"]].append(s["block"])
     assert sorted(found[0, 0]) == sorted(found[0, 1]) == list(range(1000)) and found[0, 0] != found[0, 1]
     assert len(found[0, 2]) == len(set(found[0, 2])) == 500 and found[1, 2] == [0] and len(set(found[2, 0])) == 70
-    shards = Counter(s["shard"] for s in slots)
-    assert len(slots) == 2573 and len(shards) == 26 and max(shards.values()) < 160
+    places = defaultdict(set)
+    for s in slots:
+        places[s["shard"]].add(s["slot"])
+    assert len(slots) == 2573 and len(places) == 26
+    assert all(places[s] == set(range(100 if s < 25 else 73)) for s in places)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000, 1023, 1024, 1025, 5000])
+def test_feistel_permutation(spark, n):
+    frame = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5)).alias("p"), "id")
+    got = [r["p"] for r in frame.orderBy("id").collect()]
+    assert sorted(got) == list(range(n))
+    if n >= 1000:  # neighbours do not keep a constant distance
+        steps = Counter((b - a) % n for a, b in zip(got, got[1:]))
+        assert steps.most_common(1)[0][1] < 12
+
+
+def test_counts_of_shards_decide_the_slots(spark):
+    """Each shard's counts are a draw given the totals, and its slots are the runs that they name."""
+    sources = spark.createDataFrame([(0, 700, 2000), (1, 900, 900), (2, 40, 100)], "src int, blocks long, slots long")
+    slots = mixing.draw_slots(sources, shard_slots=100).collect()
+    counts, runs = Counter((s["shard"], s["src"]) for s in slots), defaultdict(list)
+    for s in sorted(slots, key=lambda s: s["slot"]):
+        runs[s["src"], s["shard"]].append(s["k"])
+    taken = defaultdict(list)
+    for (src, shard), ks in runs.items():
+        assert ks == list(range(ks[0], ks[0] + counts[shard, src]))
+        taken[src] += ks
+    assert {src: sorted(ks) for src, ks in taken.items()} == {0: list(range(2000)), 1: list(range(900)), 2: list(range(100))}
+    for src, share in ((0, 2 / 3), (1, 0.3), (2, 1 / 30)):
+        found = [counts[shard, src] for shard in range(30)]
+        spread = 100 * share * (1 - share) * 2900 / 2999
+        assert len(set(found)) > 3 and 0.35 * spread < sum((c - 100 * share) ** 2 for c in found) / 29 < 2.2 * spread
+
+
+def test_taken_by_brute_force(many):
+    """Words taken, from the layout and the slots alone."""
+    _, frame = many
+    laid, sources = mixing.lay_out(frame, 16, 3)
+    times = Counter((s["src"], s["block"]) for s in mixing.draw_slots(sources).collect())
+    want = {}
+    for d in laid.collect():
+        want[d["doc_id"]] = sum(times[d["src"], w // 16] for w in range(d["start"], d["start"] + d["size"]))
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(frame, block_words=16).collect()} == want
+
+
+def test_mixed_blocks(many):
+    rows, frame = many
+    got = mixing.mixed_blocks(frame, block_words=16, shard_slots=64).collect()
+    laid, sources = mixing.lay_out(frame, 16, 3)
+    texts, streams = {i: WORD.findall(t or "") for i, t, _ in rows}, defaultdict(list)
+    for d in sorted(laid.collect(), key=lambda d: d["start"]):
+        streams[d["src"]] += texts[d["doc_id"]]
+    names = {r["src"]: r["source"] for r in sources.collect()}
+    slots = mixing.draw_slots(sources, 64).collect()
+    want = {(s["shard"], s["slot"]): (names[s["src"]], streams[s["src"]][16 * s["block"] : 16 * s["block"] + 16]) for s in slots}
+    assert {(r["shard"], r["slot"]): (r["source"], r["words"]) for r in got} == want and len(got) == len(slots)
 
 
 def test_repeated_rows_are_mixed_once_each(spark):
@@ -161,6 +216,7 @@ def test_edge_rows_mix(docs, cases):
 
 def test_empty_tables(nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
+    assert mixing.mixed_blocks(nothing).count() == 0
     assert sharding.shard_documents(nothing).count() == 0
 
 
