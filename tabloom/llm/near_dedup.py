@@ -207,7 +207,7 @@ def bucket_links(members: DataFrame, families: DataFrame, classes: DataFrame) ->
     """Stored (a, b, likely): near pairs across the families of a bucket, a spanning forest a block.
 
     Every member outside of the bucket's largest family meets all members, by registers and in
-    blocks; blocks are dealt to units of about `UNIT` rows. Up to LEADERS + 1 members of as many
+    blocks; blocks are dealt to units of about `UNIT` of the dealt rows. Up to LEADERS + 1 members of as many
     families have all met as leaders.
     """
     named = families.select("node", F.col("comp").alias("family"))
@@ -220,8 +220,9 @@ def bucket_links(members: DataFrame, families: DataFrame, classes: DataFrame) ->
     mixed = top.where((F.col("families") > 1) & ~met)
     mixed = mixed.select("key", F.col("top.family").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("n_odd"))
     rows = stored(placed.join(mixed, "key"), "mixed")
-    units = max(1, rows.count() // UNIT)
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    copies = blocks("n_odd") + F.when(F.col("family") != F.col("main"), blocks("all")).otherwise(0)
+    units = max(1, (rows.agg(F.sum(copies.cast("long"))).first()[0] or 0) // UNIT)
     mine = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     whole = ("key", "node", "n", "size", "family")
     every = F.sequence(F.lit(0), blocks("n_odd") - 1)

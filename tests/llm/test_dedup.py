@@ -209,6 +209,23 @@ def test_near_copy_of_a_template(spark):
     assert got == want
 
 
+def test_units_of_a_large_bucket(spark, monkeypatch):
+    """One bucket of 3,000 unlike members: no unit holds above twice `UNIT` of the dealt rows."""
+    rng = np.random.default_rng(3)
+    rows = [(k, 100, [(6, rng.integers(0, 50_000, 256).astype(np.uint16).tobytes())]) for k in range(3_000)]
+    classes = near_dedup.stored(spark.createDataFrame(rows, "node long, n long, sketches array<struct<size:int,registers:binary>>"), "classes")
+    members = classes.selectExpr("7L as key", "node", "n", "6 as size")
+    families = spark.createDataFrame([], "node long, comp long")
+
+    def counted(table):
+        return near_dedup.pa.table({"a": [table.num_rows], "b": [table.num_rows], "likely": [1.0]})
+
+    monkeypatch.setattr(near_dedup, "_unit_links", counted)
+    held = [r["a"] for r in near_dedup.bucket_links(members, families, classes).collect()]
+    copies = 3_000 * 2 * (3_000 // near_dedup.BLOCK + 1)
+    assert sum(held) == copies and max(held) <= 2 * near_dedup.UNIT, (max(held), len(held))
+
+
 @pytest.mark.parametrize("edges", [[(1, 2), (2, 3), (3, 4), (10, 11)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], []])
 def test_components(spark, edges):
     got = {r["node"]: r["comp"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
