@@ -218,11 +218,13 @@ def test_units_of_a_large_bucket(spark, monkeypatch):
     families = spark.createDataFrame([], "node long, comp long")
 
     def counted(table):
-        return near_dedup.pa.table({"a": [table.num_rows], "b": [table.num_rows], "likely": [1.0]})
+        import pyarrow as pa
+
+        return pa.table({"a": [table.num_rows], "b": [table.num_rows], "likely": [1.0]})
 
     monkeypatch.setattr(near_dedup, "_unit_links", counted)
     held = [r["a"] for r in near_dedup.bucket_links(members, families, classes).collect()]
-    copies = 3_000 * 2 * (3_000 // near_dedup.BLOCK + 1)
+    copies = (3_000 + 2_999) * (3_000 // near_dedup.BLOCK + 1)  # the largest family's one member is not odd
     assert sum(held) == copies and max(held) <= 2 * near_dedup.UNIT, (max(held), len(held))
 
 
