@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from .adaboost import fit_r2, fit_samme
 from .base import FittedModel
 from .boosting import fit_boosted
+from .criterion_trees import fit_criterion_tree
 from .kernels import fit_svc, fit_svr
 from .linear import fit_nonnegative
 from .native import fit_elastic, fit_forest, fit_gbt, fit_linear, fit_logistic, fit_ridge, fit_tree
@@ -33,6 +34,8 @@ def fit_model(name: str, train: DataFrame, params: dict[str, Any] | None = None,
         case "RandomForestClassifier":
             return fit_forest(train, p, True)
         case "DecisionTreeRegressor":
+            if p.get("criterion") in ("absolute_error", "poisson"):
+                return fit_criterion_tree(train, p, p["criterion"])
             return fit_tree(train, p, False)
         case "DecisionTreeClassifier":
             return fit_tree(train, p, True)

@@ -72,7 +72,8 @@ class SplitRule:
     """How a split is judged.
 
     `newton`: stats are (gradient, curvature); with curvature 1 this is the variance
-    rule. `gini`: stats are the class weights.
+    rule. `gini`: stats are the class weights. `poisson`: stats are (minus the label's sum, rows);
+    a side without a positive sum is refused.
     """
 
     kind: str = "newton"
@@ -104,6 +105,8 @@ def quality(rules: Sequence[SplitRule], stats: Sequence[str]) -> str:
         squares = " + ".join(f"({s}) * ({s})" for s in stats)
         return f"coalesce(try_divide({squares}, {' + '.join(f'({s})' for s in stats)}), 0D)"
     g, h = (f"({s})" for s in stats)
+    if rules[0].kind == "poisson":
+        return f"(case when {g} < 0 and {h} > 0 then -{g} * ln(-{g} / {h}) end)"
     if any(r.reg_alpha for r in rules):
         g = f"(signum({g}) * greatest(abs({g}) - {per_tree(rules, 'reg_alpha')}, 0D))"
     return f"coalesce(try_divide(0.5D * {g} * {g}, {h} + {per_tree(rules, 'reg_lambda')}), 0D)"

@@ -326,6 +326,12 @@ QUERIES = {
     ),
     "reg_nonnegative": (reg_nonnegative, NONNEGATIVE_SQL),
     "reg_tree_groups": (group_tree("DecisionTreeRegressor", {"max_depth": 5}), _group_sql("avg(y)")),
+    "reg_tree_poisson": (
+        group_tree("DecisionTreeRegressor", {"max_depth": 5, "criterion": "poisson"}, "hi"), _group_sql("avg(hi)")
+    ),
+    "reg_tree_absolute": (
+        group_tree("DecisionTreeRegressor", {"max_depth": 5, "criterion": "absolute_error"}), _group_sql("median(y)")
+    ),
     "reg_gbt_groups": (group_tree("GradientBoostingRegressor", {"n_estimators": 1, "max_depth": 5}), _group_sql("avg(y)")),
     "reg_xgb_groups": (
         group_tree("XGBRegressor", {"n_estimators": 1, "max_depth": 5, "learning_rate": 1.0, "reg_lambda": 1.0}),
