@@ -34,6 +34,7 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 8_192
 SEED = 11
 SLOT_CHUNK = 16_384
+PART_SLOTS = 131_072
 ROUNDS = 4
 #: A word with the white space before it.
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
@@ -109,7 +110,8 @@ def drawn_places(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     chunks = sources.withColumn("from_", from_).where("slots > 0").select(
         "src", "blocks", "slots", "from_", F.explode(F.expr(f"sequence(0L, slots - 1, {SLOT_CHUNK}L)")).alias("first")
     )
-    chunks = chunks.repartition("src", "first")
+    # A stated number of parts: chunks are small rows, and AQE would join them all into one task.
+    chunks = chunks.repartition(max(1, total // PART_SLOTS), "src", "first")
     labels = chunks.select(
         "src", "blocks", "from_", F.explode(F.expr(f"sequence(first, least(first + {SLOT_CHUNK}, slots) - 1)")).alias("k")
     )
