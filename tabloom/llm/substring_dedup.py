@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from tabloom.llm.shared import text_of
 from tabloom.llm.words import NEWLINE, Texts, hashes, runs, scramble, slices
 
-MIN_WORDS = 10
+#: Shorter stretches are often ordinary sentences that unrelated documents share.
+MIN_WORDS = 20
 WINDOWS = "d1 long, d2 long, doc_id long, digest long, at int, stop int"
 #: What stands between two units that were both removed is removed with them, if it is short.
 GAP = 2
