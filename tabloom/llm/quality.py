@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.shared import small_side, stored, text_of
+from tabloom.llm.shared import small_lists, small_side, stored, text_of
 from tabloom.llm.words import NEWLINE, Texts, hashes, lists, runs, scramble, slices, window_hashes
 
 MIN_WORDS = 20
@@ -151,7 +151,7 @@ def verdicts(docs: DataFrame, host: str = "source", keep_words: float = KEEP_WOR
     removed = hit.groupBy("doc_id", "digest", "h").agg(
         F.sum("words").alias("removed_words"), F.sort_array(F.collect_list("at")).alias("removed_lines")
     )
-    removed = small_side(stored(removed, "removed")).alias("r")
+    removed = small_lists(stored(removed, "removed")).alias("r")
     same = (
         F.col("f.doc_id").eqNullSafe(F.col("r.doc_id"))
         & (F.col("f.digest") == F.col("r.digest"))
@@ -173,7 +173,7 @@ def quality_rules(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     verdict = stored(verdicts(docs, host, **limits), "verdicts")
     touched = verdict.where(~F.col("kept") | (F.size("removed_lines") > 0))
     touched = touched.select("doc_id", "digest", "host", "kept", "removed_lines").distinct()
-    touched = small_side(stored(touched, "touched")).alias("t")
+    touched = small_lists(stored(touched, "touched")).alias("t")
     rows = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"),
         F.xxhash64(text_of()).alias("_digest"), F.col(host).cast("string").alias("_host"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.session import materialize
+from tabloom.session import materialize, stored_bytes
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 ROWS_PER_BUCKET = 5_000
 
 
@@ -29,6 +30,11 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def small_lists(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """As `small_side`, for a stored table whose rows carry lists of any length: its bytes are bounded, too."""
+    return small_side(df) if stored_bytes(df) <= max_bytes else df
+
+
 def prefix_sums(df: DataFrame, group: str, order: list[str], value, name: str) -> DataFrame:
     """Add `name`: the sum of `value` over the rows of the same `group` that come before.
 
