@@ -302,30 +302,36 @@ def _spread(rows, features, recent, rate, alpha) -> float:
 def _set_leaves(rows, features, trees, loss, recent, rate, options) -> None:
     """Leaf values by loss: a quantile of the residuals, or one Newton step.
 
-    One aggregation over (output, leaf); quantiles come from mergeable sketches.
+    Tasks route whole batches. A quantile needs (leaf, residual) of each row, summarised by
+    mergeable sketches; a Newton step needs the sums of a batch for each output and leaf only.
     """
     trees_now, outputs, options = list(trees), len(trees), dict(options)
     recent_now = list(recent)
-
-    @F.pandas_udf("array<struct<output:int,leaf:int,r:double,g:double,h:double>>")
-    def placed(label: pd.Series, margin: pd.Series, bins: pd.Series) -> pd.Series:
-        codes = unpack(bins, features)
-        now = add_trees(stack(margin), recent_now, rate, codes)
-        stats = gradients(loss, label.to_numpy(), now, options)
-        leaves = [t.route(codes) for t in trees_now]
-        return pd.Series(
-            [
-                [
-                    {"output": k, "leaf": int(leaves[k][i]), "r": float(label.iloc[i] - now[i, 0]), "g": float(stats[k, i, 0]), "h": float(stats[k, i, 1])}
-                    for k in range(outputs)
-                ]
-                for i in range(len(label))
-            ]
-        )
-
-    exploded = rows.select(F.explode(placed(LABEL, "margin", "bins")).alias("e")).select("e.*")
-    grouped = exploded.groupBy("output", "leaf")
-    if loss in ("absolute_error", "quantile", "huber"):
+    residuals = loss in ("absolute_error", "quantile", "huber")
+
+    def placed(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes, label = unpack(batch["bins"], features), batch[LABEL].to_numpy()
+            now = add_trees(stack(batch["margin"]), recent_now, rate, codes)
+            if residuals:
+                yield pd.DataFrame({"output": 0, "leaf": trees_now[0].route(codes), "r": label - now[:, 0]})
+                continue
+            stats = gradients(loss, label, now, options)
+            for k, tree in enumerate(trees_now):
+                leaf = tree.route(codes)
+                hit = np.unique(leaf)
+                g, h = (np.bincount(leaf, stats[k, :, i])[hit] for i in range(2))
+                yield pd.DataFrame({"output": k, "leaf": hit, "g": g, "h": h})
+
+    schema = "output int, leaf int, " + ("r double" if residuals else "g double, h double")
+    routed = rows.select(LABEL, "margin", "bins").mapInPandas(placed, schema)
+    if loss == "huber":
+        # The centre and the mean step from it are two passes over the same residuals.
+        routed = materialize(routed, "residuals")
+    grouped = routed.groupBy("output", "leaf")
+    if residuals:
         at = options["alpha"] if loss == "quantile" else 0.5
         found = grouped.agg(F.percentile_approx("r", at, 10_000).alias("value"))
         if loss == "huber":
@@ -333,7 +339,7 @@ def _set_leaves(rows, features, trees, loss, recent, rate, options) -> None:
             off = F.col("r") - F.col("centre")
             step = F.signum(off) * F.least(F.abs(off), F.lit(options["delta"]))
             found = (
-                exploded.join(F.broadcast(centre), ["output", "leaf"])
+                routed.join(F.broadcast(centre), ["output", "leaf"])
                 .groupBy("output", "leaf")
                 .agg((F.first("centre") + F.avg(step)).alias("value"))
             )
@@ -342,3 +348,5 @@ def _set_leaves(rows, features, trees, loss, recent, rate, options) -> None:
         found = grouped.agg((F.lit(-shrink) * F.sum("g") / F.greatest(F.sum("h"), F.lit(1e-12))).alias("value"))
     for row in found.collect():
         trees[row["output"]].value[row["leaf"]] = float(row["value"])
+    if loss == "huber":
+        discard(routed)

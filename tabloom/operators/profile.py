@@ -120,12 +120,15 @@ def _pair_sums(df: DataFrame, columns: list[str]) -> dict[tuple[int, int], tuple
             x += z.T @ has
             xx += (z * z).T @ has
             xy += z.T @ z
-            for j in range(k):
-                rows = values[known[:, j]]
-                if len(rows):
-                    seen = known[known[:, j]]
-                    low[:, j] = np.minimum(low[:, j], np.where(seen, rows, np.inf).min(axis=0))
-                    high[:, j] = np.maximum(high[:, j], np.where(seen, rows, -np.inf).max(axis=0))
+            # Bounds of all columns on the rows that have column j: one pass serves the columns without gaps.
+            below, above = np.where(known, values, np.inf), np.where(known, values, -np.inf)
+            full = known.all(axis=0)
+            low[:, full] = np.minimum(low[:, full], below.min(axis=0)[:, None])
+            high[:, full] = np.maximum(high[:, full], above.max(axis=0)[:, None])
+            for j in np.flatnonzero(~full & known.any(axis=0)):
+                rows = known[:, j]
+                low[:, j] = np.minimum(low[:, j], below[rows].min(axis=0))
+                high[:, j] = np.maximum(high[:, j], above[rows].max(axis=0))
         i, j = np.tril_indices(k)
         yield pd.DataFrame(
             {

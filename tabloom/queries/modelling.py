@@ -153,6 +153,82 @@ v as (select g, {value} as v from t, s group by g)
 select cast(o_orderkey as varchar) as row_key, round(v,6) as prediction from held join v on g=o_orderpriority where is_test"""
 
 
+def group_shares(name, params, label, classes=2):
+    """Class shares of the test rows by a classifier on the priority indicators, to 6 digits."""
+
+    def run(spark, sf_dir):
+        data = _priority_rows(spark, sf_dir).withColumn(LABEL, label())
+        train_rows, test_rows = _parts(data)
+        scored = fit_model(name, train_rows, params, classes).predict(test_rows)
+        shares = [F.round(F.col("scores")[k], 6).alias(f"share_{k}") for k in range(classes)]
+        return scored.select(KEY, PREDICTION, *shares)
+
+    return run
+
+
+def _rounds_sql(start: str, step: str, share: str, rate: float, rounds: int) -> str:
+    """A margin for each group, moved once a round: n rows, s of them of class 1, share `base` overall."""
+    return f"""with recursive {FX_SQL}, {random_holdout_sql('fx', 'o_orderkey')},
+t as (select o_orderpriority as g, cast(y>4.0 as int)::double as hi from held where not is_test),
+c as (select g, count(*)::double as n, sum(hi) as s, (select avg(hi) from t) as base from t group by g),
+r as (select 0 as k, g, n, s, {start} as m from c
+  union all select k+1, g, n, s, m+{rate}::double*({step}) from r where k<{rounds}),
+v as (select g, {share} as p from r where k={rounds})
+select cast(o_orderkey as varchar) as row_key, (p>1-p)::int::double as prediction, round(1-p,6) as share_0, round(p,6) as share_1
+from held join v on g=o_orderpriority where is_test"""
+
+
+_SIGMOID = "(1/(1+exp(-m)))"
+XGB_ROUNDS_SQL = _rounds_sql(
+    "ln(base/(1-base))", f"(s-n*{_SIGMOID})/(n*{_SIGMOID}*(1-{_SIGMOID})+1.0::double)", _SIGMOID, 0.5, 4
+)
+EXPONENTIAL_ROUNDS_SQL = _rounds_sql(
+    "ln(base/(1-base))/2", "(s*exp(-m)-(n-s)*exp(m))/(s*exp(-m)+(n-s)*exp(m))", "(1/(1+exp(-2*m)))", 0.1, 12
+)
+
+
+def _softmax_sql(rate: float, rounds: int) -> str:
+    """Three margins for each group; a round moves each by its own Newton step, shrunk by 2/3."""
+    total = "(exp(m0)+exp(m1)+exp(m2))"
+    counts = ", ".join(f"count(*) filter (c={k})::double as s{k}" for k in range(3))
+    moved = ", ".join(f"m{k}+{rate}::double*2/3*(s{k}-n*p{k})/(n*p{k}*(1-p{k}))" for k in range(3))
+    shares = ", ".join(f"exp(m{k})/{total} as p{k}" for k in range(3))
+    starts = ", ".join(f"ln(b{k}) as m{k}" for k in range(3))
+    base = ", ".join(f"avg((c={k})::int::double) as b{k}" for k in range(3))
+    return f"""with recursive {FX_SQL}, {random_holdout_sql('fx', 'o_orderkey')},
+t as (select o_orderpriority as g, case when y<3.0 then 0 when y<5.0 then 1 else 2 end as c from held where not is_test),
+r as (select 0 as k, g, n, s0, s1, s2, {starts} from (select g, count(*)::double as n, {counts} from t group by g), (select {base} from t)
+  union all select k+1, g, n, s0, s1, s2, {moved} from (select *, {shares} from r) where k<{rounds}),
+v as (select g, {shares} from r where k={rounds})
+select cast(o_orderkey as varchar) as row_key,
+  (case when p0>=p1 and p0>=p2 then 0 when p1>=p2 then 1 else 2 end)::double as prediction,
+  round(p0,6) as share_0, round(p1,6) as share_1, round(p2,6) as share_2
+from held join v on g=o_orderpriority where is_test"""
+
+
+def _level_sql(at: float, rate: float, rounds: int) -> str:
+    """Each round closes the share `rate` of the way from the overall level to the group's own."""
+    return f"""with {FX_SQL}, {random_holdout_sql('fx', 'o_orderkey')},
+t as (select o_orderpriority as g, y from held where not is_test),
+v as (select g, quantile_disc(y,{at}) as q, (select quantile_disc(y,{at}) from t) as base from t group by g)
+select cast(o_orderkey as varchar) as row_key, round(q+(base-q)*pow(1-{rate}::double,{rounds}),6) as prediction
+from held join v on g=o_orderpriority where is_test"""
+
+
+HUBER_GROUPS_SQL = f"""with {FX_SQL}, {random_holdout_sql('fx', 'o_orderkey')},
+t as (select o_orderpriority as g, y from held where not is_test),
+b as (select quantile_disc(y,0.5) as base from t),
+d as (select quantile_disc(abs(y-base),0.9) as delta from t, b),
+c as (select g, quantile_disc(y-base,0.5) as centre from t, b group by g),
+v as (select g, any_value(base)+0.1::double*(any_value(centre)+avg(greatest(-delta,least(delta,y-base-centre)))) as v
+  from t join c using (g), b, d group by g)
+select cast(o_orderkey as varchar) as row_key, round(v,6) as prediction from held join v on g=o_orderpriority where is_test"""
+
+
+def _is_high():
+    return F.col("hi")
+
+
 def reg_knn(spark, sf_dir):
     """Mean of the five nearest training rows by scaled price and balance."""
     held = random_holdout(fx_class(spark, sf_dir), "o_orderkey").withColumn(KEY, F.col("o_orderkey").cast("string"))
@@ -342,6 +418,28 @@ QUERIES = {
         group_tree("XGBRegressor", {"n_estimators": 6, "max_depth": 5, "learning_rate": 0.3, "reg_lambda": 1.0}),
         _group_sql("any_value(base)+(avg(y)-any_value(base))*(1-pow(1-0.3::double*count(*)/(count(*)+1.0::double),6))"),
     ),
+    "reg_gbt_absolute_rounds": (
+        group_tree("GradientBoostingRegressor", {"n_estimators": 3, "max_depth": 5, "loss": "absolute_error"}),
+        _level_sql(0.5, 0.1, 3),
+    ),
+    "reg_gbt_quantile_rounds": (
+        group_tree("GradientBoostingRegressor", {"n_estimators": 3, "max_depth": 5, "loss": "quantile"}),
+        _level_sql(0.9, 0.1, 3),
+    ),
+    "reg_gbt_huber_groups": (
+        group_tree("GradientBoostingRegressor", {"n_estimators": 1, "max_depth": 5, "loss": "huber"}), HUBER_GROUPS_SQL
+    ),
+    "clf_xgb_rounds": (
+        group_shares("XGBClassifier", {"n_estimators": 4, "max_depth": 5, "learning_rate": 0.5, "reg_lambda": 1.0}, _is_high),
+        XGB_ROUNDS_SQL,
+    ),
+    "clf_gbt_exponential_rounds": (
+        group_shares("GradientBoostingClassifier", {"n_estimators": 12, "max_depth": 5, "loss": "exponential"}, _is_high),
+        EXPONENTIAL_ROUNDS_SQL,
+    ),
+    "clf_gbt_multiclass_rounds": (
+        group_shares("GradientBoostingClassifier", {"n_estimators": 4, "max_depth": 5}, terciles, 3), _softmax_sql(0.1, 4)
+    ),
     "reg_forest_groups": (
         group_tree("RandomForestRegressor", {"n_estimators": 5, "max_depth": 5, "bootstrap": False}), _group_sql("avg(y)")
     ),
