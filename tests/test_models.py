@@ -182,3 +182,34 @@ def test_refused_combinations_are_listed(table):
         {"loss": ["exponential"]}, 2, 2,
     )
     assert best == {} and trials.first()["score"] is None
+
+
+def _jobs_of(spark, name, work):
+    """What `work` returns, and the number of Spark jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    found = work()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+@pytest.mark.parametrize("name,label,eps", [("SVR", "y", 0.1), ("SVC", "two", None)])
+def test_support_vectors_reach_the_optimum_in_few_passes(spark, table, name, label, eps):
+    rows = labelled(table, label).localCheckpoint()
+    model, jobs = _jobs_of(spark, name, lambda: fit_model(name, rows, {}, 2))
+    assert jobs < 150
+    data = rows.collect()
+    x, y = np.array([r["features"].toArray() for r in data]), np.array([r["label"] for r in data])
+    raw, projection = model.mapping.raw()
+    phi = raw(x) @ projection
+    fit = model if name == "SVR" else model.margins[0]
+    w, b = (fit.weights, fit.intercept) if name == "SVR" else (fit["weights"], fit["intercept"])
+
+    def cost(w, b):
+        value = phi @ w + b
+        loss = np.maximum(np.abs(y - value) - eps, 0) if name == "SVR" else np.maximum(1 - (2 * y - 1) * value, 0)
+        return 0.5 * np.dot(w, w) + loss.sum()
+
+    least, rng = cost(np.array(w), b), np.random.default_rng(1)
+    for size in (1e-3, 1e-2, 1e-1):
+        for _ in range(200):
+            assert cost(w + size * rng.normal(size=len(w)), b + size * rng.normal()) > least - 1e-3 * least
