@@ -208,3 +208,31 @@ def test_quantiles_widen_their_bracket(spark):
     rows = spark.range(2000).select((F.col("id") * F.col("id")).cast("double").alias("x"))
     want = np.quantile(np.arange(2000.0) ** 2, [0.25, 0.5])
     assert np.allclose(quantiles.exact_quantiles(rows, ["x"], [0.25, 0.5], slack=0.0)["x"], want)
+
+
+def test_block_search_skips_boxes_out_of_reach(monkeypatch):
+    """In few dimensions the pairs that are compared grow with the queries, not with the block."""
+    rng, pairs = np.random.default_rng(6), []
+    rough = neighbors._compared
+    monkeypatch.setattr(neighbors, "_compared", lambda a, limit, b, k, p: pairs.append(len(a) * len(b)) or rough(a, limit, b, k, p))
+    for size in (4000, 16_000):
+        a, b = rng.random((1000, 2)), rng.random((size, 2))
+        for p in (1.0, 2.0, 3.0):
+            pairs.clear()
+            query, found, distance = neighbors.nearest_in_block(a, np.full(1000, np.inf), b, 5, p)
+            assert sum(pairs) < 1000 * size / 2
+            every = np.round(neighbors.minkowski(a, b, p), 9)
+            assert (found.reshape(1000, 5) == np.argsort(every, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_single_precision_lets_every_neighbour_through():
+    """Vectors far from the origin, nearly equal ones and powers that single precision cannot hold."""
+    rng = np.random.default_rng(7)
+    for scale, shift in ((1.0, 1e6), (1e-9, 0.0), (1e20, 0.0), (1.0, 0.0)):
+        b = rng.normal(size=(800, 12)) * scale + shift
+        b[400:] = b[:400] * (1 + 1e-10)
+        a = b[::7]
+        for p in (1.0, 3.0):
+            query, found, distance = neighbors.nearest_in_block(a, np.full(len(a), np.inf), b, 6, p)
+            every = np.round(neighbors.minkowski(a, b, p), 9)
+            assert (found.reshape(len(a), 6) == np.argsort(every, axis=1, kind="stable")[:, :6]).all()
