@@ -213,3 +213,16 @@ def test_support_vectors_reach_the_optimum_in_few_passes(spark, table, name, lab
     for size in (1e-3, 1e-2, 1e-1):
         for _ in range(200):
             assert cost(w + size * rng.normal(size=len(w)), b + size * rng.normal()) > least - 1e-3 * least
+
+
+def test_batches_are_read_without_an_object_for_each_row():
+    """Bytes and arrays of a sliced Arrow batch come as matrices."""
+    import pyarrow as pa
+
+    from tabloom.models.trees import Batch, unpack
+
+    codes, margin = np.arange(12, dtype=np.uint8).reshape(4, 3), np.arange(8.0).reshape(4, 2)
+    table = pa.RecordBatch.from_pydict({"bins": [r.tobytes() for r in codes], "margin": margin.tolist(), "label": [0.0, 1.0, 2.0, 3.0]})
+    batch = Batch(table.slice(1, 2))
+    assert len(batch) == 2 and (unpack(batch["bins"], 3) == codes[1:3]).all()
+    assert (batch["margin"] == margin[1:3]).all() and batch["label"].tolist() == [1.0, 2.0]
