@@ -146,6 +146,50 @@ def test_nearest_in_a_block(p, rows, k, offset):
             assert got[: len(want)] == want and distance[query == i].tolist() == d[i, got].tolist()
 
 
+@pytest.mark.parametrize("p", [1, 1.5, 2, 3, 4])
+@pytest.mark.parametrize("shape", ["normal", "offset", "far row", "few values", "huge"])
+def test_wide_rows_in_a_block(p, shape):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(70, 20)), rng.normal(size=(900, 20))
+    if shape == "offset":
+        a, b = a + 1e4, b + 1e4
+    elif shape == "far row":
+        b[5] = 1e6
+    elif shape == "few values":
+        a, b = np.round(a), np.round(b)
+        a[:, 3:], b[:, 3:] = 0.0, 0.0
+    elif shape == "huge":
+        a, b = a * 1e30, b * 1e30
+    d = np.round(neighbors.minkowski(a, b, p), neighbors.DIGITS)
+    for bound in (np.full(70, np.inf), np.sort(d, axis=1)[:, 2], np.full(70, d.max())):
+        query, found, distance = neighbors.nearest_in_block(a, bound, b, 6, p)
+        for i in range(70):
+            want = [j for j in np.lexsort((np.arange(900), d[i]))[:6] if d[i, j] <= bound[i]]
+            got = found[query == i].tolist()
+            assert got[: len(want)] == want and distance[query == i].tolist() == d[i, got].tolist()
+
+
+@pytest.mark.parametrize("p, most", [(1, 0.12), (2, 0.02), (3, 0.2)])
+def test_few_wide_rows_are_compared_one_coordinate_at_a_time(monkeypatch, p, most):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b = x[:300], x[300:]
+    pairs = []
+
+    def counted(name, size):
+        own = getattr(neighbors, name, None)
+        if own:
+            monkeypatch.setattr(neighbors, name, lambda *args: pairs.append(size(*args)) or own(*args))
+
+    for name in ("minkowski", "powers"):
+        counted(name, lambda left, right, p: len(left) * len(right))
+    counted("minkowski_pairs", lambda left, right, p: len(left))
+    counted("_roughly", lambda left, right, rows, cols, p: len(rows))
+    neighbors.nearest_in_block(a, np.sort(neighbors.minkowski(a, b, p), axis=1)[:, 5], b, 6, p)
+    assert sum(pairs[1:]) < most * len(a) * len(b)
+
+
 def test_blocks_grow_with_the_root_of_the_rows():
     size = [neighbors.block_rows(n) for n in (1, 2_000, 20_000, 10**6, 10**9)]
     assert size == [1024, 1024, 2262, 16_000, 32_768]
