@@ -19,7 +19,8 @@ all members, on full sets, giving out links only. So no group gives out its pair
 meets in one task.
 
 A pair at similarity 0.8 misses all 42 bands with a probability of 3e-6, and less above it.
-Components are found by alternating large and small stars, stored after each round.
+Components are found by contraction inside of tasks, then by alternating large and small stars,
+stored after each round.
 
 Defined results: words are runs outside of space and U+0009 to U+000D, A-Z folded; a document
 with fewer words than a shingle has their sequence as its only one; a null or empty text has
@@ -50,6 +51,7 @@ LEADERS = 3
 BLOCK = 128
 UNIT = 4_096
 COLUMNS = 20_000
+LINKS = 100_000
 
 FEATURES = "doc_id long, digest long, n_shingles long, members binary, sketches array<struct<size:int,registers:binary>>"
 
@@ -400,14 +402,56 @@ def family_links(near: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFram
     return stored(dealt.groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long").distinct(), "links")
 
 
+def least_in_reach(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node that each reaches) by the links (a, b)."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        # Each root hangs on the least root next to it; links inside of a component are done with.
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, above := root[root]):
+            root = above
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return nodes, nodes[root]
+
+
+def _contract(rows: int):
+    """Links as (node, least node in reach by some `rows` links), the least nodes with themselves."""
+
+    def flush(held):
+        nodes, least = least_in_reach(*(np.concatenate([batch.column(c).to_numpy() for batch in held]) for c in "ab"))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["a", "b"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= rows:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp), from a stored table: the least node in reach, for every node that has a link.
 
-    Large stars hang the larger neighbours of a node on its least neighbour, small stars the
-    smaller ones, until every edge ends in the least node of its component.
+    Each task first contracts some `LINKS` of its links on its own, so that few rounds are left:
+    large stars hang the larger neighbours of a node on its least neighbour, small stars the
+    smaller ones, until every edge ends in the least node of its component. Links that one task
+    has contracted all need no round.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = stored(edges, "edges")
+    tasks = -(-links.count() // LINKS)
+    own = links.select("a", "b").coalesce(max(1, tasks)).mapInArrow(_contract(LINKS), "a long, b long")
+    own = stored(own, "contracted")
+    if tasks <= 1:
+        return own.toDF("node", "comp")
+    edges = stored(own.where("a != b").distinct(), "edges")
+    discard(own)
     while True:
         # Done when no end of an edge begins another one, and no node begins two.
         ends = edges.select("a", F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))

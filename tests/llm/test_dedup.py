@@ -238,6 +238,26 @@ def test_components(spark, edges):
     assert got == root
 
 
+@pytest.mark.parametrize("held", [3, 100])
+def test_components_contracted_in_tasks(spark, monkeypatch, held):
+    """Links of one task need no round of stars; those of many tasks still come together."""
+    rng, labels, n = random.Random(held), [], 300
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(200)]
+    edges = [(a, b) for a, b in edges if a != b] + [(k, k + 1) for k in range(1_000, 1_040)] + [(7, 7_000)] * 3
+    rng.shuffle(edges)
+    root = {v: v for e in edges for v in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    store = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, label: labels.append(label) or store(df, label))
+    links = store(spark.createDataFrame(edges, "a long, b long").repartition(6), "links")
+    monkeypatch.setattr(near_dedup, "LINKS", held * len(edges) // 100)
+    rows = near_dedup.components(links).collect()
+    assert Counter((r["node"], r["comp"]) for r in rows) == Counter(root.items())
+    assert (len(labels) == 1) == (held == 100), labels
+
+
 def test_empty_tables(nothing):
     assert exact_dedup.copy_groups(nothing).count() == 0 and exact_dedup.exact_dedup(nothing).count() == 0
     assert near_dedup.near_dedup(nothing).count() == 0 and near_dedup.drop_near_copies(nothing).count() == 0
