@@ -124,3 +124,35 @@ def test_job_arguments(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["model"] == "DecisionTreeClassifier"
     score_job.main(f"--model-dir {tmp_path}/artifacts --input {path} --output {tmp_path}/scored --clean".split())
     assert spark.read.parquet(f"{tmp_path}/scored").count() == 240
+
+
+def test_prefixes_are_counted_in_one_pass(spark, monkeypatch):
+    """No scan for each prefix: sizes, and prefixes of one class or none, come from one grouped pass."""
+    from pyspark.sql import DataFrame
+
+    from tabloom.plans import evaluate
+
+    rows = spark.createDataFrame([(1, 0.0), (1, 0.0), (2, 1.0), (4, 1.0), (4, 0.0)], "step int, label double")
+    assert evaluate.prefixes(rows, "classification", 5) == [(0, False), (2, False), (3, True), (3, True), (5, True)]
+    assert evaluate.prefixes(rows, "regression", 3) == [(0, False), (2, True), (3, True)]
+
+    asked, count = [], DataFrame.count
+    monkeypatch.setattr(DataFrame, "count", lambda self: asked.append(self.columns) or count(self))
+    monkeypatch.setattr(evaluate, "folded", lambda train, task, k: train)
+    monkeypatch.setattr(evaluate, "fit_model", lambda *a: None)
+    monkeypatch.setattr(evaluate, "single_score", lambda *a: 1.0)
+    monkeypatch.setattr(evaluate, "discard", lambda df: None)
+    train = spark.createDataFrame([(str(i), float(i % 2), [1.0], i % 2) for i in range(40)], "row_key string, label double, features array<double>, fold int")
+    train = train.withColumn("label", (train.row_key.cast("int") % 4 > 1).cast("double"))
+    curve = evaluate.learning_curve("DecisionTreeClassifier", {}, train, "classification", 2, 2)
+    assert curve.agg({"rows": "max"}).first()[0] == 20 and not [c for c in asked if "features" in c or c == ["label"]]
+
+
+def test_the_split_reads_a_stored_table(spark, sf_dir, monkeypatch):
+    """The join behind the encoded rows runs once, not for each scan of the split."""
+    from tabloom.queries import modelling
+
+    seen, split = [], modelling.stratified_holdout
+    monkeypatch.setattr(modelling, "stratified_holdout", lambda df, *a: seen.append(df.inputFiles()) or split(df, *a))
+    modelling.encoded(spark, sf_dir, "classification")
+    assert seen[0] and all("/tabloom/" in name for name in seen[0])
