@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tabloom.models import adaboost, boosting, trees
+from tabloom.models import adaboost, boosting, native, trees
 from tabloom.models.base import load_model
 from tabloom.models.registry import CLASSIFIERS, REGRESSORS, SPACES, fit_model
 from tabloom.operators import metrics
@@ -128,6 +128,15 @@ def test_tree_growth_in_pieces(table, monkeypatch):
         assert a.feature == b.feature and a.cut == b.cut and np.allclose(a.value, b.value)
 
 
+def test_deep_trees_keep_the_node_of_each_row(table, monkeypatch):
+    rows = labelled(table, "three")
+    assert native._tree_options({})["cacheNodeIds"] and not native._tree_options({"max_depth": 8})["cacheNodeIds"]
+    kept = fit_model("DecisionTreeClassifier", rows, {}, 3).model
+    monkeypatch.setattr(native, "SHALLOW", 30)
+    sent = fit_model("DecisionTreeClassifier", rows, {}, 3).model
+    assert kept.depth > 2 and kept.toDebugString.split("\n")[1:] == sent.toDebugString.split("\n")[1:]
+
+
 def test_checkpoints_do_not_change_the_fit(table, monkeypatch):
     rows, params = labelled(table, "y"), {"n_estimators": 3, "max_depth": 2}
     plain = fit_model("XGBRegressor", rows, params)

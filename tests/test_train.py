@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tabloom.api import predict, train_model
 from tabloom.functions.hashing import u01
 from tabloom.jobs import score_job, train_job
+from tabloom.plans import evaluate, search
+from tabloom.plans import train as train_plan
 from tabloom.plans.score import score
 from tabloom.plans.train import prepare, train
 from tabloom.queries.fixtures import fx_class
@@ -148,6 +150,25 @@ def test_prefixes_are_counted_in_one_pass(spark, monkeypatch):
     assert curve.agg({"rows": "max"}).first()[0] == 20 and not [c for c in asked if "features" in c or c == ["label"]]
 
 
+def test_all_searches_share_the_folds(spark, monkeypatch):
+    placed, scores = [], []
+
+    def counted(*args):
+        placed.append(evaluate.folded(*args))
+        return placed[-1]
+
+    def searched(*args, **named):
+        shared = search.random_search(*args, **named)
+        own = search.random_search(*args, **{**named, "folds": None})
+        scores.append([sorted((r["trial"], r["score"]) for r in table.collect()) for _, table in (shared, own)])
+        return shared
+
+    monkeypatch.setattr(train_plan, "folded", counted)
+    monkeypatch.setattr(train_plan, "random_search", searched)
+    train(people(spark).drop("amount"), "answer", models=["LogisticRegression", "DecisionTreeClassifier"], curves=False, spark=spark, **FAST)
+    assert len(placed) == 1 and len(scores) == 2 and all(a == b for a, b in scores)
+
+
 def test_the_split_reads_a_stored_table(spark, sf_dir, monkeypatch):
     """The join behind the encoded rows runs once, not for each scan of the split."""
     from tabloom.queries import modelling
