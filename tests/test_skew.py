@@ -190,6 +190,28 @@ def test_few_wide_rows_are_compared_one_coordinate_at_a_time(monkeypatch, p, mos
     assert sum(pairs[1:]) < most * len(a) * len(b)
 
 
+@pytest.mark.parametrize("p", [1.0, 2.0, 3.0])
+def test_products_of_a_block_come_in_small_tiles(monkeypatch, p):
+    """Limited, loose and unlimited queries of one block, with tiles that end inside it."""
+    monkeypatch.setattr(neighbors, "TILE_ROWS", 7)
+    monkeypatch.setattr(neighbors, "TILE_COLUMNS", 33)
+    rng = np.random.default_rng(8)
+    b = rng.normal(size=(300, 16))
+    a = np.vstack([b[:20], rng.normal(size=(81, 16))])
+    every = np.round(neighbors.minkowski(a, b, p), neighbors.DIGITS)
+    order = np.lexsort((np.broadcast_to(np.arange(300), every.shape), every))[:, :4]
+    last = np.take_along_axis(every, order[:, 3:], axis=1)[:, 0]
+    bound = np.select([np.arange(101) % 5 == 0, np.arange(101) % 7 == 0, np.arange(101) % 11 == 0], [np.inf, 1e3, last * 0.9], last)
+    query, found, distance = neighbors.nearest_in_block(a, bound, b, 4, p)
+    within = np.take_along_axis(every, order, axis=1) <= bound[:, None] + neighbors.SLACK
+    assert np.array_equal(query, np.nonzero(within)[0]) and np.array_equal(found, order[within])
+    assert np.array_equal(distance, np.take_along_axis(every, order, axis=1)[within])
+    shapes, product = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda x, y, out: shapes.append(out.shape) or product(x, y, out=out))
+    neighbors.nearest_in_block(a, last, b, 4, p)
+    assert len(shapes) == 15 * 10 and max(n * m for n, m in shapes) == 7 * 33
+
+
 def test_blocks_grow_with_the_root_of_the_rows():
     size = [neighbors.block_rows(n) for n in (1, 2_000, 20_000, 10**6, 10**9)]
     assert size == [1024, 1024, 2262, 16_000, 32_768]
