@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tabloom.models import class_trees
+from tabloom.models import class_trees, native
 from tabloom.models.base import FEATURES, KEY, LABEL
 from tabloom.models.native import _columns, _tree_options, fit_tree
 
@@ -39,6 +39,37 @@ def test_nodes_are_those_of_spark_ml(spark, tmp_path, monkeypatch, n, classes, p
     assert len(found) > 50 and found == stored(spark, estimator.fit(train), tmp_path / "ml")
 
 
+@pytest.mark.parametrize("params", [{"max_features": 0.4, "max_depth": 11}, {"max_features": "log2", "max_depth": 13, "min_samples_leaf": 2}])
+def test_feature_subsets_are_those_of_spark_ml(spark, tmp_path, monkeypatch, params):
+    """The same draws for the same nodes, and a stored forest of one tree."""
+    monkeypatch.setattr(class_trees, "SUBSET_ROWS", 0)
+    train, found = rows(spark, 3_000), []
+    subset = native.subset_strategy(params["max_features"])
+    estimator = native._columns(
+        RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy=subset, **_tree_options(params), impurity="gini")
+    )
+    for name, model in (("own", class_trees.fit_deep_tree(train, estimator)), ("ml", estimator.fit(train))):
+        model.write().overwrite().save(str(tmp_path / name))
+        found.append([tuple(r) for r in spark.read.parquet(f"{tmp_path / name}/data").orderBy("nodeData.id").collect()])
+        found.append([r["probability"].toArray().tolist() for r in model.transform(train).orderBy(KEY).limit(100).collect()])
+    assert len(found[0]) > 20 and found[:2] == found[2:]
+
+
+def test_balanced_classes_weigh_alike(spark):
+    """Of rare and common rows that cannot be told apart, none outweighs the other."""
+    train = rows(spark, 2_000).where((F.col(LABEL) == 0) | (F.col(KEY).cast("int") % 5 == 0))
+    model = fit_tree(train, {"class_weight": "balanced", "max_depth": 12, "min_samples_leaf": 5}, True).model
+    root = model._java_obj.rootNode().impurityStats().stats()
+    assert model.getWeightCol() == "weight" and abs(root[0] - root[1]) < 1e-6 * root[0]
+
+
+def test_draws_are_those_of_spark(spark):
+    for seed in (42, -7, 123456789012345):
+        theirs = spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed)
+        own = class_trees.XorShift(seed)
+        assert [own.int32(), own.double()] == [theirs.nextInt(), theirs.nextDouble()]
+
+
 def test_a_tree_without_a_depth_limit_takes_few_jobs(spark):
     """Spark ML runs a job for each of some 20 levels."""
     train = rows(spark, 4_000)
@@ -66,5 +97,5 @@ def test_one_class_is_left_to_spark_ml(spark):
 def test_thresholds_split_even_shares():
     """More values than bins: cuts lie at the middles nearest to equal shares."""
     values = np.arange(1.0, 1001.0)
-    found = class_trees._thresholds(values, 1000.0, 4)
+    found = class_trees._thresholds(values, np.ones(1000), 1000.0, 4)
     assert found == [250.5, 500.5, 750.5]
